@@ -1,2 +1,158 @@
 """Query keys of the operator families beyond the medallion layers (quality, features, scoring,
 documents, retrieval, streaming, forest). Importing this module registers them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillspark.config import MODEL_FEATURES, RunConfig
+from quillspark.functions.quantiles import exact_percentiles
+from quillspark.operators import features as feat_ops
+from quillspark.operators import gold as gold_ops
+from quillspark.operators import quality as qual_ops
+from quillspark.operators import risk as risk_ops
+from quillspark.plans.catalog import L, query
+from quillspark.sources.tables import read_table
+
+# Category one-hot columns of the driver data (customer market segments, title-cased).
+FIXTURE_CATEGORIES = ("Automobile", "Building", "Furniture", "Household", "Machinery")
+
+
+# --- quality -------------------------------------------------------------------------------
+@query("quality_bronze")
+def q_quality_bronze(spark, sf_dir):
+    lay = L(spark, sf_dir)
+    return qual_ops.bronze_report(spark, lay.bronze(), lay.cfg)
+
+
+@query("quality_silver")
+def q_quality_silver(spark, sf_dir):
+    lay = L(spark, sf_dir)
+    return qual_ops.silver_report(spark, lay.silver(), lay.cfg)
+
+
+@query("quality_gold")
+def q_quality_gold(spark, sf_dir):
+    lay = L(spark, sf_dir)
+    return qual_ops.gold_report(spark, lay.vendor_summary(), lay.monthly_trends(), lay.category_analysis(), lay.cfg)
+
+
+@query("quality_summary")
+def q_quality_summary(spark, sf_dir):
+    lay = L(spark, sf_dir)
+    report = (qual_ops.bronze_report(spark, lay.bronze(), lay.cfg)
+              .unionByName(qual_ops.silver_report(spark, lay.silver(), lay.cfg))
+              .unionByName(qual_ops.gold_report(spark, lay.vendor_summary(), lay.monthly_trends(),
+                                                lay.category_analysis(), lay.cfg)))
+    return qual_ops.summary(report)
+
+
+# --- features ------------------------------------------------------------------------------
+def _features(spark, sf_dir):
+    lay = L(spark, sf_dir)
+    silver = lay.silver()
+    inv = feat_ops.invoice_features(silver, FIXTURE_CATEGORIES)
+    return feat_ops.vendor_features(inv, gold_ops.vendor_summary(silver))
+
+
+@query("invoice_features")
+def q_invoice_features(spark, sf_dir):
+    return _features(spark, sf_dir)
+
+
+@query("feature_profile")
+def q_feature_profile(spark, sf_dir):
+    return feat_ops.feature_profile(_features(spark, sf_dir))
+
+
+@query("standard_scaler")
+def q_standard_scaler(spark, sf_dir):
+    matrix, cols = feat_ops.model_matrix(_features(spark, sf_dir), MODEL_FEATURES)
+    return feat_ops.standard_scale(matrix, cols)
+
+
+# --- scores, tiers, percentiles --------------------------------------------------------------
+def _fixed_scored(spark, sf_dir):
+    return risk_ops.fixed_score(L(spark, sf_dir).silver())
+
+
+def _fixed_tiered(spark, sf_dir):
+    scored = _fixed_scored(spark, sf_dir).withColumn("is_anomaly", F.col("anomaly_score") < 0)
+    return risk_ops.risk_tiers(scored)
+
+
+@query("score_percentiles")
+def q_score_percentiles(spark, sf_dir):
+    """p5 / p10 / p25 of events.value (exact, numpy interpolation)."""
+    ev = read_table(spark, sf_dir, "events")
+    return exact_percentiles(ev, "value", risk_ops.TIER_PROBS, names=["p5", "p10", "p25"])
+
+
+@query("risk_tiers")
+def q_risk_tiers(spark, sf_dir):
+    return _fixed_tiered(spark, sf_dir)
+
+
+@query("event_value_tiers")
+def q_event_value_tiers(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id", F.col("value").alias("anomaly_score"))
+    return risk_ops.risk_tiers(ev)
+
+
+@query("contamination_cut")
+def q_contamination_cut(spark, sf_dir):
+    return risk_ops.contamination_cut(_fixed_scored(spark, sf_dir), 0.05)
+
+
+@query("scoring_report")
+def q_scoring_report(spark, sf_dir):
+    return risk_ops.scoring_report(_fixed_tiered(spark, sf_dir))
+
+
+@query("top_anomalies")
+def q_top_anomalies(spark, sf_dir):
+    return risk_ops.top_anomalies(_fixed_tiered(spark, sf_dir), 20)
+
+
+@query("top_anomalies_report")
+def q_top_anomalies_report(spark, sf_dir):
+    t = _fixed_tiered(spark, sf_dir)
+    return (t.where("is_anomaly").orderBy(F.col("anomaly_score"), F.col("invoice_id")).limit(10)
+            .select("invoice_id", "vendor_id", "amount", "anomaly_score", "risk_level"))
+
+
+# --- the demo questions as structured queries ----------------------------------------------------
+@query("q_highest_overdue_vendors")
+def q_highest_overdue(spark, sf_dir):
+    v = L(spark, sf_dir).vendor_summary()
+    return (v.orderBy(F.col("overdue_rate").desc(), "vendor_id", "vendor_name", "state").limit(5)
+            .select("vendor_id", "vendor_name", "state", "overdue_rate", "overdue_count", "total_invoices"))
+
+
+@query("q_critical_invoices")
+def q_critical(spark, sf_dir):
+    return _fixed_tiered(spark, sf_dir).where(F.col("risk_level") == "CRITICAL")
+
+
+TREND_YEAR = "1998"
+
+
+@query("q_trends_year")
+def q_trends_year(spark, sf_dir):
+    return L(spark, sf_dir).monthly_trends().where(F.col("year_month").startswith(TREND_YEAR + "-"))
+
+
+@query("q_dispute_vendors")
+def q_dispute_vendors(spark, sf_dir):
+    v = L(spark, sf_dir).vendor_summary()
+    return (v.where(F.col("disputed_count") > 0)
+            .select("vendor_id", "vendor_name", "state", "disputed_count", "dispute_rate", "total_invoices"))
+
+
+@query("q_zero_amount_invoices")
+def q_zero_amount(spark, sf_dir):
+    s = L(spark, sf_dir).silver()
+    return s.where(F.col("amount") == 0).select("invoice_id", "vendor_id", F.col("amount").cast("double").alias("amount"),
+                                               "status", "_amount_was_null")
+
+

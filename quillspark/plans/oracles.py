@@ -160,3 +160,166 @@ select cast(count(distinct (vendor_id, vendor_name, state)) as bigint) vendors_t
  {rnd("avg(case when status = 'OVERDUE' then 1.0 else 0.0 end) * 100.0", 1)} overall_overdue_pct from silver"""))
 oracle("duplicate_ids", with_layers(
     "select cast(count(*) - count(distinct invoice_id) as bigint) duplicate_invoice_ids from silver"))
+
+
+# --- quality -------------------------------------------------------------------------------
+def _all(cond: str) -> str:
+    return f"coalesce(bool_and(coalesce({cond}, false)), true)"
+
+
+def _checks(layer: str, table: str, checks: list[tuple[str, str, str]]) -> str:
+    """checks: (name, passed-expression over `table` or literal, detail-expression)."""
+    parts = []
+    for name, passed, detail in checks:
+        esc = name.replace("'", "''")
+        parts.append(f"select '{layer}' layer, '{esc}' \"check\", ({passed}) passed, ({detail}) detail from {table}")
+    return "\nunion all\n".join(parts)
+
+
+BRONZE_CHECKS = ([(f"Column {c} exists", "true", "''") for c in
+                  ("invoice_id", "vendor_id", "vendor_name", "invoice_date", "amount", "status")]
+                 + [("invoice_id no nulls", "count_if(invoice_id is null) = 0", "''"),
+                    ("vendor_id no nulls", "count_if(vendor_id is null) = 0", "''"),
+                    ("Row count ok", "count(*) between 1000 and 100000", "''")]
+                 + [(f"Metadata {c}", "true", "''") for c in ("_ingested_at", "_source", "_row_hash")])
+SILVER_CHECKS = [
+    ("No null amounts", "count_if(amount is null) = 0", "''"),
+    ("Amounts >= 0", _all("cast(amount as double) >= 0"), "''"),
+    ("Amounts <= 1M", _all("cast(amount as double) <= 1000000.0"), "''"),
+    ("Valid statuses", _all("status in ('PAID','PENDING','OVERDUE','DISPUTED','CANCELLED')"), "''"),
+    ("No null invoice_id", "count_if(invoice_id is null) = 0", "''"),
+    ("No null vendor_id", "count_if(vendor_id is null) = 0", "''"),
+    ("invoice_id unique", "count(*) - count(distinct invoice_id) = 0", "''"),
+    ("days_overdue >= 0", _all("coalesce(days_overdue, 0) >= 0"), "''"),
+    ("Row count ok", "count(*) between 1000 and 15000", "concat('(', cast(count(*) as varchar), ')')"),
+]
+GOLD_VENDOR_CHECKS = [
+    ("Vendor count=50", "count(*) = 50", "''"),
+    ("No null vendor names", "count_if(vendor_name is null) = 0", "''"),
+    ("total_amounts >= 0", _all("total_amount >= 0"), "''"),
+    ("overdue_rate 0-100", _all("overdue_rate between 0 and 100"), "''"),
+    ("No null risk scores", "count_if(risk_score is null) = 0", "''"),
+]
+GOLD_MONTH_CHECKS = [
+    ("Month count 12-36", "count(*) between 12 and 36", "''"),
+    ("Monthly totals >= 0", _all("total_amount >= 0"), "''"),
+    ("No null year_month", "count_if(year_month is null) = 0", "''"),
+]
+GOLD_CATEGORY_CHECKS = [
+    ("Category count=7", "count(*) = 7", "''"),
+    ("Category totals >= 0", _all("total_amount >= 0"), "''"),
+]
+
+Q_BRONZE = _checks("bronze", "bronze", BRONZE_CHECKS)
+Q_SILVER = _checks("silver", "silver", SILVER_CHECKS)
+Q_GOLD = "\nunion all\n".join([_checks("gold", "vendor_summary", GOLD_VENDOR_CHECKS),
+                                _checks("gold", "monthly_trends", GOLD_MONTH_CHECKS),
+                                _checks("gold", "category_analysis", GOLD_CATEGORY_CHECKS)])
+oracle("quality_bronze", with_layers(Q_BRONZE))
+oracle("quality_silver", with_layers(Q_SILVER))
+oracle("quality_gold", with_layers(Q_GOLD))
+oracle("quality_summary", with_layers(f"""
+select layer, cast(count_if(passed) as bigint) passed, cast(count_if(not passed) as bigint) failed from report group by layer
+union all
+select 'total', cast(count_if(passed) as bigint), cast(count_if(not passed) as bigint) from report""",
+    f"report as ({Q_BRONZE}\nunion all\n{Q_SILVER}\nunion all\n{Q_GOLD})"))
+
+
+# --- features ------------------------------------------------------------------------------
+CATEGORIES = ("Automobile", "Building", "Furniture", "Household", "Machinery")
+STATUSES = ("PAID", "PENDING", "OVERDUE", "DISPUTED", "CANCELLED")
+MODEL_COLS = ("amount", "amount_zscore", "amount_log", "is_round_amount", "days_overdue", "invoice_month",
+              "invoice_dow", "is_weekend", "invoice_quarter", "status_PAID", "status_PENDING", "status_OVERDUE",
+              "status_DISPUTED", "status_CANCELLED", "vendor_total_invoices", "vendor_avg_amount",
+              "vendor_overdue_rate", "vendor_dispute_rate", "vendor_risk_score", "amount_vs_vendor_avg")
+
+FEATURE_CTES = f"""
+fstats as (select avg(cast(amount as double)) mu, stddev_samp(cast(amount as double)) sd from silver),
+inv_feat as (
+ select invoice_id, vendor_id, cast(amount as double) amount,
+  coalesce((cast(amount as double) - mu) / (sd + 1e-9), 0.0) amount_zscore,
+  ln(1 + cast(amount as double)) amount_log,
+  cast(coalesce(amount % 1000 = 0, false) as int) is_round_amount,
+  cast(coalesce(days_overdue, 0) as int) days_overdue,
+  coalesce(cast(month(invoice_date) as int), 0) invoice_month,
+  coalesce(cast(isodow(invoice_date) - 1 as int), 0) invoice_dow,
+  cast(coalesce(cast(isodow(invoice_date) - 1 as int), 0) >= 5 as int) is_weekend,
+  coalesce(cast(quarter(invoice_date) as int), 0) invoice_quarter,
+  {", ".join(f"cast(coalesce(status = '{s}', false) as int) status_{s}" for s in STATUSES)},
+  {", ".join(f"cast(coalesce(category = '{c}', false) as int) cat_{c}" for c in CATEGORIES)}
+ from silver, fstats),
+features as (
+ select inv_feat.*, cast(v.total_invoices as double) vendor_total_invoices, v.avg_amount vendor_avg_amount,
+  v.overdue_rate vendor_overdue_rate, v.dispute_rate vendor_dispute_rate, v.risk_score vendor_risk_score,
+  v.total_amount vendor_total_amount,
+  coalesce(inv_feat.amount / (v.avg_amount + 1e-9), 1.0) amount_vs_vendor_avg
+ from inv_feat left join vendor_summary v using (vendor_id))
+"""
+oracle("invoice_features", with_layers("select * from features", FEATURE_CTES))
+oracle("feature_profile", with_layers(f"""
+select cast(count(*) as bigint) records, cast({2 + 9 + 5 + len(CATEGORIES) + 7} as bigint) features,
+ {rnd('avg(amount_zscore)', 4)} + 0.0 avg_amount_zscore, cast(sum(is_round_amount) as bigint) round_amounts from features""",
+    FEATURE_CTES))
+_scaled = ", ".join(
+    f"(cast({c} as double) - avg(cast({c} as double)) over ()) / coalesce(nullif(stddev_pop(cast({c} as double)) over (), 0), 1.0) {c}"
+    for c in MODEL_COLS)
+oracle("standard_scaler", with_layers(f"select invoice_id, vendor_id, {_scaled} from features", FEATURE_CTES))
+
+
+# --- scores, tiers, percentiles --------------------------------------------------------------
+def np_percentile(table: str, col: str, p: float) -> str:
+    """Scalar subquery: numpy 'linear' percentile: virtual index (n-1)*q and numpy's two-sided lerp."""
+    return f"""(select case when t >= 0.5 then b - (b - a) * (1.0 - t) else a + (b - a) * t end from (
+  select max(case when i = j0 then x end) a, max(case when i = j1 then x end) b, max(vi - j0) t from (
+   select x, row_number() over (order by x) - 1 i, vi, floor(vi) j0, least(floor(vi) + 1, n - 1) j1 from (
+    select cast({col} as double) x, count(*) over () n,
+     cast(count(*) over () - 1 as double) * cast('{repr(p)}' as double) vi
+    from {table} where {col} is not null and not isnan(cast({col} as double))))))"""
+
+
+FIXED_SCORE_CTES = """
+fixed as (select invoice_id, vendor_id, cast(amount as double) amount, days_overdue,
+  ((cast(substring(invoice_id, 5, 9) as bigint) * 7919) % 1000003 - 50000) / cast(1000003 as double) anomaly_score
+ from silver),
+fixed_flag as (select *, anomaly_score < 0 is_anomaly from fixed)
+"""
+
+
+def tiers_sql(table: str, col: str = "anomaly_score") -> str:
+    p5, p10, p25 = (np_percentile(table, col, p) for p in (0.05, 0.10, 0.25))
+    return f"""select *, case when {col} <= {p5} then 'CRITICAL' when {col} <= {p10} then 'HIGH'
+  when {col} <= {p25} then 'MEDIUM' else 'LOW' end risk_level from {table}"""
+
+
+TIERED_CTES = FIXED_SCORE_CTES + f",\ntiered as ({tiers_sql('fixed_flag')})"
+
+oracle("score_percentiles", f"""select {np_percentile('events', 'value', 0.05)} p5,
+ {np_percentile('events', 'value', 0.10)} p10, {np_percentile('events', 'value', 0.25)} p25""")
+oracle("risk_tiers", with_layers("select * from tiered", TIERED_CTES))
+oracle("event_value_tiers", "with ev as (select event_id, value anomaly_score from events)\n" + tiers_sql("ev"))
+oracle("contamination_cut", with_layers(f"""
+select *, anomaly_score - {np_percentile('fixed', 'anomaly_score', 0.05)} decision,
+ anomaly_score - {np_percentile('fixed', 'anomaly_score', 0.05)} < 0 is_anomaly from fixed""", FIXED_SCORE_CTES))
+oracle("scoring_report", with_layers(f"""
+select cast(count(*) as bigint) total_scored, cast(count_if(is_anomaly) as bigint) anomalies,
+ {rnd('cast(count_if(is_anomaly) as double) / count(*) * 100.0', 1)} anomaly_pct,
+ cast(count_if(risk_level = 'CRITICAL') as bigint) critical, cast(count_if(risk_level = 'HIGH') as bigint) high
+from tiered""", TIERED_CTES))
+oracle("top_anomalies", with_layers("""
+select invoice_id, vendor_id, amount, anomaly_score, case when is_anomaly then 'ANOMALY' else 'NORMAL' end anomaly_label
+from tiered where is_anomaly order by anomaly_score, invoice_id limit 20""", TIERED_CTES))
+oracle("top_anomalies_report", with_layers("""
+select invoice_id, vendor_id, amount, anomaly_score, risk_level
+from tiered where is_anomaly order by anomaly_score, invoice_id limit 10""", TIERED_CTES))
+
+# --- the demo questions -------------------------------------------------------------------
+oracle("q_highest_overdue_vendors", with_layers("""
+select vendor_id, vendor_name, state, overdue_rate, overdue_count, total_invoices from vendor_summary
+order by overdue_rate desc, vendor_id, vendor_name, state limit 5"""))
+oracle("q_critical_invoices", with_layers("select * from tiered where risk_level = 'CRITICAL'", TIERED_CTES))
+oracle("q_trends_year", with_layers("select * from monthly_trends where starts_with(year_month, '1998-')"))
+oracle("q_dispute_vendors", with_layers("""
+select vendor_id, vendor_name, state, disputed_count, dispute_rate, total_invoices from vendor_summary
+where disputed_count > 0"""))
+oracle("q_zero_amount_invoices", with_layers("""
+select invoice_id, vendor_id, cast(amount as double) amount, status, _amount_was_null from silver where amount = 0"""))
