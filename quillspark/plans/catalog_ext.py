@@ -156,3 +156,117 @@ def q_zero_amount(spark, sf_dir):
                                                "status", "_amount_was_null")
 
 
+
+
+# --- documents and chunks ------------------------------------------------------------------
+from quillspark.operators import documents as doc_ops  # noqa: E402
+from quillspark.operators import vectors as vec_ops  # noqa: E402
+
+
+def _gold_docs(spark, sf_dir):
+    lay = L(spark, sf_dir)
+    return doc_ops.document_union(
+        doc_ops.vendor_documents(lay.vendor_summary(), lay.cfg.high_risk_score),
+        doc_ops.anomaly_documents(_fixed_tiered(spark, sf_dir), lay.cfg.anomaly_doc_cap),
+        doc_ops.trend_documents(lay.monthly_trends(), lay.cfg.elevated_overdue_rate))
+
+
+@query("vendor_documents")
+def q_vendor_documents(spark, sf_dir):
+    return doc_ops.vendor_documents(L(spark, sf_dir).vendor_summary())
+
+
+@query("anomaly_documents")
+def q_anomaly_documents(spark, sf_dir):
+    return doc_ops.anomaly_documents(_fixed_tiered(spark, sf_dir))
+
+
+@query("trend_documents")
+def q_trend_documents(spark, sf_dir):
+    return doc_ops.trend_documents(L(spark, sf_dir).monthly_trends())
+
+
+@query("document_union")
+def q_document_union(spark, sf_dir):
+    return _gold_docs(spark, sf_dir)
+
+
+@query("document_chunks")
+def q_document_chunks(spark, sf_dir):
+    return doc_ops.chunk_documents(_gold_docs(spark, sf_dir)).drop("text")
+
+
+def _text_chunks(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return doc_ops.chunk_documents(docs)
+
+
+@query("chunk_documents")
+def q_chunk_documents(spark, sf_dir):
+    return _text_chunks(spark, sf_dir)
+
+
+# --- vectors and retrieval -------------------------------------------------------------------
+@query("embed_chunks")
+def q_embed_chunks(spark, sf_dir):
+    return vec_ops.hashed_bow(_text_chunks(spark, sf_dir).select("chunk_id", "chunk_text"), "chunk_id", "chunk_text") \
+        .select("chunk_id", "embedding")
+
+
+def label_centroids(emb):
+    """One query per label: the element-wise mean embedding of that label (a distributed aggregation)."""
+    per_pos = (emb.select("label", F.posexplode("embedding").alias("pos", "x"))
+               .groupBy("label", "pos").agg(F.avg("x").alias("v")))
+    return (per_pos.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("pv"))
+            .select(F.col("label").alias("query_id"), F.transform("pv", lambda s: s["v"]).alias("query_vec"),
+                    F.col("label").alias("query_label")))
+
+
+@query("knn_topk")
+def q_knn_topk(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    return vec_ops.knn_topk(emb, label_centroids(emb), corpus_id="vec_id")
+
+
+@query("knn_filtered")
+def q_knn_filtered(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    return vec_ops.knn_topk(emb, label_centroids(emb), corpus_id="vec_id", corpus_filter="label",
+                            query_filter="query_label")
+
+
+@query("ann_topk")
+def q_ann_topk(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    return vec_ops.ann_topk(emb, label_centroids(emb), corpus_id="vec_id", dims=64)
+
+
+# The demo questions of the retrieval chain and their metadata filters (fixed values).
+DEMO_QUESTIONS = (
+    (1, "Which vendors have the highest overdue rates?", "vendor_summary"),
+    (2, "What invoices are flagged as critical risk?", "anomaly_alert"),
+    (3, "What were the invoice trends in 2024?", "monthly_trend"),
+    (4, "Show me vendors with dispute problems", None),
+    (5, "Which invoices have zero dollar amounts?", "anomaly_alert"),
+)
+
+
+def _question_hits(spark, sf_dir):
+    chunks = doc_ops.chunk_documents(_gold_docs(spark, sf_dir))
+    index = vec_ops.hashed_bow(chunks, "chunk_id", "chunk_text")
+    qs = spark.createDataFrame(list(DEMO_QUESTIONS), "query_id int, question string, doc_type string")
+    qvec = vec_ops.hashed_bow(qs, "query_id", "question").withColumnRenamed("embedding", "query_vec")
+    hits = vec_ops.knn_topk(index, qvec, corpus_id="chunk_id", corpus_filter="doc_type", query_filter="doc_type")
+    return qs, hits.join(chunks.select("chunk_id", "doc_type", "chunk_text"), "chunk_id")
+
+
+@query("rag_retrieval")
+def q_rag_retrieval(spark, sf_dir):
+    _, hits = _question_hits(spark, sf_dir)
+    return hits.select("query_id", "chunk_id", "doc_type", "similarity", "rank")
+
+
+@query("prompt_context")
+def q_prompt_context(spark, sf_dir):
+    qs, hits = _question_hits(spark, sf_dir)
+    return vec_ops.prompt_context(qs, hits, text_col="chunk_text").join(qs.select("query_id", "question"), "query_id")

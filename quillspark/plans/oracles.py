@@ -323,3 +323,148 @@ select vendor_id, vendor_name, state, disputed_count, dispute_rate, total_invoic
 where disputed_count > 0"""))
 oracle("q_zero_amount_invoices", with_layers("""
 select invoice_id, vendor_id, cast(amount as double) amount, status, _amount_was_null from silver where amount = 0"""))
+
+
+# --- documents, chunks, vectors, retrieval ------------------------------------------------------
+def money(expr: str) -> str:
+    txt = f"regexp_replace(cast(cast({expr} as decimal(38,2)) as varchar), '0+$', '')"
+    return f"(case when {expr} is null then null else regexp_replace({txt}, '\\.$', '.0') end)"
+
+
+def sql_text(*parts) -> str:
+    """concat() of literal text (str, newlines as chr(10)) and SQL expressions (tuple ('x', sql))."""
+    out = []
+    for p in parts:
+        if isinstance(p, tuple):
+            out.append(p[1])
+            continue
+        pieces = p.split("\n")
+        for i, piece in enumerate(pieces):
+            if piece:
+                out.append("'" + piece.replace("'", "''") + "'")
+            if i < len(pieces) - 1:
+                out.append("chr(10)")
+    return "concat(" + ", ".join(out) + ")"
+
+
+def x(sql: str):
+    return ("x", sql)
+
+
+def vc(col: str):
+    return x(f"cast({col} as varchar)")
+
+
+VENDOR_DOC_TEXT = sql_text(
+    "Vendor Report: ", vc("vendor_name"), "\nVendor ID: ", vc("vendor_id"), "\nState: ", vc("state"),
+    "\n\nInvoice Summary:\n- Total invoices: ", vc("total_invoices"),
+    "\n- Total invoice value: $", x(money("total_amount")), "\n- Average invoice amount: $", x(money("avg_amount")),
+    "\n- Paid invoices: ", vc("paid_count"), "\n- Overdue invoices: ", vc("overdue_count"),
+    "\n- Disputed invoices: ", vc("disputed_count"),
+    "\n\nRisk Analysis:\n- Overdue rate: ", x(money("overdue_rate")), "%\n- Dispute rate: ", x(money("dispute_rate")),
+    "%\n- Risk score: ", x(money("risk_score")), "\n\nAssessment: ",
+    x("case when risk_score > 10.0 then 'High risk vendor requiring attention.' else 'Low to medium risk vendor.' end"))
+ANOMALY_DOC_TEXT = sql_text(
+    "Anomaly Alert: Invoice ", vc("invoice_id"), "\nRisk Level: ", vc("risk_level"), "\nVendor ID: ", vc("vendor_id"),
+    "\nInvoice Amount: $", x(money("amount")), "\nAnomaly Score: ", vc("anomaly_score"),
+    "\nDays Overdue: ", vc("days_overdue"),
+    "\n\nReason for flagging: This invoice was identified as anomalous by the \nIsolation Forest model. ",
+    x("case when amount = 0 then 'Zero dollar amount detected - possible data entry error or fraudulent submission.' "
+      "else 'Unusual pattern detected compared to vendor historical behavior.' end"),
+    "\n\nRecommended action: ",
+    x("case when risk_level = 'CRITICAL' then 'Immediate review required.' else 'Review within 48 hours.' end"))
+TREND_DOC_TEXT = sql_text(
+    "Monthly Invoice Report: ", vc("year_month"), "\n\nVolume:\n- Total invoices processed: ", vc("total_invoices"),
+    "\n- Total invoice value: $", x(money("total_amount")), "\n- Average invoice amount: $", x(money("avg_amount")),
+    "\n\nPayment Health:\n- Overdue invoices: ", vc("overdue_count"), " (", x(money("overdue_rate")),
+    "% overdue rate)\n- Disputed invoices: ", vc("disputed_count"), "\n\nTrend note: ",
+    x("case when overdue_rate > 15.0 then 'Elevated overdue rate this month - collections team should be alerted.' "
+      "else 'Overdue rate within normal range.' end"))
+
+DOC_CTES = TIERED_CTES + f""",
+vendor_docs as (select concat('vendor_', vendor_id) doc_id, 'vendor_summary' doc_type, vendor_id, {VENDOR_DOC_TEXT} text
+ from vendor_summary),
+anomaly_docs as (select concat('anomaly_', invoice_id) doc_id, 'anomaly_alert' doc_type, invoice_id, risk_level,
+ {ANOMALY_DOC_TEXT} text from (select * from tiered where risk_level in ('CRITICAL', 'HIGH')
+ order by anomaly_score, invoice_id limit 200)),
+trend_docs as (select concat('trend_', year_month) doc_id, 'monthly_trend' doc_type, year_month, {TREND_DOC_TEXT} text
+ from monthly_trends),
+docs as (
+ select doc_id, doc_type, vendor_id, null::varchar invoice_id, null::varchar risk_level, null::varchar year_month, text from vendor_docs
+ union all select doc_id, doc_type, null, invoice_id, risk_level, null, text from anomaly_docs
+ union all select doc_id, doc_type, null, null, null, year_month, text from trend_docs)"""
+
+
+def chunks_sql(src: str, keep: str) -> str:
+    n = ("case when length(text) <= 0 then 0 when length(text) <= 2000 then 1 "
+         "else cast(ceil((length(text) - 2000) / 1800.0) as int) + 1 end")
+    return f"""select {keep}, concat(cast(doc_id as varchar), '_chunk_', cast(chunk_idx as varchar)) chunk_id,
+ substring(text, chunk_idx * 1800 + 1, 2000) chunk_text, cast(chunk_idx as int) chunk_idx
+ from (select *, unnest(generate_series(0, {n} - 1)) chunk_idx from {src})"""
+
+
+def bow_sql(src: str, id_col: str, text_col: str, dims: int = 64) -> str:
+    """Hashed bag-of-words unit vectors, same definition as the Spark embedder."""
+    return f"""(select {id_col}, list_transform(v, lambda x: case when nrm > 0 then x / nrm else 0.0 end) embedding from (
+  select {id_col}, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) nrm from (
+   select {id_col}, list(coalesce(c, 0)::double order by b) v from (
+    select s.{id_col}, r.b, cnt.c from (select distinct {id_col} from {src}) s cross join range({dims}) r(b)
+    left join (select {id_col}, (('0x' || substr(md5(t), 1, 8))::bigint) % {dims} b, count(*) c from (
+      select {id_col}, unnest(regexp_extract_all(lower({text_col}), '[a-z0-9]+')) t from {src}) group by all) cnt
+    on cnt.{id_col} = s.{id_col} and cnt.b = r.b)
+   group by {id_col})))"""
+
+
+oracle("vendor_documents", with_layers("select doc_id, doc_type, vendor_id, text from vendor_docs", DOC_CTES))
+oracle("anomaly_documents", with_layers("select doc_id, doc_type, invoice_id, risk_level, text from anomaly_docs", DOC_CTES))
+oracle("trend_documents", with_layers("select doc_id, doc_type, year_month, text from trend_docs", DOC_CTES))
+oracle("document_union", with_layers("select * from docs", DOC_CTES))
+oracle("document_chunks", with_layers(chunks_sql("docs", "doc_id, doc_type, vendor_id, invoice_id, risk_level, year_month"),
+                                      DOC_CTES))
+TEXT_CHUNKS = chunks_sql("(select doc_id, text, lang, source from documents)", "doc_id, lang, source")
+oracle("chunk_documents", TEXT_CHUNKS)
+oracle("embed_chunks", f"with chunks as ({TEXT_CHUNKS})\nselect * from {bow_sql('chunks', 'chunk_id', 'chunk_text')}")
+
+CENTROIDS = """cent as (select label query_id, list(v order by pos) query_vec from (
+  select label, pos, avg(x) v from (select label, unnest(embedding) x, unnest(generate_series(1, len(embedding))) pos
+  from embeddings) group by label, pos) group by label)"""
+
+
+def knn_sql(filtered: bool) -> str:
+    cond = "where e.label = c.query_id" if filtered else ""
+    return f"""with {CENTROIDS},
+pairs as (select c.query_id, e.vec_id, round(1.0 - (1.0 - list_dot_product(cast(e.embedding as double[]), c.query_vec)
+  / (sqrt(list_dot_product(cast(e.embedding as double[]), cast(e.embedding as double[])))
+     * sqrt(list_dot_product(c.query_vec, c.query_vec)))), 4) similarity from embeddings e cross join cent c {cond})
+select query_id, vec_id, similarity, cast(rank as int) rank from (
+ select *, row_number() over (partition by query_id order by similarity desc, vec_id) rank from pairs) where rank <= 5"""
+
+
+oracle("knn_topk", knn_sql(False))
+oracle("knn_filtered", knn_sql(True))
+
+QUESTIONS = """questions(query_id, question, doc_type) as (values
+ (1, 'Which vendors have the highest overdue rates?', 'vendor_summary'),
+ (2, 'What invoices are flagged as critical risk?', 'anomaly_alert'),
+ (3, 'What were the invoice trends in 2024?', 'monthly_trend'),
+ (4, 'Show me vendors with dispute problems', null),
+ (5, 'Which invoices have zero dollar amounts?', 'anomaly_alert'))"""
+RAG_CTES = DOC_CTES + f""",
+chunks as ({chunks_sql('docs', 'doc_id, doc_type')}),
+index as (select c.chunk_id, c.doc_type, c.chunk_text, v.embedding from chunks c join {bow_sql('chunks', 'chunk_id', 'chunk_text')} v using (chunk_id)),
+{QUESTIONS},
+qvec as (select q.query_id, q.doc_type, v.embedding query_vec from questions q join {bow_sql('questions', 'query_id', 'question')} v using (query_id)),
+pairs as (select q.query_id, i.chunk_id, i.doc_type, i.chunk_text, round(1.0 - (1.0 - case when
+   sqrt(list_dot_product(i.embedding, i.embedding)) * sqrt(list_dot_product(q.query_vec, q.query_vec)) > 0 then
+   list_dot_product(i.embedding, q.query_vec) / (sqrt(list_dot_product(i.embedding, i.embedding)) * sqrt(list_dot_product(q.query_vec, q.query_vec)))
+   else 0.0 end), 4) similarity
+ from index i join qvec q on q.doc_type is null or i.doc_type = q.doc_type),
+hits as (select * from (select *, cast(row_number() over (partition by query_id order by similarity desc, chunk_id) as int) rank
+ from pairs) where rank <= 5)"""
+oracle("rag_retrieval", with_layers("select query_id, chunk_id, doc_type, similarity, rank from hits", RAG_CTES))
+oracle("prompt_context", with_layers("""
+select q.query_id, coalesce(ctx, 'No relevant information found in the knowledge base.') context, q.question
+from questions q left join (
+ select query_id, string_agg(concat('[Source ', cast(rank as varchar), ' | Type: ', coalesce(doc_type, 'unknown'),
+  ' | Relevance: ', cast(similarity as varchar), ']', chr(10), chunk_text), chr(10) || chr(10) || '---' || chr(10) || chr(10)
+  order by rank) ctx from hits group by query_id) h using (query_id)""", RAG_CTES))
