@@ -270,3 +270,34 @@ def q_rag_retrieval(spark, sf_dir):
 def q_prompt_context(spark, sf_dir):
     qs, hits = _question_hits(spark, sf_dir)
     return vec_ops.prompt_context(qs, hits, text_col="chunk_text").join(qs.select("query_id", "question"), "query_id")
+
+
+# --- isolation forest ------------------------------------------------------------------------
+from quillspark.config import MODEL_FEATURES as _MF  # noqa: E402
+from quillspark.operators import iforest  # noqa: E402
+from quillspark.session import materialize  # noqa: E402
+
+
+def forest_run(spark, sf_dir, runs):
+    """features -> scaled matrix (materialised once) -> trees -> scores (materialised) -> decisions."""
+    matrix, cols = feat_ops.model_matrix(_features(spark, sf_dir), _MF)
+    scaled = materialize(feat_ops.standard_scale(matrix, cols))
+    trees = iforest.fit(scaled, cols, runs)
+    scores = materialize(iforest.score(scaled, cols, trees, id_cols=("invoice_id", "vendor_id")))
+    decisions, offsets = iforest.decide(scores, runs)
+    return scaled, cols, trees, decisions, offsets
+
+
+@query("forest_scores")
+def q_forest_scores(spark, sf_dir):
+    runs = iforest.experiments()[:1]
+    _, _, _, decisions, _ = forest_run(spark, sf_dir, runs)
+    amounts = L(spark, sf_dir).silver().select("invoice_id", F.col("amount").cast("double").alias("amount"))
+    return risk_ops.risk_tiers(decisions.drop("run_id")).join(amounts, "invoice_id")
+
+
+@query("forest_runs")
+def q_forest_runs(spark, sf_dir):
+    runs = iforest.experiments()
+    _, cols, _, decisions, _ = forest_run(spark, sf_dir, runs)
+    return iforest.run_metrics(decisions, runs, len(cols))

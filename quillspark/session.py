@@ -65,3 +65,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
     import uuid
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df):
+    """Cut the lineage of a DataFrame that several later passes read: a reliable checkpoint
+    written to the shared ``spark.checkpoint.dir`` (survives executor loss; never a local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
