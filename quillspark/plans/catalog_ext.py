@@ -301,3 +301,54 @@ def q_forest_runs(spark, sf_dir):
     runs = iforest.experiments()
     _, cols, _, decisions, _ = forest_run(spark, sf_dir, runs)
     return iforest.run_metrics(decisions, runs, len(cols))
+
+
+# --- streaming ingest --------------------------------------------------------------------------
+from quillspark.functions.exprs import nan_to_null  # noqa: E402
+from quillspark.session import scratch_path  # noqa: E402
+from quillspark.streaming import ingest  # noqa: E402
+
+
+@query("event_envelope")
+def q_event_envelope(spark, sf_dir):
+    """Keyed publish projection; fields read back from the JSON value."""
+    lay = L(spark, sf_dir)
+    env = ingest.envelope(lay.raw(), lay.cfg.ingested_at)
+    m = F.from_json("value", ingest.MESSAGE_SCHEMA, {"allowNonNumericNumbers": "true"})
+    return env.select("key", m.alias("m")).select(
+        "key", "m.event_type", "m.event_timestamp", "m.source_system",
+        F.col("m.payload.invoice_id").alias("invoice_id"), nan_to_null("m.payload.amount").alias("amount"))
+
+
+@query("event_unwrap")
+def q_event_unwrap(spark, sf_dir):
+    """Mixed feed: even invoice numbers arrive in an envelope, odd ones as a bare payload; both unwrap alike."""
+    lay = L(spark, sf_dir)
+    raw = lay.raw()
+    env = ingest.envelope(raw, lay.cfg.ingested_at)
+    bare = raw.select(F.to_json(F.struct(*[F.col(c) for c in raw.columns])).alias("value"),
+                      F.col("invoice_id").alias("__id"))
+    env = env.select("value", F.get_json_object("value", "$.payload.invoice_id").alias("__id"))
+    even = F.substring("__id", 13, 1).cast("int") % 2 == 0
+    mixed = env.where(even).unionByName(bare.where(~even)).drop("__id")
+    return ingest.unwrap(mixed).withColumn("amount", nan_to_null("amount"))
+
+
+def _stream_run(spark, sf_dir):
+    lay = L(spark, sf_dir)
+    topic = scratch_path(spark, "topic")
+    ingest.publish_files(lay.raw(), topic, lay.cfg.ingested_at, files=8)
+    out, ckpt = scratch_path(spark, "stream-bronze"), scratch_path(spark, "stream-ckpt")
+    res = ingest.run_stream_bronze(ingest.file_source(spark, topic, max_files=1), out, ckpt, lay.cfg.ingested_at)
+    return res
+
+
+@query("stream_bronze")
+def q_stream_bronze(spark, sf_dir):
+    res = _stream_run(spark, sf_dir)
+    return spark.read.parquet(res.output).drop("_ingested_at")
+
+
+@query("stream_progress")
+def q_stream_progress(spark, sf_dir):
+    return ingest.progress_frame(spark, _stream_run(spark, sf_dir))

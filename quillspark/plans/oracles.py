@@ -468,3 +468,11 @@ from questions q left join (
  select query_id, string_agg(concat('[Source ', cast(rank as varchar), ' | Type: ', coalesce(doc_type, 'unknown'),
   ' | Relevance: ', cast(similarity as varchar), ']', chr(10), chunk_text), chr(10) || chr(10) || '---' || chr(10) || chr(10)
   order by rank) ctx from hits group by query_id) h using (query_id)""", RAG_CTES))
+
+
+# --- streaming -----------------------------------------------------------------------------
+oracle("event_envelope", with_layers("""
+select vendor_id key, 'INVOICE_RECEIVED' event_type, '2001-01-01T00:00:00' event_timestamp,
+ 'invoice_feed_v1' source_system, invoice_id, amount from raw"""))
+oracle("event_unwrap", with_layers("select * from raw"))
+oracle("stream_bronze", with_layers("select * replace ('kafka_stream' as _source) from bronze"))
