@@ -352,3 +352,17 @@ def q_stream_bronze(spark, sf_dir):
 @query("stream_progress")
 def q_stream_progress(spark, sf_dir):
     return ingest.progress_frame(spark, _stream_run(spark, sf_dir))
+
+
+# --- storage round trips ---------------------------------------------------------------------
+from quillspark.plans import pipeline  # noqa: E402
+
+
+@query("silver_partition_prune")
+def q_silver_partition_prune(spark, sf_dir):
+    """Silver written hive-partitioned, read back with a filter on the partition columns
+    (the scan lists only the matching directories: PartitionFilters in the plan)."""
+    res = pipeline.batch_from_tables(spark, sf_dir, scratch_path(spark, "lake"))
+    silver = spark.read.parquet(res.paths.silver)
+    part = silver.where((F.col("invoice_year") == 1998) & (F.col("payment_quarter") == "Q2"))
+    return gold_ops.status_breakdown(part)

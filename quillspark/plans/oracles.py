@@ -476,3 +476,5 @@ select vendor_id key, 'INVOICE_RECEIVED' event_type, '2001-01-01T00:00:00' event
  'invoice_feed_v1' source_system, invoice_id, amount from raw"""))
 oracle("event_unwrap", with_layers("select * from raw"))
 oracle("stream_bronze", with_layers("select * replace ('kafka_stream' as _source) from bronze"))
+oracle("silver_partition_prune", with_layers("""
+select status, cast(count(*) as bigint) n from silver where invoice_year = 1998 and payment_quarter = 'Q2' group by status"""))
