@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.exprs import np_round, scalar_join
 from quillspark.functions.quantiles import exact_percentiles
+from quillspark.session import materialize
 
 TIER_PROBS = (0.05, 0.10, 0.25)
 
@@ -21,8 +22,14 @@ def fixed_score(silver: DataFrame) -> DataFrame:
                          "days_overdue", score.alias("anomaly_score"))
 
 
-def risk_tiers(scored: DataFrame, score: str = "anomaly_score") -> DataFrame:
-    """score <= p5 CRITICAL, <= p10 HIGH, <= p25 MEDIUM, else LOW (exact numpy percentiles)."""
+def risk_tiers(scored: DataFrame, score: str = "anomaly_score", materialize_input: bool = True) -> DataFrame:
+    """score <= p5 CRITICAL, <= p10 HIGH, <= p25 MEDIUM, else LOW (exact numpy percentiles).
+
+    The percentiles read the scores in three passes and the tiers in a fourth, so the scored
+    input is materialised once first (lineage cut) unless the caller already did.
+    """
+    if materialize_input:
+        scored = materialize(scored)
     cuts = exact_percentiles(scored, score, TIER_PROBS, names=["__p5", "__p10", "__p25"])
     s = F.col(score)
     tier = (F.when(s <= F.col("__p5"), "CRITICAL").when(s <= F.col("__p10"), "HIGH")
@@ -30,8 +37,11 @@ def risk_tiers(scored: DataFrame, score: str = "anomaly_score") -> DataFrame:
     return scalar_join(scored, cuts).withColumn("risk_level", tier).drop("__p5", "__p10", "__p25")
 
 
-def contamination_cut(scored: DataFrame, contamination: float, score: str = "anomaly_score") -> DataFrame:
+def contamination_cut(scored: DataFrame, contamination: float, score: str = "anomaly_score",
+                      materialize_input: bool = True) -> DataFrame:
     """decision = score - percentile(score, contamination); anomaly when decision < 0."""
+    if materialize_input:
+        scored = materialize(scored)
     cut = exact_percentiles(scored, score, [contamination], names=["__cut"])
     return (scalar_join(scored, cut)
             .withColumn("decision", F.col(score) - F.col("__cut"))

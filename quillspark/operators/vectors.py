@@ -30,24 +30,27 @@ def token_bucket(tok: Column, dims: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int")
 
 
-def hashed_bow(df: DataFrame, id_col: str, text_col: str, dims: int = HASH_DIMS) -> DataFrame:
-    """Unit-length bag-of-words vectors (``array<double>``) by feature hashing; all rows of ``df`` kept.
-
-    Tokens are exploded and counted per (id, bucket) with map-side partial aggregation, so
-    one shuffle moves at most ``dims`` rows per text, never the tokens themselves.
+def hashed_bow(df: DataFrame, id_col: str, text_col: str, dims: int = HASH_DIMS,
+               keep: Sequence[str] = ()) -> DataFrame:
+    """Unit-length bag-of-words vectors (``array<double>``) by feature hashing: (id, *keep, embedding).
+
+    Tokens are exploded and counted per (id, bucket) with map-side partial aggregation, so the
+    shuffles move at most ``dims`` small rows per text, never the tokens or the text itself.
+    ``explode_outer`` keeps texts without tokens (zero vector). ``keep`` columns must be
+    functions of the id (e.g. a document type); they ride along as grouping keys.
     """
-    toks = df.select(F.col(id_col).alias("__id"),
-                     F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0)).alias("__t"))
-    counts = toks.groupBy("__id", token_bucket(F.col("__t"), dims).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
-    sparse = counts.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("__b", "__c"))).alias("__m"))
+    keys = [F.col(id_col).alias("__id")] + [F.col(c) for c in keep]
+    toks = df.select(*keys, F.explode_outer(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0))
+                     .alias("__t"))
+    bucket = F.when(F.col("__t").isNull(), F.lit(-1)).otherwise(token_bucket(F.col("__t"), dims))
+    counts = toks.groupBy("__id", *keep, bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+    sparse = counts.groupBy("__id", *keep).agg(F.map_from_entries(F.collect_list(F.struct("__b", "__c"))).alias("__m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
                         lambda i: F.coalesce(F.col("__m")[i], F.lit(0)).cast("double"))
     norm = F.sqrt(F.aggregate(F.col("__v"), F.lit(0.0), lambda acc, x: acc + x * x))
-    vecs = (sparse.select("__id", dense.alias("__v"))
-            .select("__id", F.transform("__v", lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))).alias("embedding")))
-    zero = F.array_repeat(F.lit(0.0), dims)
-    return (df.join(vecs, df[id_col] == vecs["__id"], "left").drop("__id")
-            .withColumn("embedding", F.coalesce(F.col("embedding"), zero)))
+    return (sparse.select("__id", *keep, dense.alias("__v"))
+            .select(F.col("__id").alias(id_col), *keep,
+                    F.transform("__v", lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))).alias("embedding")))
 
 
 def embed_batches(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list[float]]], dims: int,

@@ -26,8 +26,8 @@ def query(key: str):
     return deco
 
 
-def L(spark: SparkSession, sf_dir: str) -> Layers:
-    return Layers(spark, sf_dir, RunConfig())
+def L(spark: SparkSession, sf_dir: str, shared: bool = False) -> Layers:
+    return Layers(spark, sf_dir, RunConfig(), shared=shared)
 
 
 # --- bronze / silver -----------------------------------------------------------------------

@@ -12,6 +12,7 @@ from quillspark.operators import gold as gold_ops
 from quillspark.operators import quality as qual_ops
 from quillspark.operators import risk as risk_ops
 from quillspark.plans.catalog import L, query
+from quillspark.session import materialize
 from quillspark.sources.tables import read_table
 
 # Category one-hot columns of the driver data (customer market segments, title-cased).
@@ -33,13 +34,13 @@ def q_quality_silver(spark, sf_dir):
 
 @query("quality_gold")
 def q_quality_gold(spark, sf_dir):
-    lay = L(spark, sf_dir)
+    lay = L(spark, sf_dir, shared=True)
     return qual_ops.gold_report(spark, lay.vendor_summary(), lay.monthly_trends(), lay.category_analysis(), lay.cfg)
 
 
 @query("quality_summary")
 def q_quality_summary(spark, sf_dir):
-    lay = L(spark, sf_dir)
+    lay = L(spark, sf_dir, shared=True)
     report = (qual_ops.bronze_report(spark, lay.bronze(), lay.cfg)
               .unionByName(qual_ops.silver_report(spark, lay.silver(), lay.cfg))
               .unionByName(qual_ops.gold_report(spark, lay.vendor_summary(), lay.monthly_trends(),
@@ -48,8 +49,8 @@ def q_quality_summary(spark, sf_dir):
 
 
 # --- features ------------------------------------------------------------------------------
-def _features(spark, sf_dir):
-    lay = L(spark, sf_dir)
+def _features(spark, sf_dir, lay=None):
+    lay = lay or L(spark, sf_dir, shared=True)
     silver = lay.silver()
     inv = feat_ops.invoice_features(silver, FIXTURE_CATEGORIES)
     return feat_ops.vendor_features(inv, gold_ops.vendor_summary(silver))
@@ -72,12 +73,12 @@ def q_standard_scaler(spark, sf_dir):
 
 
 # --- scores, tiers, percentiles --------------------------------------------------------------
-def _fixed_scored(spark, sf_dir):
-    return risk_ops.fixed_score(L(spark, sf_dir).silver())
+def _fixed_scored(spark, sf_dir, lay=None):
+    return risk_ops.fixed_score((lay or L(spark, sf_dir)).silver())
 
 
-def _fixed_tiered(spark, sf_dir):
-    scored = _fixed_scored(spark, sf_dir).withColumn("is_anomaly", F.col("anomaly_score") < 0)
+def _fixed_tiered(spark, sf_dir, lay=None):
+    scored = _fixed_scored(spark, sf_dir, lay).withColumn("is_anomaly", F.col("anomaly_score") < 0)
     return risk_ops.risk_tiers(scored)
 
 
@@ -164,10 +165,10 @@ from quillspark.operators import vectors as vec_ops  # noqa: E402
 
 
 def _gold_docs(spark, sf_dir):
-    lay = L(spark, sf_dir)
+    lay = L(spark, sf_dir, shared=True)
     return doc_ops.document_union(
         doc_ops.vendor_documents(lay.vendor_summary(), lay.cfg.high_risk_score),
-        doc_ops.anomaly_documents(_fixed_tiered(spark, sf_dir), lay.cfg.anomaly_doc_cap),
+        doc_ops.anomaly_documents(_fixed_tiered(spark, sf_dir, lay), lay.cfg.anomaly_doc_cap),
         doc_ops.trend_documents(lay.monthly_trends(), lay.cfg.elevated_overdue_rate))
 
 
@@ -209,8 +210,7 @@ def q_chunk_documents(spark, sf_dir):
 # --- vectors and retrieval -------------------------------------------------------------------
 @query("embed_chunks")
 def q_embed_chunks(spark, sf_dir):
-    return vec_ops.hashed_bow(_text_chunks(spark, sf_dir).select("chunk_id", "chunk_text"), "chunk_id", "chunk_text") \
-        .select("chunk_id", "embedding")
+    return vec_ops.hashed_bow(_text_chunks(spark, sf_dir), "chunk_id", "chunk_text")
 
 
 def label_centroids(emb):
@@ -252,10 +252,11 @@ DEMO_QUESTIONS = (
 
 
 def _question_hits(spark, sf_dir):
-    chunks = doc_ops.chunk_documents(_gold_docs(spark, sf_dir))
-    index = vec_ops.hashed_bow(chunks, "chunk_id", "chunk_text")
+    # the chunk table feeds the index and the text lookup: materialised once
+    chunks = materialize(doc_ops.chunk_documents(_gold_docs(spark, sf_dir)).select("chunk_id", "doc_type", "chunk_text"))
+    index = vec_ops.hashed_bow(chunks, "chunk_id", "chunk_text", keep=["doc_type"])
     qs = spark.createDataFrame(list(DEMO_QUESTIONS), "query_id int, question string, doc_type string")
-    qvec = vec_ops.hashed_bow(qs, "query_id", "question").withColumnRenamed("embedding", "query_vec")
+    qvec = vec_ops.hashed_bow(qs, "query_id", "question", keep=["doc_type"]).withColumnRenamed("embedding", "query_vec")
     hits = vec_ops.knn_topk(index, qvec, corpus_id="chunk_id", corpus_filter="doc_type", query_filter="doc_type")
     return qs, hits.join(chunks.select("chunk_id", "doc_type", "chunk_text"), "chunk_id")
 
@@ -275,12 +276,11 @@ def q_prompt_context(spark, sf_dir):
 # --- isolation forest ------------------------------------------------------------------------
 from quillspark.config import MODEL_FEATURES as _MF  # noqa: E402
 from quillspark.operators import iforest  # noqa: E402
-from quillspark.session import materialize  # noqa: E402
 
 
-def forest_run(spark, sf_dir, runs):
+def forest_run(spark, sf_dir, runs, lay=None):
     """features -> scaled matrix (materialised once) -> trees -> scores (materialised) -> decisions."""
-    matrix, cols = feat_ops.model_matrix(_features(spark, sf_dir), _MF)
+    matrix, cols = feat_ops.model_matrix(_features(spark, sf_dir, lay), _MF)
     scaled = materialize(feat_ops.standard_scale(matrix, cols))
     trees = iforest.fit(scaled, cols, runs)
     scores = materialize(iforest.score(scaled, cols, trees, id_cols=("invoice_id", "vendor_id")))
@@ -291,8 +291,9 @@ def forest_run(spark, sf_dir, runs):
 @query("forest_scores")
 def q_forest_scores(spark, sf_dir):
     runs = iforest.experiments()[:1]
-    _, _, _, decisions, _ = forest_run(spark, sf_dir, runs)
-    amounts = L(spark, sf_dir).silver().select("invoice_id", F.col("amount").cast("double").alias("amount"))
+    lay = L(spark, sf_dir, shared=True)
+    _, _, _, decisions, _ = forest_run(spark, sf_dir, runs, lay)
+    amounts = lay.silver().select("invoice_id", F.col("amount").cast("double").alias("amount"))
     return risk_ops.risk_tiers(decisions.drop("run_id")).join(amounts, "invoice_id")
 
 

@@ -15,14 +15,21 @@ from quillspark.config import RunConfig
 from quillspark.operators import bronze as bronze_ops
 from quillspark.operators import gold as gold_ops
 from quillspark.operators import silver as silver_ops
+from quillspark.session import materialize
 from quillspark.sources.fixtures import raw_invoices
 
 
 @dataclass
 class Layers:
+    """``shared=True``: silver is materialised once (reliable checkpoint in spark.checkpoint.dir)
+    for queries that read it several times (checks, several gold tables, documents, the forest);
+    single-consumer queries stay fully lazy so Catalyst can prune and push down end to end."""
+
     spark: SparkSession
     sf_dir: str
     cfg: RunConfig = RunConfig()
+    shared: bool = False
+    _silver: DataFrame | None = None
 
     def raw(self) -> DataFrame:
         return raw_invoices(self.spark, self.sf_dir)
@@ -31,7 +38,11 @@ class Layers:
         return bronze_ops.add_metadata(self.raw(), self.cfg.ingested_at)
 
     def silver(self) -> DataFrame:
-        return silver_ops.transform(self.bronze(), self.cfg)
+        if not self.shared:
+            return silver_ops.transform(self.bronze(), self.cfg)
+        if self._silver is None:
+            self._silver = materialize(silver_ops.transform(self.bronze(), self.cfg))
+        return self._silver
 
     def vendor_summary(self) -> DataFrame:
         return gold_ops.vendor_summary(self.silver())

@@ -172,7 +172,8 @@ def _checks(layer: str, table: str, checks: list[tuple[str, str, str]]) -> str:
     parts = []
     for name, passed, detail in checks:
         esc = name.replace("'", "''")
-        parts.append(f"select '{layer}' layer, '{esc}' \"check\", ({passed}) passed, ({detail}) detail from {table}")
+        src = "(select 1) one" if passed in ("true", "false") else table   # schema checks: one row, no scan
+        parts.append(f"select '{layer}' layer, '{esc}' \"check\", ({passed}) passed, ({detail}) detail from {src}")
     return "\nunion all\n".join(parts)
 
 

@@ -120,11 +120,12 @@ def run_retrieval(spark: SparkSession, root: str, questions: DataFrame, cfg: Run
         doc_ops.trend_documents(spark.read.parquet(p.monthly_trends), cfg.elevated_overdue_rate))
     io.write_json(doc_ops.chunk_documents(docs).drop("text"), p.chunks)
     chunks = io.read_chunks_json(spark, p.chunks)
-    io.write_vectors(vec_ops.hashed_bow(chunks, "chunk_id", "chunk_text"), p.vectors)
+    io.write_vectors(vec_ops.hashed_bow(chunks, "chunk_id", "chunk_text", keep=["doc_type"]), p.vectors)
     index = spark.read.parquet(p.vectors)
-    qvec = vec_ops.hashed_bow(questions, "query_id", "question").withColumnRenamed("embedding", "query_vec")
+    qvec = (vec_ops.hashed_bow(questions, "query_id", "question", keep=["doc_type"])
+            .withColumnRenamed("embedding", "query_vec"))
     hits = vec_ops.knn_topk(index, qvec, corpus_id="chunk_id", corpus_filter="doc_type", query_filter="doc_type")
-    hits = hits.join(index.select("chunk_id", "doc_type", "chunk_text"), "chunk_id")
+    hits = hits.join(chunks.select("chunk_id", "doc_type", "chunk_text"), "chunk_id")
     answers = vec_ops.prompt_context(questions, hits, text_col="chunk_text").join(questions, "query_id")
     io.write_json(answers, p.answers)
     return spark.read.json(p.answers)
