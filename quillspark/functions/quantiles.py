@@ -38,51 +38,58 @@ def virtual_index(n: Column, q: Column) -> Column:
     return (n - 1).cast("double") * q
 
 
+def _attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Attach per-group values: a one-row broadcast when ungrouped, else an equi-join on the group keys
+    (the group table has one row per group; Spark broadcasts it when its measured size allows)."""
+    return scalar_join(df, small) if not by else df.join(small, list(by))
+
+
 def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[str] | None = None,
-                      accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One row with one double column per probability (``names`` or ``p0, p1, ...``)."""
+                      accuracy: int = DEFAULT_ACCURACY, by: Sequence[str] = ()) -> DataFrame:
+    """One row (per group of ``by``) with one double column per probability (``names`` or ``p0, p1, ...``)."""
     names = list(names or [f"p{i}" for i in range(len(probs))])
+    by = list(by)
     eps = 3.0 / accuracy
     x = F.col(col).cast("double")
-    vals = df.select(x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    vals = df.select(*by, x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
 
     band_probs: list[float] = []
     for p in probs:
         band_probs += [max(0.0, p - eps), min(1.0, p + eps)]
-    sketch = vals.agg(F.count(F.lit(1)).alias("__n"),
-                      F.percentile_approx("__x", band_probs, accuracy).alias("__band"))
+    sketch = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"),
+                                   F.percentile_approx("__x", band_probs, accuracy).alias("__band"))
     m = len(probs)
-    bands = sketch.select("__n", *[F.col("__band")[2 * i].alias(f"__lo{i}") for i in range(m)],
+    bands = sketch.select(*by, "__n", *[F.col("__band")[2 * i].alias(f"__lo{i}") for i in range(m)],
                           *[F.col("__band")[2 * i + 1].alias(f"__hi{i}") for i in range(m)])
 
-    marked = scalar_join(vals, bands)
+    marked = _attach(vals, bands, by)
     # With few rows (n <= 4 * accuracy) the rank margin of the sketch is under a handful of rows,
     # so the whole column is the band (still at most 4 * accuracy distinct values per percentile).
     whole = F.col("__n") <= F.lit(4 * accuracy)
     # rows below each band: exact counts in the same pass that extracts band members
-    below = marked.agg(*[F.count_if(~whole & (F.col("__x") < F.col(f"__lo{i}"))).alias(f"__below{i}")
-                         for i in range(m)])
+    below = marked.groupBy(*by).agg(*[F.count_if(~whole & (F.col("__x") < F.col(f"__lo{i}"))).alias(f"__below{i}")
+                                      for i in range(m)])
     in_band = F.filter(F.array(*[F.lit(i) for i in range(m)]),
                        lambda i: whole | (
                            (F.col("__x") >= F.get(F.array(*[F.col(f"__lo{k}") for k in range(m)]), i))
                            & (F.col("__x") <= F.get(F.array(*[F.col(f"__hi{k}") for k in range(m)]), i))))
-    members = (marked.select(F.explode(in_band).alias("__pid"), "__x")
-               .groupBy("__pid", "__x").agg(F.count(F.lit(1)).alias("__c")))
+    members = (marked.select(*by, F.explode(in_band).alias("__pid"), "__x")
+               .groupBy(*by, "__pid", "__x").agg(F.count(F.lit(1)).alias("__c")))
 
-    ctx = scalar_join(members, scalar_join(bands.select("__n"), below))
-    w = Window.partitionBy("__pid").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ctx = _attach(members, _attach(bands.select(*by, "__n"), below, by), by)
+    w = Window.partitionBy(*by, "__pid").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     below_p = F.get(F.array(*[F.col(f"__below{k}") for k in range(m)]), F.col("__pid"))
     q_p = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("__pid"))
     vidx = virtual_index(F.col("__n"), q_p)
     j0 = F.floor(vidx)
     j1 = F.least(j0 + 1, F.col("__n") - 1)
     # rank (0-based) of the last row with this value = below + running count - 1
-    ranked = ctx.select("__pid", "__x", (below_p + F.sum("__c").over(w)).alias("__upto"),
+    ranked = ctx.select(*by, "__pid", "__x", (below_p + F.sum("__c").over(w)).alias("__upto"),
                         j0.alias("__j0"), j1.alias("__j1"), (vidx - j0).alias("__t"))
-    picked = ranked.groupBy("__pid").agg(
+    picked = ranked.groupBy(*by, "__pid").agg(
         F.min(F.when(F.col("__upto") > F.col("__j0"), F.col("__x"))).alias("__a"),
         F.min(F.when(F.col("__upto") > F.col("__j1"), F.col("__x"))).alias("__b"),
         F.first("__t").alias("__t"))
     value = numpy_lerp(F.col("__a"), F.col("__b"), F.col("__t"))
-    # pivot the (pid, value) rows into one row; the grouping is over m rows only
-    return picked.agg(*[F.max(F.when(F.col("__pid") == i, value)).alias(nm) for i, nm in enumerate(names)])
+    # pivot the (pid, value) rows into one row per group; m rows per group only
+    return picked.groupBy(*by).agg(*[F.max(F.when(F.col("__pid") == i, value)).alias(nm) for i, nm in enumerate(names)])

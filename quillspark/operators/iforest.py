@@ -80,18 +80,29 @@ def _psi(p: ForestParams) -> F.Column:
 
 
 def sample_trees(matrix: DataFrame, id_col: str, runs: Sequence[ForestParams]) -> DataFrame:
-    """Rows (run_id, tree_id, __psi, <id>, features...) holding each tree's psi-row sample."""
+    """Rows (run_id, tree_id, __psi, <id>, features...) holding each tree's psi-row sample.
+
+    Stage 1 keeps a pool of min(n, TREE_FACTOR * trees * psi) rows with one hash per row.
+    Stage 2 sends each pool row to R = ceil(TREE_FACTOR * trees * psi / pool) trees chosen by R
+    hashes (R = 1 on large data, so the work per row does not grow with the number of trees);
+    when R reaches half the trees (tiny data) every tree tests its own hash instead. Each tree
+    then keeps its psi smallest-hash rows (~TREE_FACTOR * psi candidates).
+    """
     m = scalar_join(matrix, matrix.agg(F.count(F.lit(1)).alias("__n")))
     parts = []
     for p in runs:
-        # stage 1: a pool of ~POOL_FACTOR * trees * psi rows (one hash per row)
-        pool_size = F.least(F.col("__n").cast("double"), F.lit(POOL_FACTOR * p.n_estimators) * _psi(p))
-        pool = m.where(_hash01(F.col(id_col), F.lit(p.seed), F.lit(p.run_id), F.lit("pool"))
-                       < pool_size / F.col("__n"))
-        # stage 2: each pool row joins the trees whose own hash test it passes (~TREE_FACTOR * psi per tree)
+        t_count = p.n_estimators
+        want = F.lit(TREE_FACTOR * t_count) * _psi(p)
+        pool_size = F.least(F.col("__n").cast("double"), want)
+        pool = m.where(_hash01(F.col(id_col), F.lit(p.seed), F.lit(p.run_id), F.lit("pool")) < pool_size / F.col("__n"))
+        r = F.least(F.lit(t_count), F.ceil(want / pool_size).cast("int"))
+        chosen = F.array_distinct(F.transform(
+            F.sequence(F.lit(0), r - 1),
+            lambda j: F.pmod(F.xxhash64(F.col(id_col), F.lit(p.seed), F.lit(p.run_id), j), F.lit(t_count)).cast("int")))
         tree_p = F.least(F.lit(1.0), F.lit(TREE_FACTOR) * _psi(p) / pool_size)
-        trees = F.filter(F.sequence(F.lit(0), F.lit(p.n_estimators - 1)),
+        every = F.filter(F.sequence(F.lit(0), F.lit(t_count - 1)),
                          lambda t: _hash01(F.col(id_col), F.lit(p.seed), F.lit(p.run_id), t) < tree_p)
+        trees = F.when(r * 2 >= F.lit(t_count), every).otherwise(chosen)
         parts.append(pool.select(F.lit(p.run_id).alias("run_id"), F.explode(trees).alias("tree_id"),
                                  _psi(p).alias("__psi"), *matrix.columns))
     cand = reduce(DataFrame.unionByName, parts)
@@ -222,19 +233,21 @@ def score(matrix: DataFrame, feature_cols: Sequence[str], trees: DataFrame, id_c
 
 
 def decide(scores: DataFrame, runs: Sequence[ForestParams]) -> tuple[DataFrame, DataFrame]:
-    """Per run: offset = exact percentile of the scores at ``contamination``; decision = score - offset.
+    """Per run: offset = exact percentile of its scores at its ``contamination``; decision = score - offset.
 
-    Returns (decisions, offsets). One bounded percentile plan per run (the run list is a parameter).
+    One grouped percentile plan (by run_id) serves every run. Returns (decisions, offsets); the
+    offsets table has one row per run (a parameter-sized table, broadcast back).
     """
-    outs, offs = [], []
+    levels = sorted({p.contamination for p in runs})
+    cuts = exact_percentiles(scores, "score", levels, names=[f"__c{i}" for i in range(len(levels))], by=["run_id"])
+    pick = F.lit(None).cast("double")
     for p in runs:
-        s = scores.where(F.col("run_id") == p.run_id)
-        off = exact_percentiles(s, "score", [p.contamination], names=["offset"]).withColumn("run_id", F.lit(p.run_id))
-        offs.append(off)
-        outs.append(scalar_join(s, off.drop("run_id"))
-                    .withColumn("anomaly_score", F.col("score") - F.col("offset"))
-                    .withColumn("is_anomaly", F.col("anomaly_score") < 0).drop("score", "offset"))
-    return reduce(DataFrame.unionByName, outs), reduce(DataFrame.unionByName, offs)
+        pick = F.when(F.col("run_id") == p.run_id, F.col(f"__c{levels.index(p.contamination)}")).otherwise(pick)
+    offsets = cuts.select("run_id", pick.alias("offset"))
+    decisions = (scores.join(F.broadcast(offsets), "run_id")
+                 .withColumn("anomaly_score", F.col("score") - F.col("offset"))
+                 .withColumn("is_anomaly", F.col("anomaly_score") < 0).drop("score", "offset"))
+    return decisions, offsets
 
 
 def run_metrics(decisions: DataFrame, runs: Sequence[ForestParams], n_features: int) -> DataFrame:

@@ -18,15 +18,15 @@ def dedup_keep_first(df: DataFrame, key: str = "_row_hash",
                      order: Sequence[str] = ("_ingested_at", "created_at", "invoice_id")) -> DataFrame:
     """Keep one row per ``key``: the first by ``order`` (then by every other column, so the pick is total).
 
-    Written as an aggregation (``min_by``) rather than ``row_number`` over a window: the
-    aggregation combines map-side before the shuffle, so a key that holds a third of all
-    rows (a feed that re-sends the same record) collapses to one row per task instead of
-    being sorted in a single task.
+    Written as an aggregation (``min`` of a struct led by the ordering columns) rather than
+    ``row_number`` over a window: the aggregation combines map-side before the shuffle, so a key
+    that holds a third of all rows (a feed that re-sends the same record) collapses to one row
+    per task instead of being sorted in a single task.
     """
     rest = [c for c in df.columns if c != key]
     ordering = [c for c in order if c in rest] + [c for c in rest if c not in order]
-    picked = F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in ordering]))
-    return df.groupBy(key).agg(picked.alias("__row")).select(*[F.col(f"__row.{c}").alias(c) for c in rest], key) \
+    first = F.min(F.struct(*[F.col(c) for c in ordering]))
+    return df.groupBy(key).agg(first.alias("__row")).select(*[F.col(f"__row.{c}").alias(c) for c in rest], key) \
         .select(*df.columns)
 
 
