@@ -85,14 +85,50 @@ def rate_pct(part: str | Column, whole: str | Column, n: int = 2) -> Column:
     return np_round(F.try_divide(col_(part).cast("double"), col_(whole).cast("double")) * F.lit(100.0), n)
 
 
-def scalar_join(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row global aggregate to every row of ``df``.
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row global aggregate to every row of ``df`` as typed literals.
 
-    The right side is a global aggregate without grouping keys, so it has exactly one
-    row by construction; broadcasting it is a proven size bound. The join is an
-    equi-join on a constant key (no cartesian product is planned).
+    The aggregate has no grouping keys, so it is exactly one row (checked): only that row reaches
+    the driver, and the plan of ``df`` gets constant columns instead of a join (no cartesian or
+    nested-loop join is planned, and the constants fold into the projection's codegen).
     """
-    key = "__scalar_key"
-    return (df.withColumn(key, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(key, F.lit(1))), key)
-            .drop(key))
+    rows = one_row.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected a one-row aggregate, got {len(rows)} rows")
+    r = rows[0]
+    return df.select("*", *[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in one_row.schema.fields])
+
+
+def py_float_text(c: str | Column) -> Column:
+    """``str(x)`` of a Python float, built from Spark's own shortest digits.
+
+    Spark (Java) switches to ``d.dddE-5`` below 1e-3 and from 1e7 up; Python prints positional
+    text for 1e-4 <= |x| < 1e16 and ``d.ddde-05`` / ``d.ddde+16`` outside. The digits are the same;
+    only the layout is rebuilt. NaN and infinities print as ``nan`` / ``inf``. Exact for |x| < 1e16
+    (checked against ``repr`` on random values); above that Java 17 may print one extra digit.
+    """
+    x = col_(c).cast("double")
+    s = x.cast("string")
+    neg = F.startswith(s, F.lit("-"))
+    body = F.regexp_replace(s, r"^-", "")
+    mant = F.substring_index(body, "E", 1)
+    e = F.substring_index(body, "E", -1).cast("int")
+    raw_digits = F.regexp_replace(F.regexp_replace(mant, r"\.", ""), r"0+$", "")
+    digits = F.when(raw_digits == "", F.lit("0")).otherwise(raw_digits)
+    n = F.length(digits)
+    positional = (
+        F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
+         .when(n <= e + 1, F.concat(digits, F.repeat(F.lit("0"), e + 1 - n), F.lit(".0")))
+         .otherwise(F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, n))))
+    sci = F.concat(
+        F.when(n == 1, digits).otherwise(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n))),
+        F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
+        F.when(F.abs(e) < 10, F.concat(F.lit("0"), F.abs(e).cast("string"))).otherwise(F.abs(e).cast("string")))
+    rebuilt = F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")),
+                       F.when((e >= -4) & (e < 16), positional).otherwise(sci))
+    return (F.when(x.isNull(), F.lit(None).cast("string"))
+             .when(F.isnan(x), F.lit("nan"))
+             .when(x == float("inf"), F.lit("inf"))
+             .when(x == float("-inf"), F.lit("-inf"))
+             .when(~F.contains(s, F.lit("E")), s)
+             .otherwise(rebuilt))

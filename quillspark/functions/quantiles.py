@@ -11,8 +11,9 @@ buffer of one final task: unbounded at scale. Here:
    running sum to find the two order statistics around the virtual index, which are
    interpolated exactly as numpy does.
 
-The result is a one-row DataFrame (no driver round trip), to be attached with
-``scalar_join``. Null and NaN inputs are ignored, like numpy on a cleaned column.
+Ungrouped, the sketch bounds and the below-counts are one-row results attached as literals
+(``with_scalars``); grouped (``by``), they are joined on the group keys. The result is a
+DataFrame with one row (per group). Null and NaN inputs are ignored, like numpy on a cleaned column.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.exprs import scalar_join
+from quillspark.functions.exprs import with_scalars
 
 DEFAULT_ACCURACY = 100_000
 
@@ -39,9 +40,9 @@ def virtual_index(n: Column, q: Column) -> Column:
 
 
 def _attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach per-group values: a one-row broadcast when ungrouped, else an equi-join on the group keys
-    (the group table has one row per group; Spark broadcasts it when its measured size allows)."""
-    return scalar_join(df, small) if not by else df.join(small, list(by))
+    """Attach per-group values: literals from the one-row result when ungrouped, else an equi-join on
+    the group keys (one row per group; Spark broadcasts it when its measured size allows)."""
+    return with_scalars(df, small) if not by else df.join(small, list(by))
 
 
 def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[str] | None = None,
@@ -73,10 +74,11 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float], names: Se
                        lambda i: whole | (
                            (F.col("__x") >= F.get(F.array(*[F.col(f"__lo{k}") for k in range(m)]), i))
                            & (F.col("__x") <= F.get(F.array(*[F.col(f"__hi{k}") for k in range(m)]), i))))
-    members = (marked.select(*by, F.explode(in_band).alias("__pid"), "__x")
-               .groupBy(*by, "__pid", "__x").agg(F.count(F.lit(1)).alias("__c")))
+    # __n is constant within a group, so it rides along as a grouping key (no second sketch pass)
+    members = (marked.select(*by, "__n", F.explode(in_band).alias("__pid"), "__x")
+               .groupBy(*by, "__n", "__pid", "__x").agg(F.count(F.lit(1)).alias("__c")))
 
-    ctx = _attach(members, _attach(bands.select(*by, "__n"), below, by), by)
+    ctx = _attach(members, below, by)
     w = Window.partitionBy(*by, "__pid").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     below_p = F.get(F.array(*[F.col(f"__below{k}") for k in range(m)]), F.col("__pid"))
     q_p = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("__pid"))

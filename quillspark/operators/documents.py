@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.config import CHUNK_CHARS, CHUNK_OVERLAP_CHARS
-from quillspark.functions.exprs import money_text
+from quillspark.functions.exprs import money_text, py_float_text
 
 DOC_COLUMNS = ("doc_id", "doc_type", "vendor_id", "invoice_id", "risk_level", "year_month", "text")
 
@@ -64,7 +64,7 @@ def anomaly_documents(tiered: DataFrame, cap: int = 200) -> DataFrame:
     text = _lines(
         "Anomaly Alert: Invoice ", _s("invoice_id"), "\nRisk Level: ", _s("risk_level"),
         "\nVendor ID: ", _s("vendor_id"), "\nInvoice Amount: $", money_text("amount"),
-        "\nAnomaly Score: ", _s("anomaly_score"), "\nDays Overdue: ", _s("days_overdue"),
+        "\nAnomaly Score: ", py_float_text("anomaly_score"), "\nDays Overdue: ", _s("days_overdue"),
         "\n\nReason for flagging: This invoice was identified as anomalous by the \nIsolation Forest model. ",
         F.when(F.col("amount") == 0, F.lit(ANOMALY_ZERO)).otherwise(F.lit(ANOMALY_OTHER)),
         "\n\nRecommended action: ",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.config import MODEL_FEATURES, VALID_STATUSES
-from quillspark.functions.exprs import scalar_join
+from quillspark.functions.exprs import with_scalars
 
 ZSCORE_EPS = 1e-9
 
@@ -32,7 +32,7 @@ def invoice_features(silver: DataFrame, categories: Sequence[str]) -> DataFrame:
     """
     amount = F.col("amount").cast("double")
     stats = silver.agg(F.avg(amount).alias("__mean"), F.stddev_samp(amount).alias("__std"))
-    df = scalar_join(silver, stats)
+    df = with_scalars(silver, stats)
     d = F.col("invoice_date")
     dow = F.coalesce(F.weekday(d), F.lit(0))          # Monday = 0
     cols = [
@@ -90,7 +90,7 @@ def scaler_moments(matrix: DataFrame, cols: Sequence[str]) -> DataFrame:
 def standard_scale(matrix: DataFrame, cols: Sequence[str], moments: DataFrame | None = None) -> DataFrame:
     """(x - mean) / std_pop per column. ``moments`` may be stored ones (scoring) or refit here (default)."""
     moments = moments if moments is not None else scaler_moments(matrix, cols)
-    j = scalar_join(matrix, moments)
+    j = with_scalars(matrix, moments)
     keep = [c for c in matrix.columns if c not in cols]
     scaled = [((F.col(c) - F.col(f"__mu_{c}")) /
                F.when(F.col(f"__sd_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"__sd_{c}"))).alias(c) for c in cols]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.config import FOREST_EXPERIMENTS, FOREST_SEED
-from quillspark.functions.exprs import np_round, scalar_join
+from quillspark.functions.exprs import np_round, with_scalars
 from quillspark.functions.quantiles import exact_percentiles
 
 EULER_GAMMA = 0.5772156649015329
@@ -88,7 +88,7 @@ def sample_trees(matrix: DataFrame, id_col: str, runs: Sequence[ForestParams]) -
     when R reaches half the trees (tiny data) every tree tests its own hash instead. Each tree
     then keeps its psi smallest-hash rows (~TREE_FACTOR * psi candidates).
     """
-    m = scalar_join(matrix, matrix.agg(F.count(F.lit(1)).alias("__n")))
+    m = with_scalars(matrix, matrix.agg(F.count(F.lit(1)).alias("__n")))
     parts = []
     for p in runs:
         t_count = p.n_estimators

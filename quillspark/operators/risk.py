@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.exprs import np_round, scalar_join
+from quillspark.functions.exprs import np_round, with_scalars
 from quillspark.functions.quantiles import exact_percentiles
 from quillspark.session import materialize
 
@@ -34,7 +34,7 @@ def risk_tiers(scored: DataFrame, score: str = "anomaly_score", materialize_inpu
     s = F.col(score)
     tier = (F.when(s <= F.col("__p5"), "CRITICAL").when(s <= F.col("__p10"), "HIGH")
              .when(s <= F.col("__p25"), "MEDIUM").otherwise("LOW"))
-    return scalar_join(scored, cuts).withColumn("risk_level", tier).drop("__p5", "__p10", "__p25")
+    return with_scalars(scored, cuts).withColumn("risk_level", tier).drop("__p5", "__p10", "__p25")
 
 
 def contamination_cut(scored: DataFrame, contamination: float, score: str = "anomaly_score",
@@ -43,7 +43,7 @@ def contamination_cut(scored: DataFrame, contamination: float, score: str = "ano
     if materialize_input:
         scored = materialize(scored)
     cut = exact_percentiles(scored, score, [contamination], names=["__cut"])
-    return (scalar_join(scored, cut)
+    return (with_scalars(scored, cut)
             .withColumn("decision", F.col(score) - F.col("__cut"))
             .withColumn("is_anomaly", F.col("decision") < 0).drop("__cut"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.config import RunConfig
-from quillspark.functions.exprs import parse_date, py_strip, scalar_join, title_case
+from quillspark.functions.exprs import parse_date, py_strip, with_scalars, title_case
 
 SILVER_PARTITIONS = ("invoice_year", "payment_quarter")
 
@@ -94,7 +94,7 @@ def silver_audit(bronze: DataFrame, cfg: RunConfig) -> DataFrame:
         F.count_if(kept & (amt < 0)).alias("fixed_negative_amounts"),
     )
     before = bronze.agg(F.count(F.lit(1)).alias("before_dedup"))
-    return scalar_join(before, after).select(
+    return with_scalars(before, after).select(
         F.col("before_dedup").cast("bigint").alias("before_dedup"),
         F.col("after_dedup").cast("bigint").alias("after_dedup"),
         (F.col("before_dedup") - F.col("after_dedup")).cast("bigint").alias("duplicates_removed"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.config import TOP_K
+from quillspark.functions.exprs import py_float_text
 
 HASH_DIMS = 64
 TOKEN_PATTERN = "[a-z0-9]+"
@@ -175,7 +176,7 @@ def prompt_context(queries: DataFrame, hits: DataFrame, query_id: str = "query_i
     ``hits`` has (query_id, rank, similarity, type_col, text_col); at most k rows per query are collected."""
     block = F.struct(F.col("rank"), F.concat(
         F.lit("[Source "), F.col("rank").cast("string"), F.lit(" | Type: "), F.coalesce(F.col(type_col).cast("string"), F.lit("unknown")),
-        F.lit(" | Relevance: "), F.col("similarity").cast("string"), F.lit("]\n"), F.col(text_col)).alias("b"))
+        F.lit(" | Relevance: "), py_float_text("similarity"), F.lit("]\n"), F.col(text_col)).alias("b"))
     ctx = hits.groupBy(query_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda s: s["b"]),
                                                   "\n\n---\n\n").alias("context"))
     return (queries.select(query_id).join(ctx, query_id, "left")
