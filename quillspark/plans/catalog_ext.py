@@ -367,3 +367,34 @@ def q_silver_partition_prune(spark, sf_dir):
     silver = spark.read.parquet(res.paths.silver)
     part = silver.where((F.col("invoice_year") == 1998) & (F.col("payment_quarter") == "Q2"))
     return gold_ops.status_breakdown(part)
+
+
+# --- text-typed storage, unions, ordering --------------------------------------------------------
+from quillspark.operators import typing as typing_ops  # noqa: E402
+from quillspark.plans.layers import silver_output  # noqa: E402
+
+SILVER_TYPES = {"amount": "double", "invoice_date": "date", "due_date": "date", "_amount_was_null": "boolean",
+                "days_to_due": "int", "days_overdue": "int", "is_overdue": "boolean", "invoice_year": "int"}
+
+
+@query("restore_types")
+def q_restore_types(spark, sf_dir):
+    """Silver stored as text (every column a string) and re-typed on read: equals typed silver."""
+    text = typing_ops.stringify(silver_output(L(spark, sf_dir).silver()).withColumn(
+        "invoice_date", F.to_date("invoice_date")).withColumn("due_date", F.to_date("due_date")))
+    back = typing_ops.restore_types(text, SILVER_TYPES)
+    return (back.withColumn("invoice_date", F.date_format("invoice_date", "yyyy-MM-dd"))
+            .withColumn("due_date", F.date_format("due_date", "yyyy-MM-dd")))
+
+
+@query("bronze_union")
+def q_bronze_union(spark, sf_dir):
+    """Batch bronze and stream-path bronze under one schema (the stream projection run on the message table)."""
+    lay = L(spark, sf_dir)
+    stream = ingest.stream_bronze_frame(ingest.envelope(lay.raw(), lay.cfg.ingested_at), lay.cfg.ingested_at)
+    return lay.bronze().unionByName(stream).drop("_ingested_at")
+
+
+@query("vendors_by_total")
+def q_vendors_by_total(spark, sf_dir):
+    return gold_ops.order_by_total(L(spark, sf_dir).vendor_summary(), "vendor_id", "vendor_name", "state")

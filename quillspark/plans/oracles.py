@@ -479,3 +479,6 @@ oracle("event_unwrap", with_layers("select * from raw"))
 oracle("stream_bronze", with_layers("select * replace ('kafka_stream' as _source) from bronze"))
 oracle("silver_partition_prune", with_layers("""
 select status, cast(count(*) as bigint) n from silver where invoice_year = 1998 and payment_quarter = 'Q2' group by status"""))
+oracle("restore_types", with_layers(f"select {SILVER_COLS} from silver"))
+oracle("bronze_union", with_layers("select * from bronze union all select * replace ('kafka_stream' as _source) from bronze"))
+oracle("vendors_by_total", with_layers("select * from vendor_summary order by total_amount desc, vendor_id, vendor_name, state"))
