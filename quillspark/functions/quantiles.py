@@ -5,14 +5,15 @@ buffer of one final task: unbounded at scale. Here:
 
 1. one pass builds a ``percentile_approx`` sketch (rank error <= n / accuracy) and brackets
    each target rank inside a value band [lo, hi] that provably contains it;
-2. one pass counts the rows below each band and keeps only band rows, combined per
-   distinct value (map-side partial aggregation, so ties and hot values collapse);
+2. one pass keeps only band rows, combined per distinct value, and counts the rows below
+   each band under a single key (map-side partial aggregation, so ties, hot values and the
+   rows below all collapse before the shuffle);
 3. the band's distinct values (at most ~6 n / accuracy per percentile) are ranked with a
    running sum to find the two order statistics around the virtual index, which are
    interpolated exactly as numpy does.
 
-Ungrouped, the sketch bounds and the below-counts are one-row results attached as literals
-(``with_scalars``); grouped (``by``), they are joined on the group keys. The result is a
+Ungrouped, the sketch bounds are a one-row result attached as literals (``with_scalars``);
+grouped (``by``), they are joined on the group keys. The result is a
 DataFrame with one row (per group). Null and NaN inputs are ignored, like numpy on a cleaned column.
 """
 
@@ -67,30 +68,32 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float], names: Se
     # With few rows (n <= 4 * accuracy) the rank margin of the sketch is under a handful of rows,
     # so the whole column is the band (still at most 4 * accuracy distinct values per percentile).
     whole = F.col("__n") <= F.lit(4 * accuracy)
-    # rows below each band: exact counts in the same pass that extracts band members
-    below = marked.groupBy(*by).agg(*[F.count_if(~whole & (F.col("__x") < F.col(f"__lo{i}"))).alias(f"__below{i}")
-                                      for i in range(m)])
-    in_band = F.filter(F.array(*[F.lit(i) for i in range(m)]),
-                       lambda i: whole | (
-                           (F.col("__x") >= F.get(F.array(*[F.col(f"__lo{k}") for k in range(m)]), i))
-                           & (F.col("__x") <= F.get(F.array(*[F.col(f"__hi{k}") for k in range(m)]), i))))
-    # __n is constant within a group, so it rides along as a grouping key (no second sketch pass)
-    members = (marked.select(*by, "__n", F.explode(in_band).alias("__pid"), "__x")
-               .groupBy(*by, "__n", "__pid", "__x").agg(F.count(F.lit(1)).alias("__c")))
-
-    ctx = _attach(members, below, by)
+    los = F.array(*[F.col(f"__lo{k}") for k in range(m)])
+    his = F.array(*[F.col(f"__hi{k}") for k in range(m)])
+    # One pass for every percentile: a row below the band counts under the key -inf (all such rows
+    # combine map-side into one row per task), a row inside the band under its own value, a row
+    # above the band is dropped. __n is constant within a group and rides along as a key.
+    below_key = F.lit(float("-inf"))
+    keyed = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.struct(
+        i.alias("pid"),
+        F.when(whole | ((F.col("__x") >= F.get(los, i)) & (F.col("__x") <= F.get(his, i))), F.col("__x"))
+         .when(F.col("__x") < F.get(los, i), below_key).alias("key")))
+    members = (marked.select(*by, "__n", F.explode(F.filter(keyed, lambda e: e["key"].isNotNull())).alias("__e"))
+               .groupBy(*by, "__n", F.col("__e.pid").alias("__pid"), F.col("__e.key").alias("__x"))
+               .agg(F.count(F.lit(1)).alias("__c")))
+
     w = Window.partitionBy(*by, "__pid").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    below_p = F.get(F.array(*[F.col(f"__below{k}") for k in range(m)]), F.col("__pid"))
     q_p = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("__pid"))
     vidx = virtual_index(F.col("__n"), q_p)
     j0 = F.floor(vidx)
     j1 = F.least(j0 + 1, F.col("__n") - 1)
-    # rank (0-based) of the last row with this value = below + running count - 1
-    ranked = ctx.select(*by, "__pid", "__x", (below_p + F.sum("__c").over(w)).alias("__upto"),
-                        j0.alias("__j0"), j1.alias("__j1"), (vidx - j0).alias("__t"))
+    # rows up to and including this value (the -inf key holds every row below the band)
+    ranked = members.select(*by, "__pid", "__x", F.sum("__c").over(w).alias("__upto"),
+                            j0.alias("__j0"), j1.alias("__j1"), (vidx - j0).alias("__t"))
+    real = F.col("__x") > below_key
     picked = ranked.groupBy(*by, "__pid").agg(
-        F.min(F.when(F.col("__upto") > F.col("__j0"), F.col("__x"))).alias("__a"),
-        F.min(F.when(F.col("__upto") > F.col("__j1"), F.col("__x"))).alias("__b"),
+        F.min(F.when(real & (F.col("__upto") > F.col("__j0")), F.col("__x"))).alias("__a"),
+        F.min(F.when(real & (F.col("__upto") > F.col("__j1")), F.col("__x"))).alias("__b"),
         F.first("__t").alias("__t"))
     value = numpy_lerp(F.col("__a"), F.col("__b"), F.col("__t"))
     # pivot the (pid, value) rows into one row per group; m rows per group only

@@ -79,7 +79,8 @@ def _fixed_scored(spark, sf_dir, lay=None):
 
 def _fixed_tiered(spark, sf_dir, lay=None):
     scored = _fixed_scored(spark, sf_dir, lay).withColumn("is_anomaly", F.col("anomaly_score") < 0)
-    return risk_ops.risk_tiers(scored)
+    # over an already materialised silver the score is a cheap projection: no second lineage cut
+    return risk_ops.risk_tiers(scored, materialize_input=not (lay is not None and lay.shared))
 
 
 @query("score_percentiles")
