@@ -152,7 +152,7 @@ def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, corpus_id
              seed: int = 7) -> DataFrame:
     """Approximate top-k: candidates share at least one LSH bucket with the query (``tables`` hash tables
     of ``bits`` hyperplanes), then exact cosine re-rank. Candidate generation is an equi-join on
-    (table, bucket); the query side is small and broadcast."""
+    (table, bucket) between queries and corpus rows (never corpus x corpus)."""
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((tables, bits, dims))
     csig = corpus.select(corpus_id, corpus_vec, F.explode(F.array(*[
@@ -161,7 +161,9 @@ def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, corpus_id
     qsig = queries.select(query_id, query_vec, F.explode(F.array(*[
         F.struct(F.lit(t).alias("tbl"), lsh_signature(F.col(query_vec), planes[t]).alias("bucket")) for t in range(tables)
     ])).alias("s")).select(query_id, query_vec, "s.tbl", "s.bucket")
-    cand = (csig.join(F.broadcast(qsig), ["tbl", "bucket"])
+    # no forced broadcast: the query side is not size-checked here, so Spark picks the join from
+    # measured sizes and AQE splits a hot bucket on the corpus side
+    cand = (csig.join(qsig, ["tbl", "bucket"])
             .select(query_id, corpus_id, corpus_vec, query_vec).dropDuplicates([query_id, corpus_id]))
     scored = cand.select(query_id, corpus_id, F.round(cosine(F.col(query_vec), F.col(corpus_vec)), 4).alias("similarity"))
     w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(corpus_id).asc())

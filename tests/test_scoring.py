@@ -145,3 +145,16 @@ def test_bare_payload_and_envelope_unwrap_alike(spark):
     a = ingest.unwrap(env).withColumn("amount", F.when(F.isnan("amount"), None).otherwise(F.col("amount")))
     b = ingest.unwrap(bare)
     assert a.exceptAll(b).count() == 0
+
+
+def test_pluggable_batch_embedder(spark):
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+    df = spark.range(120).select(F.col("id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    out = vectors.embed_batches(df.coalesce(1), "text", model, dims=2, batch_size=50).orderBy("id").collect()
+    assert [r.embedding for r in out[:2]] == [[6.0, 1.0], [6.0, 1.0]]
+    assert len(out) == 120
