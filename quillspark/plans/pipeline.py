@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.config import MODEL_FEATURES, RunConfig
+from quillspark.functions.exprs import with_scalars
 from quillspark.operators import bronze as bronze_ops
 from quillspark.operators import documents as doc_ops
 from quillspark.operators import features as feat_ops
@@ -92,13 +93,15 @@ def run_ml(spark: SparkSession, root: str, categories: list[str] | None = None,
     io.write_table(feats, p.features)
     feats = spark.read.parquet(p.features)
     matrix, cols = feat_ops.model_matrix(feats, MODEL_FEATURES)
-    io.write_table(feat_ops.standard_scale(matrix, cols), p.scaled)
+    io.write_table(feat_ops.scaler_moments(matrix, cols), p.scaler)        # stored with the model
+    io.write_table(feat_ops.standard_scale(matrix, cols, spark.read.parquet(p.scaler)), p.scaled)
     scaled = spark.read.parquet(p.scaled)
     runs = runs or iforest.experiments()
     io.write_table(iforest.fit(scaled, cols, runs), p.trees)
     trees = spark.read.parquet(p.trees)
     io.write_table(iforest.score(scaled, cols, trees, ("invoice_id", "vendor_id")), p.raw_scores)
-    decisions, _ = iforest.decide(spark.read.parquet(p.raw_scores), runs)
+    decisions, offsets = iforest.decide(spark.read.parquet(p.raw_scores), runs)
+    io.write_table(offsets, p.offsets)
     io.write_table(decisions, p.decisions)
     decisions = spark.read.parquet(p.decisions)
     io.write_table(iforest.run_metrics(decisions, runs, len(cols)), p.runs)
@@ -111,6 +114,26 @@ def run_ml(spark: SparkSession, root: str, categories: list[str] | None = None,
     return spark.read.parquet(p.scores)
 
 
+def run_scoring(spark: SparkSession, root: str, features: DataFrame | None = None,
+                refit_scaler: bool = False) -> DataFrame:
+    """Production scoring: resolve the latest run, scale with its stored moments (or refit on the
+    new data), score with its trees, apply its stored contamination offset, add risk tiers."""
+    p = LakePaths(root)
+    feats = features if features is not None else spark.read.parquet(p.features)
+    runs = spark.read.parquet(p.runs)
+    best = iforest.latest(runs).select("run_id", "contamination").first()
+    matrix, cols = feat_ops.model_matrix(feats, MODEL_FEATURES)
+    moments = None if refit_scaler else spark.read.parquet(p.scaler)
+    scaled = feat_ops.standard_scale(matrix, cols, moments)
+    trees = spark.read.parquet(p.trees).where(F.col("run_id") == best.run_id)
+    raw = iforest.score(scaled, cols, trees, ("invoice_id", "vendor_id"))
+    offset = spark.read.parquet(p.offsets).where(F.col("run_id") == best.run_id).select("offset")
+    decided = (with_scalars(raw.drop("run_id"), offset)
+               .withColumn("anomaly_score", F.col("score") - F.col("offset"))
+               .withColumn("is_anomaly", F.col("anomaly_score") < 0).drop("score", "offset"))
+    return risk_ops.risk_tiers(decided.join(feats, ["invoice_id", "vendor_id"]))
+
+
 def run_retrieval(spark: SparkSession, root: str, questions: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
     """gold + scores -> documents -> chunks (JSON) -> vectors -> filtered top-k -> prompt context (JSON)."""
     p = LakePaths(root)

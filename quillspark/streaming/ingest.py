@@ -111,5 +111,21 @@ def run_stream_bronze(messages: DataFrame, output: str, checkpoint: str, ingeste
     return StreamResult(output, len(progress), int(sum(p["numInputRows"] for p in progress)))
 
 
+def run_stream_bronze_batches(messages: DataFrame, output: str, checkpoint: str, ingested_at: dt.datetime) -> StreamResult:
+    """Same as ``run_stream_bronze`` but each micro-batch lands in its own folder ``batch_<id>``
+    (``foreachBatch``). A replayed batch id overwrites its folder, so a restart never duplicates rows."""
+    bronze = stream_bronze_frame(messages, ingested_at)
+    base = output.rstrip("/")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/batch_{batch_id:06d}")
+
+    q = (bronze.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    progress = [p for p in q.recentProgress if p.get("numInputRows", 0) > 0]
+    return StreamResult(output, len(progress), int(sum(p["numInputRows"] for p in progress)))
+
+
 def progress_frame(spark: SparkSession, result: StreamResult) -> DataFrame:
     return spark.createDataFrame([(result.batches, result.rows_read)], "batches_written long, messages_read long")

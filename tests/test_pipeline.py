@@ -56,3 +56,25 @@ def test_ann_recall_against_exact(spark):
     approx = vectors.ann_topk(emb, q, 5, corpus_id="vec_id", dims=64, bits=3, tables=6).select("query_id", "vec_id")
     recall = approx.join(exact, ["query_id", "vec_id"]).count() / exact.count()
     assert recall >= 0.6
+
+
+def test_production_scoring_reuses_stored_model(spark, lake):
+    root, _ = lake
+    stored = {r.invoice_id: (r.anomaly_score, r.risk_level) for r in spark.read.parquet(f"{root}/scores").collect()}
+    again = {r.invoice_id: (r.anomaly_score, r.risk_level) for r in pipeline.run_scoring(spark, root).collect()}
+    assert again.keys() == stored.keys()
+    assert all(abs(again[k][0] - stored[k][0]) < 1e-12 and again[k][1] == stored[k][1] for k in stored)
+
+
+def test_stream_batches_land_in_their_own_folders(spark):
+    from quillspark.session import scratch_path
+    from quillspark.streaming import ingest
+    from quillspark.config import RunConfig
+    cfg = RunConfig()
+    raw = raw_invoices(spark, SF_SMALL)
+    topic, out, ckpt = (scratch_path(spark, n) for n in ("topic", "out", "ckpt"))
+    ingest.publish_files(raw, topic, cfg.ingested_at, files=3)
+    res = ingest.run_stream_bronze_batches(ingest.file_source(spark, topic, 1), out, ckpt, cfg.ingested_at)
+    import os
+    assert sorted(d for d in os.listdir(out) if d.startswith("batch_")) == ["batch_000000", "batch_000001", "batch_000002"]
+    assert spark.read.parquet(*[f"{out}/batch_{i:06d}" for i in range(3)]).count() == raw.count() == res.rows_read
