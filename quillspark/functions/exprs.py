@@ -67,10 +67,11 @@ def money_text(c: str | Column) -> Column:
 def row_hash(invoice_id: str | Column, amount: str | Column, invoice_date: str | Column) -> Column:
     """md5 hex of ``invoice_id || amount || invoice_date`` with no separator (as the source system does).
 
-    A missing amount renders as ``nan``. Note: without separators ``"1"+"23"`` equals ``"12"+"3"``;
+    The amount is rendered as Python prints a float (``12345678.0``, not Java's ``1.2345678E7``);
+    a missing amount renders as ``nan``. Note: without separators ``"1"+"23"`` equals ``"12"+"3"``;
     kept for parity with existing fingerprints.
     """
-    amt = F.coalesce(col_(amount).cast("string"), F.lit("nan"))
+    amt = F.coalesce(py_float_text(amount), F.lit("nan"))
     return F.md5(F.concat(F.coalesce(col_(invoice_id), F.lit("None")), amt,
                           F.coalesce(col_(invoice_date), F.lit("None"))))
 

@@ -65,10 +65,11 @@ def test_rate_pct_zero_denominator_is_null(spark):
 
 def test_row_hash_has_no_separator_and_renders_missing_as_nan(spark):
     import hashlib
-    rows = [("INV-1", 1234.5, "2024-01-15"), ("INV-1", None, "2024-01-15")]
+    rows = [("INV-1", 1234.5, "2024-01-15"), ("INV-1", None, "2024-01-15"), ("INV-2", 12345678.0, "2024-01-15")]
     got = one(spark, X.row_hash("i", "a", "d"), rows, "i string, a double, d string")
     assert got[0] == hashlib.md5(b"INV-11234.52024-01-15").hexdigest()
     assert got[1] == hashlib.md5(b"INV-1nan2024-01-15").hexdigest()
+    assert got[2] == hashlib.md5(b"INV-212345678.02024-01-15").hexdigest()
 
 
 def test_money_text_matches_python_str_beyond_1e7(spark):
