@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 from quillspark.sources.tables import read_table
 
 
+def created_at(day, second_of_day) -> F.Column:
+    """``yyyy-MM-ddTHH:mm:ss`` of a date plus seconds (< 1 day), as text: no session time zone involved."""
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), two(F.floor(second_of_day / 3600)), F.lit(":"),
+                    two(F.floor((second_of_day % 3600) / 60)), F.lit(":"), two(second_of_day % 60))
+
+
 def raw_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw invoice rows with the 11 source columns, all as the source system would send them."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
@@ -51,8 +58,7 @@ def raw_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 0, F.lower("c_mktsegment")).otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"))).alias("category"),
         F.lower("n_name").alias("state"),
         F.when(k % 10 < 7, F.concat(F.lit("note "), k.cast("string"))).alias("notes"),
-        F.date_format(F.timestamp_seconds(F.unix_timestamp(d.cast("timestamp")) + (k % 86400)),
-                      "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+        created_at(d, k % 86400).alias("created_at"),
     )
     # rows with k % 50 = 0 are re-sent once (the 2% duplicates of the source feed); one pass, no second scan
     copies = F.explode(F.sequence(F.lit(1), F.when(k % 50 == 0, F.lit(2)).otherwise(F.lit(1))))
