@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.config import MODEL_FEATURES, RunConfig
+from quillspark.config import MODEL_FEATURES
 from quillspark.functions.quantiles import exact_percentiles
 from quillspark.operators import features as feat_ops
 from quillspark.operators import gold as gold_ops

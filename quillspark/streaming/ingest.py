@@ -68,15 +68,25 @@ def stream_bronze_frame(messages: DataFrame, ingested_at: dt.datetime) -> DataFr
     return add_metadata(unwrap(messages), ingested_at, STREAM_SOURCE)
 
 
-def publish_files(raw: DataFrame, path: str, event_time: dt.datetime, files: int = 8) -> None:
+def publish_files(raw: DataFrame, path: str, event_time: dt.datetime, files: int = 8,
+                  max_messages: int | None = None) -> None:
     """Keyed publish to a folder of JSON-lines files (the file stand-in for a topic; one line per message).
 
     Messages are hash-partitioned by key, so each vendor's messages stay in one file, in order.
+    ``max_messages`` sends only the first n invoices by id (the producer's demo limit); default all.
     """
-    env = envelope(raw, event_time).repartition(files, "key").sortWithinPartitions("key")
+    src = raw.orderBy("invoice_id").limit(max_messages) if max_messages else raw
+    env = envelope(src, event_time).repartition(files, "key").sortWithinPartitions("key")
     env.select("value").write.mode("overwrite").text(path)
 
 
+def publish_kafka(raw: DataFrame, servers: str, topic: str, event_time: dt.datetime) -> None:
+    """Keyed publish to a Kafka topic (key = vendor_id keeps each vendor's messages in one topic
+    partition, in order). Needs the spark-sql-kafka connector on the classpath."""
+    (envelope(raw, event_time).write.format("kafka").option("kafka.bootstrap.servers", servers)
+     .option("topic", topic).save())
+
+
 def kafka_source(spark: SparkSession, servers: str, topic: str, max_offsets: int = 10) -> DataFrame:
     """Kafka subscription from the earliest offset, ``max_offsets`` messages per micro-batch.
     Needs the spark-sql-kafka connector on the classpath."""
