@@ -16,6 +16,54 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ref(name: str) -> str:
+    """SQL reference to a column by name (the text helpers below are SQL expressions: building one
+    costs a single parse instead of dozens of driver-to-JVM calls)."""
+    if not isinstance(name, str):
+        raise TypeError("pass the column name")
+    return "`" + name.replace("`", "``") + "`"
+
+
+# --- SQL text of the parity expressions -----------------------------------------------------
+def py_strip_sql(x: str) -> str:
+    chars = "".join(f"\\u{ord(ch):04X}" for ch in PY_WHITESPACE)
+    return f"trim(BOTH '{chars}' FROM {x})"
+
+
+def title_case_sql(x: str) -> str:
+    return f"regexp_replace(initcap(regexp_replace(lower({x}), '([^\\\\p{{L}}])', '$1 ')), '([^\\\\p{{L}}]) ', '$1')"
+
+
+def parse_date_sql(x: str, formats: Iterable[str]) -> str:
+    return "coalesce(" + ", ".join(f"try_to_date({x}, '{f}')" for f in formats) + ")"
+
+
+def money_text_sql(x: str) -> str:
+    t = f"regexp_replace(CAST(CAST({x} AS DECIMAL(38,2)) AS STRING), '0+$', '')"
+    return f"(CASE WHEN {x} IS NULL THEN CAST(NULL AS STRING) WHEN endswith({t}, '.') THEN concat({t}, '0') ELSE {t} END)"
+
+
+def py_float_text_sql(x: str) -> str:
+    s = f"CAST({x} AS STRING)"
+    body = f"regexp_replace({s}, '^-', '')"
+    mant = f"substring_index({body}, 'E', 1)"
+    e = f"CAST(substring_index({body}, 'E', -1) AS INT)"
+    raw = f"regexp_replace(regexp_replace({mant}, '[.]', ''), '0+$', '')"
+    digits = f"(CASE WHEN {raw} = '' THEN '0' ELSE {raw} END)"
+    n = f"length({digits})"
+    positional = (f"(CASE WHEN {e} < 0 THEN concat('0.', repeat('0', -{e} - 1), {digits}) "
+                  f"WHEN {n} <= {e} + 1 THEN concat({digits}, repeat('0', {e} + 1 - {n}), '.0') "
+                  f"ELSE concat(substring({digits}, 1, {e} + 1), '.', substring({digits}, {e} + 2, {n})) END)")
+    sci = (f"concat(CASE WHEN {n} = 1 THEN {digits} ELSE concat(substring({digits}, 1, 1), '.', substring({digits}, 2, {n})) END, "
+           f"'e', CASE WHEN {e} < 0 THEN '-' ELSE '+' END, "
+           f"CASE WHEN abs({e}) < 10 THEN concat('0', CAST(abs({e}) AS STRING)) ELSE CAST(abs({e}) AS STRING) END)")
+    rebuilt = (f"concat(CASE WHEN startswith({s}, '-') THEN '-' ELSE '' END, "
+               f"CASE WHEN {e} >= -4 AND {e} < 16 THEN {positional} ELSE {sci} END)")
+    return (f"(CASE WHEN {x} IS NULL THEN CAST(NULL AS STRING) WHEN isnan({x}) THEN 'nan' "
+            f"WHEN {x} = double('inf') THEN 'inf' WHEN {x} = double('-inf') THEN '-inf' "
+            f"WHEN NOT contains({s}, 'E') THEN {s} ELSE {rebuilt} END)")
+
+
 def np_round(c: str | Column, n: int) -> Column:
     """numpy/pandas ``round(n)`` on doubles: ``rint(x * 10^n) / 10^n`` (half-to-even on the scaled binary value).
 
@@ -25,25 +73,24 @@ def np_round(c: str | Column, n: int) -> Column:
     return F.rint(col_(c).cast("double") * F.lit(scale)) / F.lit(scale)
 
 
-def py_strip(c: str | Column) -> Column:
+def py_strip(c: str) -> Column:
     """Python ``str.strip()``: removes surrounding whitespace including tabs and newlines."""
-    return F.btrim(col_(c), F.lit(PY_WHITESPACE))
+    return F.expr(py_strip_sql(ref(c)))
 
 
-def title_case(c: str | Column) -> Column:
+def title_case(c: str) -> Column:
     """Python ``str.title()``: upper-case (title-case) the first letter of every run of letters, lower-case the rest.
 
     ``initcap`` alone only starts words after blanks (``johnson-davis`` -> ``Johnson-davis``). A marker
     blank is inserted after every non-letter, ``initcap`` runs, and the markers are removed again:
     three built-in string expressions, no lambda, so the projection stays in whole-stage codegen.
     """
-    spaced = F.regexp_replace(F.lower(col_(c)), r"([^\p{L}])", "$1 ")
-    return F.regexp_replace(F.initcap(spaced), r"([^\p{L}]) ", "$1")
+    return F.expr(title_case_sql(ref(c)))
 
 
-def parse_date(c: str | Column, formats: Iterable[str]) -> Column:
+def parse_date(c: str, formats: Iterable[str]) -> Column:
     """First format that parses wins; unparseable text gives null (never an error under ANSI)."""
-    return F.coalesce(*[F.try_to_date(col_(c), f) for f in formats])
+    return F.expr(parse_date_sql(ref(c), formats))
 
 
 def nan_to_null(c: str | Column) -> Column:
@@ -52,28 +99,24 @@ def nan_to_null(c: str | Column) -> Column:
     return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
 
 
-def money_text(c: str | Column) -> Column:
+def money_text(c: str) -> Column:
     """Text of a double the way Python prints a float that carries at most 2 decimals.
 
     ``str(12345678.5)`` is ``12345678.5`` in Python while Spark's cast prints ``1.23456785E7``;
     building the text from a decimal cast avoids the exponent form. Null stays null.
     """
-    txt = col_(c).cast("decimal(38,2)").cast("string")
-    trimmed = F.regexp_replace(txt, r"0+$", "")
-    return F.when(col_(c).isNull(), F.lit(None)).otherwise(
-        F.when(F.endswith(trimmed, F.lit(".")), F.concat(trimmed, F.lit("0"))).otherwise(trimmed))
+    return F.expr(money_text_sql(ref(c)))
 
 
-def row_hash(invoice_id: str | Column, amount: str | Column, invoice_date: str | Column) -> Column:
+def row_hash(invoice_id: str, amount: str, invoice_date: str) -> Column:
     """md5 hex of ``invoice_id || amount || invoice_date`` with no separator (as the source system does).
 
     The amount is rendered as Python prints a float (``12345678.0``, not Java's ``1.2345678E7``);
     a missing amount renders as ``nan``. Note: without separators ``"1"+"23"`` equals ``"12"+"3"``;
     kept for parity with existing fingerprints.
     """
-    amt = F.coalesce(py_float_text(amount), F.lit("nan"))
-    return F.md5(F.concat(F.coalesce(col_(invoice_id), F.lit("None")), amt,
-                          F.coalesce(col_(invoice_date), F.lit("None"))))
+    return F.expr(f"md5(concat(coalesce({ref(invoice_id)}, 'None'), coalesce({py_float_text_sql(ref(amount))}, 'nan'), "
+                  f"coalesce({ref(invoice_date)}, 'None')))")
 
 
 def all_true(cond: Column) -> Column:
@@ -100,7 +143,7 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.select("*", *[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in one_row.schema.fields])
 
 
-def py_float_text(c: str | Column) -> Column:
+def py_float_text(c: str) -> Column:
     """``str(x)`` of a Python float, built from Spark's own shortest digits.
 
     Spark (Java) switches to ``d.dddE-5`` below 1e-3 and from 1e7 up; Python prints positional
@@ -108,28 +151,4 @@ def py_float_text(c: str | Column) -> Column:
     only the layout is rebuilt. NaN and infinities print as ``nan`` / ``inf``. Exact for |x| < 1e16
     (checked against ``repr`` on random values); above that Java 17 may print one extra digit.
     """
-    x = col_(c).cast("double")
-    s = x.cast("string")
-    neg = F.startswith(s, F.lit("-"))
-    body = F.regexp_replace(s, r"^-", "")
-    mant = F.substring_index(body, "E", 1)
-    e = F.substring_index(body, "E", -1).cast("int")
-    raw_digits = F.regexp_replace(F.regexp_replace(mant, r"\.", ""), r"0+$", "")
-    digits = F.when(raw_digits == "", F.lit("0")).otherwise(raw_digits)
-    n = F.length(digits)
-    positional = (
-        F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
-         .when(n <= e + 1, F.concat(digits, F.repeat(F.lit("0"), e + 1 - n), F.lit(".0")))
-         .otherwise(F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, n))))
-    sci = F.concat(
-        F.when(n == 1, digits).otherwise(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n))),
-        F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.when(F.abs(e) < 10, F.concat(F.lit("0"), F.abs(e).cast("string"))).otherwise(F.abs(e).cast("string")))
-    rebuilt = F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")),
-                       F.when((e >= -4) & (e < 16), positional).otherwise(sci))
-    return (F.when(x.isNull(), F.lit(None).cast("string"))
-             .when(F.isnan(x), F.lit("nan"))
-             .when(x == float("inf"), F.lit("inf"))
-             .when(x == float("-inf"), F.lit("-inf"))
-             .when(~F.contains(s, F.lit("E")), s)
-             .otherwise(rebuilt))
+    return F.expr(py_float_text_sql(ref(c)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.config import RunConfig
-from quillspark.functions.exprs import parse_date, py_strip, with_scalars, title_case
+from quillspark.functions.exprs import parse_date, py_strip_sql, ref, title_case_sql, with_scalars
 
 SILVER_PARTITIONS = ("invoice_year", "payment_quarter")
 
@@ -25,8 +25,9 @@ def dedup_keep_first(df: DataFrame, key: str = "_row_hash",
     """
     rest = [c for c in df.columns if c != key]
     ordering = [c for c in order if c in rest] + [c for c in rest if c not in order]
-    first = F.min(F.struct(*[F.col(c) for c in ordering]))
-    return df.groupBy(key).agg(first.alias("__row")).select(*[F.col(f"__row.{c}").alias(c) for c in rest], key) \
+    first = F.expr("min(struct(" + ", ".join(ref(c) for c in ordering) + "))")
+    return df.groupBy(key).agg(first.alias("__row")).selectExpr(*[f"__row.{ref(c)} AS {ref(c)}" for c in df.columns
+                                                                  if c != key], ref(key)) \
         .select(*df.columns)
 
 
@@ -39,33 +40,31 @@ def standardize_dates(df: DataFrame, formats: Sequence[str]) -> DataFrame:
 
 def fix_amounts(df: DataFrame) -> DataFrame:
     """Flag missing amounts, fill with 0, make positive, keep 2 decimals as exact money (decimal(18,2))."""
-    amount = F.col("amount").cast("double")
-    return (df.withColumn("_amount_was_null", amount.isNull())
-              .withColumn("amount", F.abs(F.coalesce(amount, F.lit(0.0))).cast("decimal(18,2)")))
+    a = f"CAST({ref('amount')} AS DOUBLE)"
+    return (df.withColumn("_amount_was_null", F.expr(f"{a} IS NULL"))
+              .withColumn("amount", F.expr(f"CAST(abs(coalesce({a}, 0.0D)) AS DECIMAL(18,2))")))
 
 
 def standardize_text(df: DataFrame) -> DataFrame:
-    return (df.withColumn("status", py_strip(F.upper("status")))
-              .withColumn("category", py_strip(title_case("category")))
-              .withColumn("vendor_name", py_strip(title_case("vendor_name")))
-              .withColumn("state", py_strip(F.upper("state"))))
+    """status, state: upper + strip; category, vendor_name: Python title case + strip."""
+    return (df.withColumn("status", F.expr(py_strip_sql(f"upper({ref('status')})")))
+              .withColumn("category", F.expr(py_strip_sql(title_case_sql(ref("category")))))
+              .withColumn("vendor_name", F.expr(py_strip_sql(title_case_sql(ref("vendor_name")))))
+              .withColumn("state", F.expr(py_strip_sql(f"upper({ref('state')})"))))
 
 
 def add_derived_columns(df: DataFrame, as_of: dt.date) -> DataFrame:
     """days_to_due, days_overdue (0 for PAID, never negative, null when the due date is unknown),
     is_overdue, payment_quarter ("Q1".."Q4"), invoice_year."""
-    as_of_c = F.lit(as_of).cast("date")
-    due = F.col("due_date")
-    status = F.col("status")
-    overdue_days = F.datediff(as_of_c, due)
-    return df.select(
+    d = f"DATE'{as_of.isoformat()}'"
+    return df.selectExpr(
         "*",
-        F.datediff(due, F.col("invoice_date")).alias("days_to_due"),
-        F.when(status == "PAID", F.lit(0)).when(due.isNull(), F.lit(None).cast("int"))
-         .otherwise(F.greatest(overdue_days, F.lit(0))).alias("days_overdue"),
-        F.coalesce((status == "OVERDUE") | ((due < as_of_c) & status.isin("PENDING")), F.lit(False)).alias("is_overdue"),
-        F.concat(F.lit("Q"), F.quarter("invoice_date").cast("string")).alias("payment_quarter"),
-        F.year("invoice_date").cast("int").alias("invoice_year"),
+        "datediff(due_date, invoice_date) AS days_to_due",
+        f"CASE WHEN status = 'PAID' THEN 0 WHEN due_date IS NULL THEN CAST(NULL AS INT) "
+        f"ELSE greatest(datediff({d}, due_date), 0) END AS days_overdue",
+        f"coalesce(status = 'OVERDUE' OR (due_date < {d} AND status IN ('PENDING')), false) AS is_overdue",
+        "concat('Q', CAST(quarter(invoice_date) AS STRING)) AS payment_quarter",
+        "CAST(year(invoice_date) AS INT) AS invoice_year",
     )
 
 

@@ -26,7 +26,7 @@ def stringify(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.BooleanType):
             txt = F.when(c, F.lit("True")).when(~c, F.lit("False"))
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            txt = py_float_text(c)
+            txt = py_float_text(f.name)
         elif isinstance(f.dataType, T.DateType):
             txt = F.date_format(c, "yyyy-MM-dd")
         else:

@@ -15,13 +15,6 @@ from pyspark.sql import functions as F
 from quillspark.sources.tables import read_table
 
 
-def created_at(day, second_of_day) -> F.Column:
-    """``yyyy-MM-ddTHH:mm:ss`` of a date plus seconds (< 1 day), as text: no session time zone involved."""
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), two(F.floor(second_of_day / 3600)), F.lit(":"),
-                    two(F.floor((second_of_day % 3600) / 60)), F.lit(":"), two(second_of_day % 60))
-
-
 def raw_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw invoice rows with the 11 source columns, all as the source system would send them."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
@@ -34,35 +27,28 @@ def raw_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("d"),
                     F.col("o_totalprice").alias("p"), "c_custkey", "c_mktsegment", "n_name"))
 
-    k = F.col("k")
-    cust = F.col("c_custkey").cast("string")
-    d = F.col("d")
-    p = F.col("p")
-    one = base.select(
-        k,
-        F.concat(F.lit("INV-"), F.lpad(k.cast("string"), 9, "0")).alias("invoice_id"),
-        F.concat(F.lit("VND-"), F.lpad(cust, 7, "0")).alias("vendor_id"),
-        F.when(k % 2 == 0, F.concat(F.lit(" VENDOR-GROUP "), cust, F.lit(" O'NEIL AND SONS ")))
-         .otherwise(F.concat(F.lit("vendor-group "), cust, F.lit(" o'neil and sons"))).alias("vendor_name"),
-        F.when(k % 211 == 0, F.lit("not-a-date"))
-         .when(k % 3 == 0, F.date_format(d, "yyyy-MM-dd"))
-         .when(k % 3 == 1, F.date_format(d, "MM/dd/yyyy"))
-         .otherwise(F.date_format(d, "dd-MM-yyyy")).alias("invoice_date"),
-        F.date_format(F.date_add(d, 30), "yyyy-MM-dd").alias("due_date"),
-        F.when(k % 33 == 0, F.lit(None).cast("double"))
-         .when(k % 97 == 0, F.floor(p / 1000) * 1000)
-         .when(k % 100 == 7, -p).otherwise(p).cast("double").alias("amount"),
-        F.when(k % 20 < 11, F.lit("paid")).when(k % 20 < 16, F.lit("Pending "))
-         .when(k % 20 < 18, F.lit(" OVERDUE")).when(k % 20 == 18, F.lit("Disputed"))
-         .otherwise(F.lit("cancelled")).alias("status"),
-        F.when(k % 2 == 0, F.lower("c_mktsegment")).otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"))).alias("category"),
-        F.lower("n_name").alias("state"),
-        F.when(k % 10 < 7, F.concat(F.lit("note "), k.cast("string"))).alias("notes"),
-        created_at(d, k % 86400).alias("created_at"),
+    one = base.selectExpr(
+        "k",
+        "concat('INV-', lpad(CAST(k AS STRING), 9, '0')) AS invoice_id",
+        "concat('VND-', lpad(CAST(c_custkey AS STRING), 7, '0')) AS vendor_id",
+        "CASE WHEN k % 2 = 0 THEN concat(' VENDOR-GROUP ', CAST(c_custkey AS STRING), ' O''NEIL AND SONS ') "
+        "ELSE concat('vendor-group ', CAST(c_custkey AS STRING), ' o''neil and sons') END AS vendor_name",
+        "CASE WHEN k % 211 = 0 THEN 'not-a-date' WHEN k % 3 = 0 THEN date_format(d, 'yyyy-MM-dd') "
+        "WHEN k % 3 = 1 THEN date_format(d, 'MM/dd/yyyy') ELSE date_format(d, 'dd-MM-yyyy') END AS invoice_date",
+        "date_format(date_add(d, 30), 'yyyy-MM-dd') AS due_date",
+        "CAST(CASE WHEN k % 33 = 0 THEN NULL WHEN k % 97 = 0 THEN floor(p / 1000) * 1000 "
+        "WHEN k % 100 = 7 THEN -p ELSE p END AS DOUBLE) AS amount",
+        "CASE WHEN k % 20 < 11 THEN 'paid' WHEN k % 20 < 16 THEN 'Pending ' WHEN k % 20 < 18 THEN ' OVERDUE' "
+        "WHEN k % 20 = 18 THEN 'Disputed' ELSE 'cancelled' END AS status",
+        "CASE WHEN k % 2 = 0 THEN lower(c_mktsegment) ELSE concat(' ', c_mktsegment) END AS category",
+        "lower(n_name) AS state",
+        "CASE WHEN k % 10 < 7 THEN concat('note ', CAST(k AS STRING)) END AS notes",
+        "concat(date_format(d, 'yyyy-MM-dd'), 'T', lpad(CAST(floor((k % 86400) / 3600) AS STRING), 2, '0'), ':', "
+        "lpad(CAST(floor((k % 3600) / 60) AS STRING), 2, '0'), ':', lpad(CAST(k % 60 AS STRING), 2, '0')) AS created_at",
     )
     # rows with k % 50 = 0 are re-sent once (the 2% duplicates of the source feed); one pass, no second scan
-    copies = F.explode(F.sequence(F.lit(1), F.when(k % 50 == 0, F.lit(2)).otherwise(F.lit(1))))
-    return one.select("*", copies.alias("_copy")).drop("k", "_copy")
+    return one.select("*", F.expr("explode(sequence(1, CASE WHEN k % 50 = 0 THEN 2 ELSE 1 END))").alias("_copy")) \
+        .drop("k", "_copy")
 
 
 RAW_COLUMNS = ("invoice_id", "vendor_id", "vendor_name", "invoice_date", "due_date", "amount",
