@@ -12,11 +12,22 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+_SCANS: dict[tuple[str, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy Parquet scan; projections and filters applied later reach the scan (ReadSchema / PushedFilters)."""
+    """Lazy Parquet scan; projections and filters applied later reach the scan (ReadSchema / PushedFilters).
+
+    The input tables are read-only, so the scan (file listing + footer schema) is built once per
+    Spark application and path; every query still reads the files in full when it runs.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(path)
+    return _SCANS[key]
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
