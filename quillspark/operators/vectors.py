@@ -31,27 +31,48 @@ def token_bucket(tok: Column, dims: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int")
 
 
+def _densify(dims: int):
+    """Arrow-batch helper: (bucket ids, counts) per text -> unit-length dense vectors, for a whole batch
+    at once with numpy (scatter-add + row norms). Sums of integer counts are exact, so the result is
+    bit-identical to the same formula in SQL."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def densify(buckets: pd.Series, counts: pd.Series) -> pd.Series:
+        n = len(buckets)
+        if n == 0:
+            return pd.Series([], dtype=object)
+        lens = np.fromiter((len(x) for x in buckets), dtype=np.int64, count=n)
+        rows = np.repeat(np.arange(n), lens)
+        b = np.concatenate(buckets.to_numpy()).astype(np.int64)
+        c = np.concatenate(counts.to_numpy()).astype(np.float64)
+        ok = b >= 0
+        mat = np.zeros((n, dims))
+        np.add.at(mat, (rows[ok], b[ok]), c[ok])
+        norm = np.sqrt((mat * mat).sum(axis=1))[:, None]
+        return pd.Series(list(np.divide(mat, norm, out=np.zeros_like(mat), where=norm > 0)))
+
+    return densify
+
+
 def hashed_bow(df: DataFrame, id_col: str, text_col: str, dims: int = HASH_DIMS,
                keep: Sequence[str] = ()) -> DataFrame:
     """Unit-length bag-of-words vectors (``array<double>``) by feature hashing: (id, *keep, embedding).
 
-    Tokens are exploded and counted per (id, bucket) with map-side partial aggregation, so the
-    shuffles move at most ``dims`` small rows per text, never the tokens or the text itself.
-    ``explode_outer`` keeps texts without tokens (zero vector). ``keep`` columns must be
-    functions of the id (e.g. a document type); they ride along as grouping keys.
+    Tokenising, hashing and counting run in the JVM: tokens are exploded and counted per
+    (id, bucket) with map-side partial aggregation, so the shuffles move at most ``dims`` small
+    rows per text, never the tokens or the text itself. ``explode_outer`` keeps texts without
+    tokens (zero vector). The last step turns each text's <= ``dims`` (bucket, count) pairs into a
+    dense unit vector in an Arrow batch. ``keep`` columns must be functions of the id (e.g. a
+    document type); they ride along as grouping keys.
     """
     keys = [F.col(id_col).alias("__id")] + [F.col(c) for c in keep]
     toks = df.select(*keys, F.explode_outer(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0))
                      .alias("__t"))
     bucket = F.when(F.col("__t").isNull(), F.lit(-1)).otherwise(token_bucket(F.col("__t"), dims))
     counts = toks.groupBy("__id", *keep, bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
-    sparse = counts.groupBy("__id", *keep).agg(F.map_from_entries(F.collect_list(F.struct("__b", "__c"))).alias("__m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                        lambda i: F.coalesce(F.col("__m")[i], F.lit(0)).cast("double"))
-    norm = F.sqrt(F.aggregate(F.col("__v"), F.lit(0.0), lambda acc, x: acc + x * x))
-    return (sparse.select("__id", *keep, dense.alias("__v"))
-            .select(F.col("__id").alias(id_col), *keep,
-                    F.transform("__v", lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))).alias("embedding")))
+    entries = counts.groupBy("__id", *keep).agg(F.collect_list(F.struct("__b", "__c")).alias("__e"))
+    return entries.select(F.col("__id").alias(id_col), *keep,
+                          _densify(dims)(F.col("__e.__b"), F.col("__e.__c")).alias("embedding"))
 
 
 def embed_batches(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list[float]]], dims: int,

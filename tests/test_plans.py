@@ -13,13 +13,19 @@ def plan(df):
 
 
 @pytest.mark.parametrize("key", ["vendor_summary", "monthly_trends", "category_analysis", "silver_invoices",
-                                 "invoice_features", "chunk_documents", "embed_chunks", "quality_silver"])
+                                 "invoice_features", "chunk_documents", "quality_silver"])
 def test_no_python_and_no_cartesian(spark, key):
     p = plan(E.queries()[key](spark, SF_SMALL))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
+def test_embedding_python_is_only_the_batch_densify(spark):
+    p = plan(E.queries()["embed_chunks"](spark, SF_SMALL))
+    assert p.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in p
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
 def test_scan_reads_only_needed_columns(spark):
     p = plan(E.queries()["vendor_summary"](spark, SF_SMALL))
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double,o_orderdate:timestamp" in p
