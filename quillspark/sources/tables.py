@@ -26,10 +26,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = table_path(sf_dir, name)
     key = (spark.sparkContext.applicationId, path)
     if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(path)
+        _SCANS[key] = spread_if_small(spark, spark.read.parquet(path), path)
     return _SCANS[key]
 
 
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path`` (any Hadoop file system)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(hpath).getLength())
+
+
+def spread_if_small(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Use every core on a small input that arrives as few splits (e.g. one Parquet row group).
+
+    Only when the input is smaller than ``parallelism x maxPartitionBytes`` - so the round-robin
+    shuffle is bounded and cheap - and the scan yields fewer partitions than cores. Large inputs
+    (many files / row groups) are already split by the scan and are never reshuffled here.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    max_split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+    if input_bytes(spark, path) >= cores * max_split:
+        return df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Expose the tables to ``spark.sql`` under their own names."""
     for n in names:
