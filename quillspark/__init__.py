@@ -10,3 +10,14 @@ from quillspark.config import RunConfig
 from quillspark.session import build_session, checkpoint_dir
 
 __all__ = ["RunConfig", "build_session", "checkpoint_dir"]
+
+# Functions that run in Python workers (forest fit/score, top-k, embedding helpers) are shipped
+# with their code: workers need no installed copy of this package (no --py-files on a cluster).
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle without by-value support
+    pass
