@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import packing, token_counts
+from quillspark.llm import itq, langid, lm, mixing, packing, quality, simhash, token_counts, vptree, warc
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,46 @@ def op1(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op2_cross_parsing_langid")
+def op2(spark, sf_dir):
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+@query("op3_itq_embedding_dedup")
+def op3(spark, sf_dir):
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_mix_sources")
+def op4(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_vantage_point_search")
+def op5(spark, sf_dir):
+    return vptree.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_simhash_ball_dedup")
+def op6(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_neighbours")
+def op7(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_token_counts")
 def op8(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op9_warc_chunks")
+def op9(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op10_bloom_lm")
+def op10(spark, sf_dir):
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
