@@ -5,9 +5,9 @@ buffer of one final task: unbounded at scale. Here:
 
 1. one pass builds a ``percentile_approx`` sketch (rank error <= n / accuracy) and brackets
    each target rank inside a value band [lo, hi] that provably contains it;
-2. one pass keeps only band rows, combined per distinct value, and counts the rows below
-   each band under a single key (map-side partial aggregation, so ties, hot values and the
-   rows below all collapse before the shuffle);
+2. one pass combines band rows per distinct value, and the rows below and above each band under a
+   single key each (map-side partial aggregation, so ties, hot values and the rest all collapse before
+   the shuffle); few rows or many take the same path;
 3. the band's distinct values (at most ~6 n / accuracy per percentile) are ranked with a
    running sum to find the two order statistics around the virtual index, which are
    interpolated exactly as numpy does.
@@ -65,36 +65,29 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float], names: Se
                           *[F.col("__band")[2 * i + 1].alias(f"__hi{i}") for i in range(m)])
 
     marked = _attach(vals, bands, by)
-    # With few rows (n <= 4 * accuracy) the rank margin of the sketch is under a handful of rows,
-    # so the whole column is the band (still at most 4 * accuracy distinct values per percentile).
-    whole = F.col("__n") <= F.lit(4 * accuracy)
     los = F.array(*[F.col(f"__lo{k}") for k in range(m)])
     his = F.array(*[F.col(f"__hi{k}") for k in range(m)])
-    # One pass for every percentile: a row below the band counts under the key -inf (all such rows
-    # combine map-side into one row per task), a row inside the band under its own value, a row
-    # above the band is dropped. __n is constant within a group and rides along as a key.
-    below_key = F.lit(float("-inf"))
+    # One pass for every percentile. Rows below the band (class 0) and above it (class 2) combine into one row per
+    # task each, which keeps the value next to the band: the sketch is exact on few rows, where the two order
+    # statistics may straddle the band's edge. Rows inside (class 1) combine per value. __n rides along as a key.
+    cls = lambda i: F.when(F.col("__x") < F.get(los, i), 0).when(F.col("__x") > F.get(his, i), 2).otherwise(1)
     keyed = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.struct(
-        i.alias("pid"),
-        F.when(whole | ((F.col("__x") >= F.get(los, i)) & (F.col("__x") <= F.get(his, i))), F.col("__x"))
-         .when(F.col("__x") < F.get(los, i), below_key).alias("key")))
-    members = (marked.select(*by, "__n", F.explode(F.filter(keyed, lambda e: e["key"].isNotNull())).alias("__e"))
-               .groupBy(*by, "__n", F.col("__e.pid").alias("__pid"), F.col("__e.key").alias("__x"))
-               .agg(F.count(F.lit(1)).alias("__c")))
-
-    w = Window.partitionBy(*by, "__pid").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        i.alias("pid"), cls(i).alias("cls"), F.when(cls(i) == 1, F.col("__x")).alias("key")))
+    members = (marked.select(*by, "__n", "__x", F.explode(keyed).alias("__e"))
+               .groupBy(*by, "__n", F.col("__e.pid").alias("__pid"), F.col("__e.cls").alias("__cls"), F.col("__e.key").alias("__key"))
+               .agg(F.count(F.lit(1)).alias("__c"), F.min("__x").alias("__min"), F.max("__x").alias("__max")))
+
+    order = Window.partitionBy(*by, "__pid").orderBy("__cls", "__key")
+    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     q_p = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("__pid"))
     vidx = virtual_index(F.col("__n"), q_p)
     j0 = F.floor(vidx)
     j1 = F.least(j0 + 1, F.col("__n") - 1)
-    # rows up to and including this value (the -inf key holds every row below the band)
-    ranked = members.select(*by, "__pid", "__x", F.sum("__c").over(w).alias("__upto"),
+    edge = F.when(F.col("__cls") == 0, F.col("__max")).otherwise(F.col("__min"))
+    ranked = members.select(*by, "__pid", "__cls", edge.alias("__x"), F.sum("__c").over(w).alias("__upto"),
                             j0.alias("__j0"), j1.alias("__j1"), (vidx - j0).alias("__t"))
-    real = F.col("__x") > below_key
-    picked = ranked.groupBy(*by, "__pid").agg(
-        F.min(F.when(real & (F.col("__upto") > F.col("__j0")), F.col("__x"))).alias("__a"),
-        F.min(F.when(real & (F.col("__upto") > F.col("__j1")), F.col("__x"))).alias("__b"),
-        F.first("__t").alias("__t"))
+    at = lambda j: F.min_by("__x", F.when(F.col("__upto") > F.col(j), F.col("__upto")))
+    picked = ranked.groupBy(*by, "__pid").agg(at("__j0").alias("__a"), at("__j1").alias("__b"), F.first("__t").alias("__t"))
     value = numpy_lerp(F.col("__a"), F.col("__b"), F.col("__t"))
     # pivot the (pid, value) rows into one row per group; m rows per group only
     return picked.groupBy(*by).agg(*[F.max(F.when(F.col("__pid") == i, value)).alias(nm) for i, nm in enumerate(names)])

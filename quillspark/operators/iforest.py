@@ -35,7 +35,6 @@ from quillspark.functions.quantiles import exact_percentiles
 
 EULER_GAMMA = 0.5772156649015329
 HASH_SPACE = 1 << 62
-POOL_FACTOR = 3.0
 TREE_FACTOR = 1.5
 
 NODE_SCHEMA = T.StructType([
@@ -82,11 +81,10 @@ def _psi(p: ForestParams) -> F.Column:
 def sample_trees(matrix: DataFrame, id_col: str, runs: Sequence[ForestParams]) -> DataFrame:
     """Rows (run_id, tree_id, __psi, <id>, features...) holding each tree's psi-row sample.
 
-    Stage 1 keeps a pool of min(n, TREE_FACTOR * trees * psi) rows with one hash per row.
-    Stage 2 sends each pool row to R = ceil(TREE_FACTOR * trees * psi / pool) trees chosen by R
-    hashes (R = 1 on large data, so the work per row does not grow with the number of trees);
-    when R reaches half the trees (tiny data) every tree tests its own hash instead. Each tree
-    then keeps its psi smallest-hash rows (~TREE_FACTOR * psi candidates).
+    Stage 1 keeps a pool of about min(n, TREE_FACTOR * trees * psi) rows with one hash per row.
+    Stage 2 lets every tree test its own hash of every pool row with chance TREE_FACTOR * psi / pool
+    (at most TREE_FACTOR * trees^2 * psi tests: bounded by the parameters, whatever n is). Each tree
+    then keeps its psi smallest-hash rows of its ~TREE_FACTOR * psi candidates.
     """
     m = with_scalars(matrix, matrix.agg(F.count(F.lit(1)).alias("__n")))
     parts = []
@@ -95,14 +93,9 @@ def sample_trees(matrix: DataFrame, id_col: str, runs: Sequence[ForestParams]) -
         want = F.lit(TREE_FACTOR * t_count) * _psi(p)
         pool_size = F.least(F.col("__n").cast("double"), want)
         pool = m.where(_hash01(F.col(id_col), F.lit(p.seed), F.lit(p.run_id), F.lit("pool")) < pool_size / F.col("__n"))
-        r = F.least(F.lit(t_count), F.ceil(want / pool_size).cast("int"))
-        chosen = F.array_distinct(F.transform(
-            F.sequence(F.lit(0), r - 1),
-            lambda j: F.pmod(F.xxhash64(F.col(id_col), F.lit(p.seed), F.lit(p.run_id), j), F.lit(t_count)).cast("int")))
         tree_p = F.least(F.lit(1.0), F.lit(TREE_FACTOR) * _psi(p) / pool_size)
-        every = F.filter(F.sequence(F.lit(0), F.lit(t_count - 1)),
+        trees = F.filter(F.sequence(F.lit(0), F.lit(t_count - 1)),
                          lambda t: _hash01(F.col(id_col), F.lit(p.seed), F.lit(p.run_id), t) < tree_p)
-        trees = F.when(r * 2 >= F.lit(t_count), every).otherwise(chosen)
         parts.append(pool.select(F.lit(p.run_id).alias("run_id"), F.explode(trees).alias("tree_id"),
                                  _psi(p).alias("__psi"), *matrix.columns))
     cand = reduce(DataFrame.unionByName, parts)
@@ -149,7 +142,7 @@ def fit(matrix: DataFrame, feature_cols: Sequence[str], runs: Sequence[ForestPar
     cols = list(feature_cols)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col, kind="stable")
+        pdf = pdf.sort_values([id_col, *cols], kind="stable")  # rows that share an id: order by their values
         run_id, tree_id = int(pdf["run_id"].iloc[0]), int(pdf["tree_id"].iloc[0])
         psi = int(pdf["__psi"].iloc[0])
         rng = np.random.default_rng([seeds[run_id], run_id, tree_id])

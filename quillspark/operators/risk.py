@@ -16,7 +16,7 @@ TIER_PROBS = (0.05, 0.10, 0.25)
 
 def fixed_score(silver: DataFrame) -> DataFrame:
     """Deterministic stand-in score from the invoice number (FIXTURES contract), for SQL-checkable tests."""
-    num = F.substring("invoice_id", 5, 9).cast("bigint")
+    num = F.expr("CAST(substring(invoice_id, 5) AS BIGINT)")
     score = ((num * 7919) % 1000003 - 50000) / F.lit(1000003.0)
     return silver.select("invoice_id", "vendor_id", F.col("amount").cast("double").alias("amount"),
                          "days_overdue", score.alias("anomaly_score"))

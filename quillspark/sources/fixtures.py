@@ -29,8 +29,8 @@ def raw_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     one = base.selectExpr(
         "k",
-        "concat('INV-', lpad(CAST(k AS STRING), 9, '0')) AS invoice_id",
-        "concat('VND-', lpad(CAST(c_custkey AS STRING), 7, '0')) AS vendor_id",
+        "concat('INV-', lpad(CAST(k AS STRING), greatest(9, length(CAST(k AS STRING))), '0')) AS invoice_id",
+        "concat('VND-', lpad(CAST(c_custkey AS STRING), greatest(7, length(CAST(c_custkey AS STRING))), '0')) AS vendor_id",
         "CASE WHEN k % 2 = 0 THEN concat(' VENDOR-GROUP ', CAST(c_custkey AS STRING), ' O''NEIL AND SONS ') "
         "ELSE concat('vendor-group ', CAST(c_custkey AS STRING), ' o''neil and sons') END AS vendor_name",
         "CASE WHEN k % 211 = 0 THEN 'not-a-date' WHEN k % 3 = 0 THEN date_format(d, 'yyyy-MM-dd') "

@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 from quillspark.operators.silver import SILVER_PARTITIONS
 from quillspark.streaming.ingest import RAW_SCHEMA
 
+# The spellings that pandas.read_csv takes for a missing value by default.
+NA_SPELLINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
 CHUNK_SCHEMA = T.StructType([
     T.StructField("doc_id", T.StringType()), T.StructField("doc_type", T.StringType()),
     T.StructField("vendor_id", T.StringType()), T.StructField("invoice_id", T.StringType()),
@@ -26,9 +30,13 @@ CHUNK_SCHEMA = T.StructType([
 
 # --- sources -------------------------------------------------------------------------------
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with the raw invoice schema; empty fields and the usual NA spellings are null."""
-    return (spark.read.schema(RAW_SCHEMA).option("header", True).option("nullValue", "")
-            .option("nanValue", "NaN").option("mode", "PERMISSIVE").csv(path))
+    """Header CSV with the raw invoice schema, read as pandas reads it: doubled quotes inside quotes, line ends
+    inside quotes, and empty fields or NA spellings in any column are null. An amount that is no number is null."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in RAW_SCHEMA])
+    rows = (spark.read.schema(text).option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
+    known = [F.when(~F.col(f.name).isin(*NA_SPELLINGS), F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in RAW_SCHEMA]
+    return rows.select(*known)
 
 
 def read_parquet_tree(spark: SparkSession, path: str) -> DataFrame:
@@ -56,16 +64,15 @@ def write_bronze(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_silver(df: DataFrame, path: str, files_per_partition: int = 4) -> None:
-    """Partitioned by invoice_year / payment_quarter; only the partitions present in ``df`` are
-    replaced (dynamic overwrite), so reruns are idempotent instead of adding files.
+def write_silver(df: DataFrame, path: str, full: bool = True) -> None:
+    """Partitioned by invoice_year / payment_quarter. ``full`` replaces the table, so that partitions a rebuild
+    no longer produces do not stay; else only the partitions present in ``df`` are replaced (dynamic overwrite).
 
-    Rows are shuffled on (year, quarter, salt): each table partition is written by
-    ``files_per_partition`` tasks (one file each) instead of one task holding a whole quarter.
+    A rebalance on the partition columns sizes the writing tasks by bytes at run time (AQE's advisory size): a
+    quarter is written by as many tasks as its data need, small quarters share one.
     """
-    salt = F.pmod(F.xxhash64("invoice_id"), F.lit(files_per_partition))
-    (df.repartition(*[F.col(c) for c in SILVER_PARTITIONS], salt).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy(*SILVER_PARTITIONS).parquet(path))
+    (df.hint("rebalance", *[F.col(c) for c in SILVER_PARTITIONS]).write.mode("overwrite")
+       .option("partitionOverwriteMode", "static" if full else "dynamic").partitionBy(*SILVER_PARTITIONS).parquet(path))
 
 
 def write_gold(df: DataFrame, path: str, created_at: dt.datetime) -> None:
