@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -12,8 +12,8 @@ def build_session(master: str | None = None, app: str = "quillspark",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Session with the settings every job here assumes: UTC, ANSI, AQE with skew handling.
 
-    On a cluster pass ``master=None`` and let spark-submit decide; shuffle partitions
-    then default to 2 x default parallelism unless given.
+    On a cluster pass ``master=None`` and let spark-submit decide; without ``shuffle_partitions`` the
+    cluster's own setting holds.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -42,13 +42,14 @@ def build_session(master: str | None = None, app: str = "quillspark",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is only read. Where it is
-    unset (local tests) a private folder is created and registered once.
+    On a cluster this setting names shared storage and is only read; a missing one raises there. A local run
+    (tests) gets a private folder, created and registered once.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        # unset: only in local runs and tests
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="quillspark-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
@@ -56,15 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-path under the shared checkpoint folder (never a machine-local temp dir on a cluster)."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    if "://" not in base:
-        os.makedirs(base, exist_ok=True)
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
-    import uuid
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared checkpoint folder; whoever writes there creates it."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df):
