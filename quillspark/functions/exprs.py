@@ -112,7 +112,10 @@ def py_float_text_sql(x: str) -> str:
     # Java's text with <= 15 significant digits is already the shortest: only the layout changes
     n_sig = (f"length(regexp_replace(regexp_replace(substring_index(regexp_replace(CAST({x} AS STRING), '^-', ''), "
              f"'E', 1), '[.]', ''), '^0+|0+$', ''))")
-    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) OR {x} = 0 OR {n_sig} <= 15 THEN {_py_float_layout_sql(x)} "
+    # the common case costs no pattern: positional text of at most 15 digits is the same in both languages
+    plain = f"abs({x}) >= 0.001D AND abs({x}) < 1.0E7D AND length(CAST({x} AS STRING)) <= 16"
+    return (f"(CASE WHEN {plain} THEN CAST({x} AS STRING) "
+            f"WHEN {x} IS NULL OR isnan({x}) OR {x} = 0 OR {n_sig} <= 15 THEN {_py_float_layout_sql(x)} "
             f"ELSE concat({sign}, {unsigned}) END)")
 
 

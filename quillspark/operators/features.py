@@ -75,7 +75,7 @@ def vendor_features(inv: DataFrame, vendors: DataFrame) -> DataFrame:
 def model_matrix(features: DataFrame, cols: Sequence[str] = MODEL_FEATURES) -> tuple[DataFrame, list[str]]:
     """Keep the listed feature columns that exist, nulls as 0 (ids kept alongside)."""
     avail = [c for c in cols if c in features.columns]
-    ids = [c for c in ("invoice_id", "vendor_id") if c in features.columns]
+    ids = [c for c in ("row_id", "invoice_id", "vendor_id") if c in features.columns]
     return features.select(*ids, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in avail]), avail
 
 

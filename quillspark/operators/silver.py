@@ -9,26 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.config import RunConfig
-from quillspark.functions.exprs import parse_date, py_strip_sql, ref, title_case_sql, with_scalars
+from quillspark.functions.exprs import parse_date, py_strip_sql, ref, title_case_sql
 
 SILVER_PARTITIONS = ("invoice_year", "payment_quarter")
 
 
 def dedup_keep_first(df: DataFrame, key: str = "_row_hash",
-                     order: Sequence[str] = ("_ingested_at", "created_at", "invoice_id")) -> DataFrame:
+                     order: Sequence[str] = ("_ingested_at", "created_at", "invoice_id"), count_as: str | None = None) -> DataFrame:
     """Keep one row per ``key``: the first by ``order`` (then by every other column, so the pick is total).
 
     Written as an aggregation (``min`` of a struct led by the ordering columns) rather than
     ``row_number`` over a window: the aggregation combines map-side before the shuffle, so a key
     that holds a third of all rows (a feed that re-sends the same record) collapses to one row
-    per task instead of being sorted in a single task.
+    per task instead of meeting in a single one. ``count_as`` adds the number of rows of the key.
     """
     rest = [c for c in df.columns if c != key]
     ordering = [c for c in order if c in rest] + [c for c in rest if c not in order]
     first = F.expr("min(struct(" + ", ".join(ref(c) for c in ordering) + "))")
-    return df.groupBy(key).agg(first.alias("__row")).selectExpr(*[f"__row.{ref(c)} AS {ref(c)}" for c in df.columns
-                                                                  if c != key], ref(key)) \
-        .select(*df.columns)
+    counts = [F.count(F.lit(1)).alias(count_as)] if count_as else []
+    return df.groupBy(key).agg(first.alias("__row"), *counts).selectExpr(
+        *[ref(c) if c == key else f"__row.{ref(c)} AS {ref(c)}" for c in df.columns], *([ref(count_as)] if count_as else []))
 
 
 def standardize_dates(df: DataFrame, formats: Sequence[str]) -> DataFrame:
@@ -39,10 +39,12 @@ def standardize_dates(df: DataFrame, formats: Sequence[str]) -> DataFrame:
 
 
 def fix_amounts(df: DataFrame) -> DataFrame:
-    """Flag missing amounts, fill with 0, make positive, keep 2 decimals as exact money (decimal(18,2))."""
+    """Flag missing amounts, fill with 0, make positive, round to 2 decimals as numpy does (ties of the scaled
+    double to even) and keep the result as exact money. decimal(28,2) holds any amount below 1e26; larger ones,
+    NaN and infinities become null instead of ending the job."""
     a = f"CAST({ref('amount')} AS DOUBLE)"
     return (df.withColumn("_amount_was_null", F.expr(f"{a} IS NULL"))
-              .withColumn("amount", F.expr(f"CAST(abs(coalesce({a}, 0.0D)) AS DECIMAL(18,2))")))
+              .withColumn("amount", F.expr(f"try_cast(rint(abs(coalesce({a}, 0.0D)) * 100.0D) / 100.0D AS DECIMAL(28,2))")))
 
 
 def standardize_text(df: DataFrame) -> DataFrame:
@@ -80,20 +82,20 @@ def transform(bronze: DataFrame, cfg: RunConfig) -> DataFrame:
 
 def silver_audit(bronze: DataFrame, cfg: RunConfig) -> DataFrame:
     """Counters the silver step reports: rows before/after dedup, duplicates removed, unparseable dates
-    dropped, null amounts filled, negative amounts fixed. The counters after dedup are computed on the
-    deduplicated rows; one aggregation over them plus the bronze row count."""
-    deduped = dedup_keep_first(bronze)
+    dropped, null amounts filled, negative amounts fixed. One pass: the dedup aggregation also counts the
+    rows of each key, and one aggregation over its rows gives all counters."""
+    deduped = dedup_keep_first(bronze, count_as="__copies")
     idate = parse_date("invoice_date", cfg.date_formats)
     amt = F.col("amount").cast("double")
     kept = idate.isNotNull()
-    after = deduped.agg(
+    totals = deduped.agg(
+        F.coalesce(F.sum("__copies"), F.lit(0)).alias("before_dedup"),
         F.count(F.lit(1)).alias("after_dedup"),
         F.count_if(~kept).alias("dropped_unparseable"),
         F.count_if(kept & amt.isNull()).alias("filled_null_amounts"),
         F.count_if(kept & (amt < 0)).alias("fixed_negative_amounts"),
     )
-    before = bronze.agg(F.count(F.lit(1)).alias("before_dedup"))
-    return with_scalars(before, after).select(
+    return totals.select(
         F.col("before_dedup").cast("bigint").alias("before_dedup"),
         F.col("after_dedup").cast("bigint").alias("after_dedup"),
         (F.col("before_dedup") - F.col("after_dedup")).cast("bigint").alias("duplicates_removed"),

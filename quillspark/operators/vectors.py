@@ -1,9 +1,8 @@
 """Vectors and retrieval: embedding, filtered exact cosine top-k, approximate top-k, prompt context.
 
-Exact top-k never materialises query x corpus pairs in a shuffle: the (small, size-checked)
-query set is shipped to every task, each task scores its corpus batch with one matrix
-product and keeps only k rows per query; a final window merges the per-task candidates
-(k per query per batch).
+Exact top-k never materialises query x corpus pairs in a shuffle: shards of the corpus meet blocks of
+queries, each meeting is one matrix product that keeps only k rows per query, and a final window
+merges the shards' candidates.
 """
 
 from __future__ import annotations
@@ -21,7 +20,10 @@ from quillspark.functions.exprs import py_float_text
 
 HASH_DIMS = 64
 TOKEN_PATTERN = "[a-z0-9]+"
-MAX_QUERIES = 10_000
+# Rows of a shard of the corpus and queries of a block: one matrix product each.
+SHARD_ROWS = 16_384
+QUERY_ROWS = 1024
+# Fixed value: the answer when nothing is found.
 NO_CONTEXT = "No relevant information found in the knowledge base."
 
 
@@ -32,22 +34,18 @@ def token_bucket(tok: Column, dims: int) -> Column:
 
 
 def _densify(dims: int):
-    """Arrow-batch helper: (bucket ids, counts) per text -> unit-length dense vectors, for a whole batch
-    at once with numpy (scatter-add + row norms). Sums of integer counts are exact, so the result is
-    bit-identical to the same formula in SQL."""
+    """Arrow-batch helper: bucket ids of each text's tokens -> unit-length dense vectors, for a whole batch at
+    once with numpy (scatter-add + row norms). Sums of integer counts are exact, so the result is bit-identical
+    to the same formula in SQL."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def densify(buckets: pd.Series, counts: pd.Series) -> pd.Series:
+    def densify(buckets: pd.Series) -> pd.Series:
         n = len(buckets)
         if n == 0:
             return pd.Series([], dtype=object)
         lens = np.fromiter((len(x) for x in buckets), dtype=np.int64, count=n)
-        rows = np.repeat(np.arange(n), lens)
-        b = np.concatenate(buckets.to_numpy()).astype(np.int64)
-        c = np.concatenate(counts.to_numpy()).astype(np.float64)
-        ok = b >= 0
-        mat = np.zeros((n, dims))
-        np.add.at(mat, (rows[ok], b[ok]), c[ok])
+        at = np.repeat(np.arange(n), lens) * dims + np.concatenate(buckets.to_numpy()).astype(np.int64)
+        mat = np.bincount(at, minlength=n * dims).astype(np.float64).reshape(n, dims)
         norm = np.sqrt((mat * mat).sum(axis=1))[:, None]
         return pd.Series(list(np.divide(mat, norm, out=np.zeros_like(mat), where=norm > 0)))
 
@@ -58,21 +56,13 @@ def hashed_bow(df: DataFrame, id_col: str, text_col: str, dims: int = HASH_DIMS,
                keep: Sequence[str] = ()) -> DataFrame:
     """Unit-length bag-of-words vectors (``array<double>``) by feature hashing: (id, *keep, embedding).
 
-    Tokenising, hashing and counting run in the JVM: tokens are exploded and counted per
-    (id, bucket) with map-side partial aggregation, so the shuffles move at most ``dims`` small
-    rows per text, never the tokens or the text itself. ``explode_outer`` keeps texts without
-    tokens (zero vector). The last step turns each text's <= ``dims`` (bucket, count) pairs into a
-    dense unit vector in an Arrow batch. ``keep`` columns must be functions of the id (e.g. a
-    document type); they ride along as grouping keys.
+    One output row per input row, without a shuffle: tokenising and hashing run in the JVM inside the row,
+    then an Arrow batch turns bucket ids into dense vectors. Rows that share an id stay apart; texts
+    without tokens and null texts get the zero vector.
     """
-    keys = [F.col(id_col).alias("__id")] + [F.col(c) for c in keep]
-    toks = df.select(*keys, F.explode_outer(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0))
-                     .alias("__t"))
-    bucket = F.when(F.col("__t").isNull(), F.lit(-1)).otherwise(token_bucket(F.col("__t"), dims))
-    counts = toks.groupBy("__id", *keep, bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
-    entries = counts.groupBy("__id", *keep).agg(F.collect_list(F.struct("__b", "__c")).alias("__e"))
-    return entries.select(F.col("__id").alias(id_col), *keep,
-                          _densify(dims)(F.col("__e.__b"), F.col("__e.__c")).alias("embedding"))
+    toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), 0)
+    buckets = F.transform(toks, lambda t: token_bucket(t, dims))
+    return df.select(F.col(id_col), *keep, _densify(dims)(buckets).alias("embedding"))
 
 
 def embed_batches(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list[float]]], dims: int,
@@ -99,62 +89,66 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (na * nb)
 
 
+def row_key(id_col: str) -> Column:
+    """A key per row where ids may repeat, in the order of the ids. Write it before reading it twice."""
+    return F.concat(F.col(id_col).cast("string"), F.lit("\x00"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+
+
 # --- exact filtered top-k ----------------------------------------------------------------
-def _collect_queries(queries: DataFrame, qid: str, vec: str, filt: str | None, max_queries: int):
-    cols = [qid, vec] + ([filt] if filt else [])
-    rows = queries.select(*cols).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries; split the query table")
-    ids = [r[0] for r in rows]
-    mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
-    flt = [r[2] for r in rows] if filt else [None] * len(rows)
-    return ids, mat, flt
+def _columns(names: str | Sequence[str] | None) -> list[str]:
+    return [] if names is None else [names] if isinstance(names, str) else list(names)
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
 def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, corpus_id: str, corpus_vec: str = "embedding",
-             query_id: str = "query_id", query_vec: str = "query_vec", corpus_filter: str | None = None,
-             query_filter: str | None = None, max_queries: int = MAX_QUERIES) -> DataFrame:
+             query_id: str = "query_id", query_vec: str = "query_vec", corpus_filter: str | Sequence[str] | None = None,
+             query_filter: str | Sequence[str] | None = None, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Top-k corpus rows per query by cosine similarity, optionally restricted to corpus rows whose
-    ``corpus_filter`` equals the query's ``query_filter`` (null filter = no restriction; pre-filter).
+    ``corpus_filter`` columns equal the query's ``query_filter`` ones (null = no restriction; pre-filter).
 
     Result: (query_id, <corpus_id>, similarity = round(1 - cosine distance, 4), rank 1..k); ties by
-    similarity then id. The query set is bounded (``max_queries``) and shipped to the tasks.
+    similarity then id. Corpus rows are dealt to shards and queries to blocks, both of bounded size; each
+    (shard, block) group is one matrix product and keeps k rows per query, and Spark's row_number filter cuts
+    the shards' answers again before the merge. Neither side has a limit or passes through the driver.
     """
-    ids, qmat, qflt = _collect_queries(queries, query_id, query_vec, query_filter, max_queries)
-    qnorm = np.linalg.norm(qmat, axis=1, keepdims=True) if len(ids) else qmat
-    qunit = np.divide(qmat, qnorm, out=np.zeros_like(qmat), where=qnorm > 0) if len(ids) else qmat
-    id_type = queries.schema[query_id].dataType
-    cid_type = corpus.schema[corpus_id].dataType
-    out_schema = T.StructType([T.StructField("query_id", id_type), T.StructField(corpus_id, cid_type),
-                               T.StructField("__raw", T.DoubleType())])
-    cols = [corpus_id, corpus_vec] + ([corpus_filter] if corpus_filter else [])
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf) or not ids:
-                continue
-            x = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[corpus_vec]])
-            xn = np.linalg.norm(x, axis=1)
-            sims = (qunit @ x.T) / np.where(xn > 0, xn, np.inf)[None, :]
-            sims = np.round(1.0 - (1.0 - sims), 4)  # similarity as 1 - distance, 4 decimals
-            cid = pdf[corpus_id].to_numpy()
-            parts = []
-            for qi, f in enumerate(qflt):
-                mask = np.ones(len(pdf), bool) if f is None else (pdf[corpus_filter].to_numpy() == f)
-                idx = np.nonzero(mask)[0]
-                if not len(idx):
-                    continue
-                s = sims[qi, idx]
-                # best k by (similarity desc, id asc): lexsort keys are last-major
-                order = np.lexsort((cid[idx], -s))[:k]
-                parts.append(pd.DataFrame({"query_id": ids[qi], corpus_id: cid[idx][order], "__raw": s[order]}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    cand = corpus.select(*cols).mapInPandas(score, out_schema)
-    w = Window.partitionBy("query_id").orderBy(F.col("__raw").desc(), F.col(corpus_id).asc())
+    cf, qf = _columns(corpus_filter), _columns(query_filter)
+    shards = max(1, -(-corpus.count() // shard_rows))
+    blocks = max(1, -(-queries.count() // query_rows))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
+    left = corpus.select(F.col(corpus_id).alias("__id"), F.col(corpus_vec).alias("__vec"), *[F.col(c).alias(f"__f{i}") for i, c in enumerate(cf)],
+                         dealt(corpus_id, shards).alias("__shard"), each(blocks).alias("__block"))
+    right = queries.select(F.col(query_id).alias("__id"), F.col(query_vec).alias("__vec"), *[F.col(c).alias(f"__f{i}") for i, c in enumerate(qf)],
+                           dealt(query_id, blocks).alias("__block"), each(shards).alias("__shard"))
+    schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType),
+                           T.StructField(corpus_id, corpus.schema[corpus_id].dataType), T.StructField("similarity", T.DoubleType())])
+
+    def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": [], corpus_id: [], "similarity": []})
+        if not len(rows) or not len(asked):
+            return none
+        sims = np.round(1.0 - (1.0 - _unit(asked["__vec"]) @ _unit(rows["__vec"]).T), 4)  # 1 - distance, 4 decimals
+        cid, parts = rows["__id"].to_numpy(), []
+        for at, q in enumerate(asked.itertuples(index=False)):
+            mask = np.ones(len(rows), bool)
+            for i in range(len(qf)):
+                if not pd.isna(q[2 + i]):
+                    mask &= rows[f"__f{i}"].to_numpy() == q[2 + i]
+            idx = np.flatnonzero(mask)
+            order = idx[np.lexsort((cid[idx], -sims[at, idx]))[:k]]  # best by (similarity desc, id asc)
+            parts.append(pd.DataFrame({"query_id": q[0], corpus_id: cid[order], "similarity": sims[at, order]}))
+        return pd.concat([p for p in parts if len(p)] or [none], ignore_index=True)
+
+    key = ["__shard", "__block"]
+    cand = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(score, schema)
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(corpus_id).asc())
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", corpus_id, F.col("__raw").alias("similarity"), F.col("rank").cast("int").alias("rank")))
+            .select("query_id", corpus_id, "similarity", F.col("rank").cast("int").alias("rank")))
 
 
 # --- approximate top-k (random-hyperplane LSH + exact re-rank) ---------------------------------
