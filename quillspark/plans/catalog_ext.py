@@ -113,7 +113,8 @@ def q_scoring_report(spark, sf_dir):
 
 @query("top_anomalies")
 def q_top_anomalies(spark, sf_dir):
-    return risk_ops.top_anomalies(_fixed_tiered(spark, sf_dir), 20)
+    # no tier in the list: the flag and the order need the score alone
+    return risk_ops.top_anomalies(_fixed_scored(spark, sf_dir).withColumn("is_anomaly", F.col("anomaly_score") < 0), 20)
 
 
 @query("top_anomalies_report")
@@ -254,12 +255,13 @@ DEMO_QUESTIONS = (
 
 def _question_hits(spark, sf_dir):
     # the chunk table feeds the index and the text lookup: materialised once
-    chunks = materialize(doc_ops.chunk_documents(_gold_docs(spark, sf_dir)).select("chunk_id", "doc_type", "chunk_text"))
-    index = vec_ops.hashed_bow(chunks, "chunk_id", "chunk_text", keep=["doc_type"])
+    chunks = doc_ops.chunk_documents(_gold_docs(spark, sf_dir)).select("chunk_id", "doc_type", "chunk_text")
+    chunks = materialize(chunks.withColumn("row_id", vec_ops.row_key("chunk_id")))  # chunk ids may repeat
+    index = vec_ops.hashed_bow(chunks, "row_id", "chunk_text", keep=["doc_type"])
     qs = spark.createDataFrame(list(DEMO_QUESTIONS), "query_id int, question string, doc_type string")
     qvec = vec_ops.hashed_bow(qs, "query_id", "question", keep=["doc_type"]).withColumnRenamed("embedding", "query_vec")
-    hits = vec_ops.knn_topk(index, qvec, corpus_id="chunk_id", corpus_filter="doc_type", query_filter="doc_type")
-    return qs, hits.join(chunks.select("chunk_id", "doc_type", "chunk_text"), "chunk_id")
+    hits = vec_ops.knn_topk(index, qvec, corpus_id="row_id", corpus_filter="doc_type", query_filter="doc_type")
+    return qs, hits.join(chunks, "row_id")
 
 
 @query("rag_retrieval")
@@ -281,10 +283,13 @@ from quillspark.operators import iforest  # noqa: E402
 
 def forest_run(spark, sf_dir, runs, lay=None):
     """features -> scaled matrix (materialised once) -> trees -> scores (materialised) -> decisions."""
-    matrix, cols = feat_ops.model_matrix(_features(spark, sf_dir, lay), _MF)
+    feats = _features(spark, sf_dir, lay)
+    matrix, cols = feat_ops.model_matrix(feats, _MF)
+    # the unscaled amount rides along: invoice ids may repeat, so nothing is joined back by them
+    matrix = matrix.withColumn("raw_amount", F.col("amount"))
     scaled = materialize(feat_ops.standard_scale(matrix, cols))
     trees = iforest.fit(scaled, cols, runs)
-    scores = materialize(iforest.score(scaled, cols, trees, id_cols=("invoice_id", "vendor_id")))
+    scores = materialize(iforest.score(scaled, cols, trees, id_cols=("invoice_id", "vendor_id", "raw_amount")))
     decisions, offsets = iforest.decide(scores, runs)
     return scaled, cols, trees, decisions, offsets
 
@@ -294,8 +299,7 @@ def q_forest_scores(spark, sf_dir):
     runs = iforest.experiments()[:1]
     lay = L(spark, sf_dir, shared=True)
     _, _, _, decisions, _ = forest_run(spark, sf_dir, runs, lay)
-    amounts = lay.silver().select("invoice_id", F.col("amount").cast("double").alias("amount"))
-    return risk_ops.risk_tiers(decisions.drop("run_id")).join(amounts, "invoice_id")
+    return risk_ops.risk_tiers(decisions.drop("run_id")).withColumnRenamed("raw_amount", "amount")
 
 
 @query("forest_runs")
@@ -327,12 +331,9 @@ def q_event_unwrap(spark, sf_dir):
     """Mixed feed: even invoice numbers arrive in an envelope, odd ones as a bare payload; both unwrap alike."""
     lay = L(spark, sf_dir)
     raw = lay.raw()
-    env = ingest.envelope(raw, lay.cfg.ingested_at)
-    bare = raw.select(F.to_json(F.struct(*[F.col(c) for c in raw.columns])).alias("value"),
-                      F.col("invoice_id").alias("__id"))
-    env = env.select("value", F.get_json_object("value", "$.payload.invoice_id").alias("__id"))
-    even = F.substring("__id", 13, 1).cast("int") % 2 == 0
-    mixed = env.where(even).unionByName(bare.where(~even)).drop("__id")
+    even = F.substring("invoice_id", -1, 1).cast("int") % 2 == 0
+    mixed = raw.select(F.when(even, ingest.envelope_text(lay.cfg.ingested_at))
+                       .otherwise(F.to_json(F.struct(*[F.col(c) for c in raw.columns]))).alias("value"))
     return ingest.unwrap(mixed).withColumn("amount", nan_to_null("amount"))
 
 
@@ -399,3 +400,64 @@ def q_bronze_union(spark, sf_dir):
 @query("vendors_by_total")
 def q_vendors_by_total(spark, sf_dir):
     return gold_ops.order_by_total(L(spark, sf_dir).vendor_summary(), "vendor_id", "vendor_name", "state")
+
+
+# --- inputs that reach rare branches ---------------------------------------------------------------
+from quillspark.operators import silver as silver_ops  # noqa: E402
+from quillspark.sources import io  # noqa: E402
+
+
+@query("amount_repair")
+def q_amount_repair(spark, sf_dir):
+    """Amount repair over discounts: values with ties at the third decimal, negative, missing and very large ones."""
+    li = read_table(spark, sf_dir, "lineitem")
+    amount = F.expr("CASE WHEN l_orderkey % 13 = 0 THEN NULL WHEN l_orderkey % 7 = 0 THEN -l_extendedprice * l_discount "
+                    "WHEN l_orderkey % 11 = 0 THEN l_extendedprice * 1e12D ELSE l_extendedprice * l_discount END")
+    fixed = silver_ops.fix_amounts(li.select("l_orderkey", "l_linenumber", amount.cast("double").alias("amount")))
+    return fixed.withColumn("amount", F.col("amount").cast("double"))
+
+
+@query("csv_scan")
+def q_csv_scan(spark, sf_dir):
+    """Raw invoices through a CSV with doubled quotes, line ends in quotes and NA spellings, read back."""
+    raw = L(spark, sf_dir).raw()
+    out = scratch_path(spark, "csv")
+    odd = F.expr("CASE WHEN notes IS NULL THEN 'N/A' ELSE concat('He said \"', notes, '\",\\n', state) END")
+    (raw.withColumn("notes", odd).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", "\"")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out))
+    return io.read_raw_csv(spark, out)
+
+
+@query("parquet_tree")
+def q_parquet_tree(spark, sf_dir):
+    """Raw invoices in folders of different depth, read back as one table."""
+    raw, out = L(spark, sf_dir).raw(), scratch_path(spark, "tree")
+    for i, folder in enumerate(("a", "b/c")):
+        raw.where(F.length("vendor_name") % 2 == i).write.mode("overwrite").parquet(f"{out}/{folder}")
+    return io.read_parquet_tree(spark, out)
+
+
+@query("chunks_json")
+def q_chunks_json(spark, sf_dir):
+    """Chunks of the documents table through JSON lines."""
+    out = scratch_path(spark, "chunks")
+    io.write_json(_text_chunks(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string")), out)
+    return io.read_chunks_json(spark, out).select("doc_id", "chunk_id", "chunk_text", "chunk_idx")
+
+
+@query("scoring_rows")
+def q_scoring_rows(spark, sf_dir):
+    """Rows and amounts before and after scoring, with first-quarter invoices sent again under their ids with another amount."""
+    silver = L(spark, sf_dir).silver()
+    again = silver.where(F.col("payment_quarter") == "Q1").withColumn("amount", F.expr("CAST(amount + 1 AS DECIMAL(28,2))"))
+    both = silver.unionByName(again)
+    feats = materialize(feat_ops.vendor_features(feat_ops.invoice_features(both, FIXTURE_CATEGORIES), gold_ops.vendor_summary(both))
+                        .withColumn("row_id", F.monotonically_increasing_id()))
+    matrix, cols = feat_ops.model_matrix(feats, _MF)
+    scaled = materialize(feat_ops.standard_scale(matrix, cols))
+    runs = [iforest.ForestParams(1, 10, 0.05)]
+    scores = iforest.score(scaled, cols, iforest.fit(scaled, cols, runs), ("row_id",))
+    out = scores.join(feats.select("row_id", "amount"), "row_id")
+    return out.agg(F.count("*").alias("rows_out"), F.countDistinct("row_id").alias("distinct_out"),
+                   F.sum(F.rint(F.col("amount") * 100).cast("bigint")).cast("bigint").alias("cents_out"),
+                   F.count_if(F.col("score") < 0).cast("bigint").alias("scored"))

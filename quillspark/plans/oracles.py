@@ -30,8 +30,8 @@ base as (
  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
 one as (
  select k,
-  concat('INV-', lpad(cast(k as varchar), 9, '0')) invoice_id,
-  concat('VND-', lpad(cast(c_custkey as varchar), 7, '0')) vendor_id,
+  concat('INV-', lpad(cast(k as varchar), greatest(9, length(cast(k as varchar)))::int, '0')) invoice_id,
+  concat('VND-', lpad(cast(c_custkey as varchar), greatest(7, length(cast(c_custkey as varchar)))::int, '0')) vendor_id,
   case when k % 2 = 0 then concat(' VENDOR-GROUP ', cast(c_custkey as varchar), ' O''NEIL AND SONS ')
        else concat('vendor-group ', cast(c_custkey as varchar), ' o''neil and sons') end vendor_name,
   case when k % 211 = 0 then 'not-a-date' when k % 3 = 0 then strftime(d, '%Y-%m-%d')
@@ -55,7 +55,7 @@ dt as (select * replace (
  from dd),
 silver as (
  select invoice_id, vendor_id, {title('vendor_name')} vendor_name, invoice_date, due_date,
-  cast(abs(coalesce(amount, 0.0)) as decimal(18,2)) amount,
+  cast(round_even(abs(coalesce(amount, 0.0)) * 100.0, 0) / 100.0 as decimal(28,2)) amount,
   trim(upper(status)) status, {title('category')} category, trim(upper(state)) state, notes, created_at,
   _source, _row_hash, amount is null _amount_was_null,
   cast(due_date - invoice_date as int) days_to_due,
@@ -280,7 +280,7 @@ def np_percentile(table: str, col: str, p: float) -> str:
 
 FIXED_SCORE_CTES = """
 fixed as (select invoice_id, vendor_id, cast(amount as double) amount, days_overdue,
-  ((cast(substring(invoice_id, 5, 9) as bigint) * 7919) % 1000003 - 50000) / cast(1000003 as double) anomaly_score
+  ((cast(substring(invoice_id, 5) as bigint) * 7919) % 1000003 - 50000) / cast(1000003 as double) anomaly_score
  from silver),
 fixed_flag as (select *, anomaly_score < 0 is_anomaly from fixed)
 """
@@ -387,7 +387,7 @@ vendor_docs as (select concat('vendor_', vendor_id) doc_id, 'vendor_summary' doc
  from vendor_summary),
 anomaly_docs as (select concat('anomaly_', invoice_id) doc_id, 'anomaly_alert' doc_type, invoice_id, risk_level,
  {ANOMALY_DOC_TEXT} text from (select * from tiered where risk_level in ('CRITICAL', 'HIGH')
- order by anomaly_score, invoice_id limit 200)),
+)),
 trend_docs as (select concat('trend_', year_month) doc_id, 'monthly_trend' doc_type, year_month, {TREND_DOC_TEXT} text
  from monthly_trends),
 docs as (
@@ -482,3 +482,19 @@ select status, cast(count(*) as bigint) n from silver where invoice_year = 1998
 oracle("restore_types", with_layers(f"select {SILVER_COLS} from silver"))
 oracle("bronze_union", with_layers("select * from bronze union all select * replace ('kafka_stream' as _source) from bronze"))
 oracle("vendors_by_total", with_layers("select * from vendor_summary order by total_amount desc, vendor_id, vendor_name, state"))
+
+# --- inputs that reach rare branches ----------------------------------------------------------
+oracle("amount_repair", """
+select l_orderkey, l_linenumber, a is null _amount_was_null, round_even(abs(coalesce(a, 0.0)) * 100.0, 0) / 100.0 amount
+from (select l_orderkey, l_linenumber, cast(case when l_orderkey % 13 = 0 then null
+  when l_orderkey % 7 = 0 then -l_extendedprice * l_discount when l_orderkey % 11 = 0 then l_extendedprice * 1e12::double
+  else l_extendedprice * l_discount end as double) a from lineitem)""")
+oracle("csv_scan", with_layers("""
+select * replace (case when notes is null then null else concat('He said "', notes, '",', chr(10), state) end as notes) from raw"""))
+oracle("parquet_tree", with_layers("select * from raw"))
+oracle("chunks_json", f"""select cast(doc_id as varchar) doc_id, chunk_id, chunk_text, chunk_idx from
+ ({chunks_sql('documents', 'doc_id')}) where true""")
+oracle("scoring_rows", with_layers("""
+select count(*) rows_out, count(*) distinct_out, cast(sum(cast(cast(amount as double) * 100 as bigint)) as bigint) cents_out, count(*) scored from (
+ select amount from silver union all select amount + 1 from silver where payment_quarter = 'Q1')"""))
+oracle("stream_progress", with_layers("select 8::bigint batches_written, cast(count(*) as bigint) messages_read from raw"))

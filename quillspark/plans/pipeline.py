@@ -23,6 +23,7 @@ from quillspark.operators import quality as qual_ops
 from quillspark.operators import risk as risk_ops
 from quillspark.operators import silver as silver_ops
 from quillspark.operators import vectors as vec_ops
+from quillspark.session import materialize
 from quillspark.sources import io
 from quillspark.sources.fixtures import raw_invoices
 
@@ -60,26 +61,26 @@ def run_all(spark: SparkSession, raw: DataFrame, root: str, cfg: RunConfig = Run
             enforce: bool = True) -> DataFrame:
     """Layer -> quality report -> gate -> next layer; returns the full quality report (also written as JSON)."""
     p = LakePaths(root)
+
+    def gate(layer: str, report: DataFrame) -> None:
+        """Each check runs once, into the report; the gate reads the written rows."""
+        out = f"{p.quality_reports}/{layer}"
+        io.write_json(report, out)
+        if enforce:
+            qual_ops.enforce(spark.read.json(out, schema=qual_ops.REPORT_SCHEMA))
+
     io.write_bronze(bronze_ops.add_metadata(raw, cfg.ingested_at), p.bronze)
     bronze = io.read_parquet_tree(spark, p.bronze)
-    reports = [qual_ops.bronze_report(spark, bronze, cfg)]
-    if enforce:
-        qual_ops.enforce(reports[-1])
+    gate("bronze", qual_ops.bronze_report(spark, bronze, cfg))
     io.write_silver(silver_ops.transform(bronze, cfg), p.silver)
     silver = io.read_partitioned(spark, p.silver)
-    reports.append(qual_ops.silver_report(spark, silver, cfg))
-    if enforce:
-        qual_ops.enforce(reports[-1])
+    gate("silver", qual_ops.silver_report(spark, silver, cfg))
     io.write_gold(gold_ops.vendor_summary(silver), p.vendor_summary, cfg.ingested_at)
     io.write_gold(gold_ops.monthly_trends(silver), p.monthly_trends, cfg.ingested_at)
     io.write_gold(gold_ops.category_analysis(silver), p.category_analysis, cfg.ingested_at)
     v, m, c = (spark.read.parquet(x) for x in (p.vendor_summary, p.monthly_trends, p.category_analysis))
-    reports.append(qual_ops.gold_report(spark, v, m, c, cfg))
-    report = reports[0].unionByName(reports[1]).unionByName(reports[2])
-    io.write_json(report, p.quality_reports)
-    if enforce:
-        qual_ops.enforce(reports[-1])
-    return spark.read.json(p.quality_reports, schema=qual_ops.REPORT_SCHEMA)
+    gate("gold", qual_ops.gold_report(spark, v, m, c, cfg))
+    return spark.read.option("recursiveFileLookup", True).json(p.quality_reports, schema=qual_ops.REPORT_SCHEMA)
 
 
 def run_ml(spark: SparkSession, root: str, categories: list[str] | None = None,
@@ -90,7 +91,7 @@ def run_ml(spark: SparkSession, root: str, categories: list[str] | None = None,
     vendors = spark.read.parquet(p.vendor_summary)
     cats = categories or feat_ops.observed_categories(silver)
     feats = feat_ops.vendor_features(feat_ops.invoice_features(silver, cats), vendors)
-    io.write_table(feats, p.features)
+    io.write_table(feats.withColumn("row_id", F.monotonically_increasing_id()), p.features)   # invoice ids may repeat
     feats = spark.read.parquet(p.features)
     matrix, cols = feat_ops.model_matrix(feats, MODEL_FEATURES)
     io.write_table(feat_ops.scaler_moments(matrix, cols), p.scaler)        # stored with the model
@@ -99,7 +100,7 @@ def run_ml(spark: SparkSession, root: str, categories: list[str] | None = None,
     runs = runs or iforest.experiments()
     io.write_table(iforest.fit(scaled, cols, runs), p.trees)
     trees = spark.read.parquet(p.trees)
-    io.write_table(iforest.score(scaled, cols, trees, ("invoice_id", "vendor_id")), p.raw_scores)
+    io.write_table(iforest.score(scaled, cols, trees, ("row_id",)), p.raw_scores)
     decisions, offsets = iforest.decide(spark.read.parquet(p.raw_scores), runs)
     io.write_table(offsets, p.offsets)
     io.write_table(decisions, p.decisions)
@@ -107,7 +108,7 @@ def run_ml(spark: SparkSession, root: str, categories: list[str] | None = None,
     io.write_table(iforest.run_metrics(decisions, runs, len(cols)), p.runs)
     best = iforest.latest(spark.read.parquet(p.runs)).select("run_id")
     chosen = decisions.join(F.broadcast(best), "run_id").drop("run_id")   # one-row side
-    scored = risk_ops.risk_tiers(chosen.join(feats, ["invoice_id", "vendor_id"]))
+    scored = risk_ops.risk_tiers(chosen.join(feats, "row_id").drop("row_id"))
     io.write_table(scored, p.scores)
     top = risk_ops.top_anomalies(spark.read.parquet(p.scores), 20)
     io.write_csv_report(top, p.top_anomalies)
@@ -120,18 +121,20 @@ def run_scoring(spark: SparkSession, root: str, features: DataFrame | None = Non
     new data), score with its trees, apply its stored contamination offset, add risk tiers."""
     p = LakePaths(root)
     feats = features if features is not None else spark.read.parquet(p.features)
+    if "row_id" not in feats.columns:  # invoice ids may repeat: rows are joined back by a number of their own
+        feats = materialize(feats.withColumn("row_id", F.monotonically_increasing_id()))
     runs = spark.read.parquet(p.runs)
     best = iforest.latest(runs).select("run_id", "contamination").first()
     matrix, cols = feat_ops.model_matrix(feats, MODEL_FEATURES)
     moments = None if refit_scaler else spark.read.parquet(p.scaler)
     scaled = feat_ops.standard_scale(matrix, cols, moments)
     trees = spark.read.parquet(p.trees).where(F.col("run_id") == best.run_id)
-    raw = iforest.score(scaled, cols, trees, ("invoice_id", "vendor_id"))
+    raw = iforest.score(scaled, cols, trees, ("row_id",))
     offset = spark.read.parquet(p.offsets).where(F.col("run_id") == best.run_id).select("offset")
     decided = (with_scalars(raw.drop("run_id"), offset)
                .withColumn("anomaly_score", F.col("score") - F.col("offset"))
                .withColumn("is_anomaly", F.col("anomaly_score") < 0).drop("score", "offset"))
-    return risk_ops.risk_tiers(decided.join(feats, ["invoice_id", "vendor_id"]))
+    return risk_ops.risk_tiers(decided.join(feats, "row_id").drop("row_id"))
 
 
 def run_retrieval(spark: SparkSession, root: str, questions: DataFrame, cfg: RunConfig = RunConfig()) -> DataFrame:
@@ -143,12 +146,14 @@ def run_retrieval(spark: SparkSession, root: str, questions: DataFrame, cfg: Run
         doc_ops.trend_documents(spark.read.parquet(p.monthly_trends), cfg.elevated_overdue_rate))
     io.write_json(doc_ops.chunk_documents(docs).drop("text"), p.chunks)
     chunks = io.read_chunks_json(spark, p.chunks)
-    io.write_vectors(vec_ops.hashed_bow(chunks, "chunk_id", "chunk_text", keep=["doc_type"]), p.vectors)
+    meta = [c for c in chunks.columns if c != "chunk_id"]
+    rows = vec_ops.hashed_bow(chunks, "chunk_id", "chunk_text", keep=meta)
+    io.write_vectors(rows.withColumn("row_id", vec_ops.row_key("chunk_id")), p.vectors)   # chunk ids may repeat
     index = spark.read.parquet(p.vectors)
     qvec = (vec_ops.hashed_bow(questions, "query_id", "question", keep=["doc_type"])
             .withColumnRenamed("embedding", "query_vec"))
-    hits = vec_ops.knn_topk(index, qvec, corpus_id="chunk_id", corpus_filter="doc_type", query_filter="doc_type")
-    hits = hits.join(chunks.select("chunk_id", "doc_type", "chunk_text"), "chunk_id")
+    hits = vec_ops.knn_topk(index, qvec, corpus_id="row_id", corpus_filter="doc_type", query_filter="doc_type")
+    hits = hits.join(index.select("row_id", "chunk_id", "doc_type", "chunk_text"), "row_id")
     answers = vec_ops.prompt_context(questions, hits, text_col="chunk_text").join(questions, "query_id")
     io.write_json(answers, p.answers)
     return spark.read.json(p.answers)

@@ -17,9 +17,10 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.config import EVENT_SOURCE_SYSTEM, EVENT_TYPE, STREAM_SOURCE
 from quillspark.operators.bronze import add_metadata
@@ -41,18 +42,21 @@ MESSAGE_SCHEMA = T.StructType([
 ])
 
 
-def envelope(raw: DataFrame, event_time: dt.datetime) -> DataFrame:
-    """(key, value): key = vendor_id (per-key ordering in a partitioned topic), value = JSON envelope.
-
-    A missing amount is sent as NaN, as the source feed does, so the stream fingerprint equals the batch one.
-    """
+def envelope_text(event_time: dt.datetime) -> Column:
+    """The JSON envelope of a raw invoice row. A missing amount is sent as NaN, as the source feed does, so the
+    stream fingerprint equals the batch one."""
     payload = F.struct(*[(F.coalesce(F.col("amount"), F.lit(float("nan"))) if c == "amount" else F.col(c)).alias(c)
                          for c in RAW_COLUMNS])
     msg = F.struct(F.lit(EVENT_TYPE).alias("event_type"),
                    F.lit(event_time.isoformat()).alias("event_timestamp"),
                    F.lit(EVENT_SOURCE_SYSTEM).alias("source_system"),
                    payload.alias("payload"))
-    return raw.select(F.col("vendor_id").alias("key"), F.to_json(msg).alias("value"))
+    return F.to_json(msg)
+
+
+def envelope(raw: DataFrame, event_time: dt.datetime) -> DataFrame:
+    """(key, value): key = vendor_id (per-key ordering in a partitioned topic), value = JSON envelope."""
+    return raw.select(F.col("vendor_id").alias("key"), envelope_text(event_time).alias("value"))
 
 
 def unwrap(messages: DataFrame, value_col: str = "value") -> DataFrame:
@@ -68,16 +72,18 @@ def stream_bronze_frame(messages: DataFrame, ingested_at: dt.datetime) -> DataFr
     return add_metadata(unwrap(messages), ingested_at, STREAM_SOURCE)
 
 
-def publish_files(raw: DataFrame, path: str, event_time: dt.datetime, files: int = 8,
+def publish_files(raw: DataFrame, path: str, event_time: dt.datetime, files: int | None = None,
                   max_messages: int | None = None) -> None:
     """Keyed publish to a folder of JSON-lines files (the file stand-in for a topic; one line per message).
 
-    Messages are hash-partitioned by key, so each vendor's messages stay in one file, in order.
-    ``max_messages`` sends only the first n invoices by id (the producer's demo limit); default all.
+    Messages are hash-partitioned by key, so each vendor's messages stay in one file, ordered by created_at and
+    invoice_id. Without ``files`` there are as many as the data need (the session's shuffle partitions, small ones
+    merged by AQE). ``max_messages`` sends only the first n invoices by id (the producer's demo limit); default all.
     """
     src = raw.orderBy("invoice_id").limit(max_messages) if max_messages else raw
-    env = envelope(src, event_time).repartition(files, "key").sortWithinPartitions("key")
-    env.select("value").write.mode("overwrite").text(path)
+    env = src.select("created_at", "invoice_id", F.col("vendor_id").alias("key"), envelope_text(event_time).alias("value"))
+    env = env.repartition(files, "key") if files else env.repartition("key")
+    env.sortWithinPartitions("key", "created_at", "invoice_id").select("value").write.mode("overwrite").text(path)
 
 
 def publish_kafka(raw: DataFrame, servers: str, topic: str, event_time: dt.datetime) -> None:
@@ -115,10 +121,24 @@ def run_stream_bronze(messages: DataFrame, output: str, checkpoint: str, ingeste
          .outputMode("append").trigger(availableNow=True))
     if query_name:
         w = w.queryName(query_name)
-    q = w.start()
-    q.awaitTermination()
-    progress = [p for p in q.recentProgress if p.get("numInputRows", 0) > 0]
-    return StreamResult(output, len(progress), int(sum(p["numInputRows"] for p in progress)))
+    return StreamResult(output, *_counted(w.start()))
+
+
+def _counted(q: StreamingQuery) -> tuple[int, int]:
+    """Wait for the end of a query; (micro-batches with rows, rows read).
+
+    Spark keeps the progress of the last 100 batches only, so it is picked up while the query runs, by batch id. A
+    batch that slipped through would leave a gap in the ids and raises, rather than being missing from the counts.
+    """
+    rows: dict[int, int] = {}
+    ended = False
+    while not ended:
+        ended = bool(q.awaitTermination(0.1))
+        for p in q.recentProgress:
+            rows[p["batchId"]] = max(rows.get(p["batchId"], 0), p["numInputRows"])
+    if rows and len(rows) <= max(rows) - min(rows):
+        raise RuntimeError("progress of some micro-batches was not seen")
+    return sum(n > 0 for n in rows.values()), sum(rows.values())
 
 
 def run_stream_bronze_batches(messages: DataFrame, output: str, checkpoint: str, ingested_at: dt.datetime) -> StreamResult:
@@ -132,9 +152,7 @@ def run_stream_bronze_batches(messages: DataFrame, output: str, checkpoint: str,
 
     q = (bronze.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
-    q.awaitTermination()
-    progress = [p for p in q.recentProgress if p.get("numInputRows", 0) > 0]
-    return StreamResult(output, len(progress), int(sum(p["numInputRows"] for p in progress)))
+    return StreamResult(output, *_counted(q))
 
 
 def progress_frame(spark: SparkSession, result: StreamResult) -> DataFrame:
