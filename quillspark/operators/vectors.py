@@ -86,7 +86,7 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
     nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda acc, x: acc + x * x))
-    return dot / (na * nb)
+    return F.try_divide(dot, na * nb)  # null for a zero vector
 
 
 def row_key(id_col: str) -> Column:
@@ -99,44 +99,39 @@ def _columns(names: str | Sequence[str] | None) -> list[str]:
     return [] if names is None else [names] if isinstance(names, str) else list(names)
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    x = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _unit(vectors: pd.Series, packed: str | None) -> np.ndarray:
+    """Unit vectors of a column of arrays, or of packed numbers of a type; the zero vector stays zero."""
+    x = np.vstack([np.asarray(v, dtype=np.float64) if packed is None else np.frombuffer(v, packed).astype(np.float64) for v in vectors])
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, corpus_id: str, corpus_vec: str = "embedding",
-             query_id: str = "query_id", query_vec: str = "query_vec", corpus_filter: str | Sequence[str] | None = None,
-             query_filter: str | Sequence[str] | None = None, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """Top-k corpus rows per query by cosine similarity, optionally restricted to corpus rows whose
-    ``corpus_filter`` columns equal the query's ``query_filter`` ones (null = no restriction; pre-filter).
-
-    Result: (query_id, <corpus_id>, similarity = round(1 - cosine distance, 4), rank 1..k); ties by
-    similarity then id. Corpus rows are dealt to shards and queries to blocks, both of bounded size; each
-    (shard, block) group is one matrix product and keeps k rows per query, and Spark's row_number filter cuts
-    the shards' answers again before the merge. Neither side has a limit or passes through the driver.
-    """
-    cf, qf = _columns(corpus_filter), _columns(query_filter)
+def _nearest(corpus: DataFrame, queries: DataFrame, k: int, vec, *, corpus_id: str, corpus_vec: str, query_id: str, query_vec: str,
+             filters: Sequence[tuple[str, str]], shard_rows: int, query_rows: int) -> DataFrame:
+    """(query_id, <corpus_id>, similarity, rank 1..k): shards of corpus rows meet blocks of queries, both of bounded
+    size; each (shard, block) group is one matrix product of the unit vectors that ``vec`` makes of a column and
+    keeps k rows per query; Spark's row_number filter cuts the shards' answers again before the merge."""
     shards = max(1, -(-corpus.count() // shard_rows))
     blocks = max(1, -(-queries.count() // query_rows))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
-    left = corpus.select(F.col(corpus_id).alias("__id"), F.col(corpus_vec).alias("__vec"), *[F.col(c).alias(f"__f{i}") for i, c in enumerate(cf)],
+    left = corpus.select(F.col(corpus_id).alias("__id"), F.col(corpus_vec).alias("__vec"), *[F.col(c).alias(f"__f{i}") for i, (c, _) in enumerate(filters)],
                          dealt(corpus_id, shards).alias("__shard"), each(blocks).alias("__block"))
-    right = queries.select(F.col(query_id).alias("__id"), F.col(query_vec).alias("__vec"), *[F.col(c).alias(f"__f{i}") for i, c in enumerate(qf)],
+    right = queries.select(F.col(query_id).alias("__id"), F.col(query_vec).alias("__vec"), *[F.col(q).alias(f"__f{i}") for i, (_, q) in enumerate(filters)],
                            dealt(query_id, blocks).alias("__block"), each(shards).alias("__shard"))
     schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType),
                            T.StructField(corpus_id, corpus.schema[corpus_id].dataType), T.StructField("similarity", T.DoubleType())])
+    n_filters = len(filters)
 
     def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": [], corpus_id: [], "similarity": []})
         if not len(rows) or not len(asked):
             return none
-        sims = np.round(1.0 - (1.0 - _unit(asked["__vec"]) @ _unit(rows["__vec"]).T), 4)  # 1 - distance, 4 decimals
+        sims = np.round(1.0 - (1.0 - _unit(asked["__vec"], None) @ _unit(rows["__vec"], vec).T), 4)  # 1 - distance, 4 decimals
         cid, parts = rows["__id"].to_numpy(), []
         for at, q in enumerate(asked.itertuples(index=False)):
             mask = np.ones(len(rows), bool)
-            for i in range(len(qf)):
+            for i in range(n_filters):
                 if not pd.isna(q[2 + i]):
                     mask &= rows[f"__f{i}"].to_numpy() == q[2 + i]
             idx = np.flatnonzero(mask)
@@ -146,43 +141,55 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, corpus_id
 
     key = ["__shard", "__block"]
     cand = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(score, schema)
+    return _ranked(cand, corpus_id, k)
+
+
+def _ranked(scored: DataFrame, corpus_id: str, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(corpus_id).asc())
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", corpus_id, "similarity", F.col("rank").cast("int").alias("rank")))
 
 
-# --- approximate top-k (random-hyperplane LSH + exact re-rank) ---------------------------------
-def lsh_signature(vec: Column, planes: np.ndarray) -> Column:
-    """Bit signature of a vector: sign of its dot product with each random hyperplane."""
-    bits = []
-    for p in planes:
-        lit = F.array(*[F.lit(float(x)) for x in p])
-        dot = F.aggregate(F.zip_with(vec, lit, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-        bits.append(F.when(dot >= 0, F.lit("1")).otherwise(F.lit("0")))
-    return F.concat(*bits)
+def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, corpus_id: str, corpus_vec: str = "embedding",
+             query_id: str = "query_id", query_vec: str = "query_vec", corpus_filter: str | Sequence[str] | None = None,
+             query_filter: str | Sequence[str] | None = None, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """Top-k corpus rows per query by cosine similarity, optionally restricted to corpus rows whose
+    ``corpus_filter`` columns equal the query's ``query_filter`` ones (null = no restriction; pre-filter).
+
+    Result: (query_id, <corpus_id>, similarity = round(1 - cosine distance, 4), rank 1..k); ties by
+    similarity then id. Neither side has a limit or passes through the driver.
+    """
+    return _nearest(corpus, queries, k, None, corpus_id=corpus_id, corpus_vec=corpus_vec, query_id=query_id, query_vec=query_vec,
+                    filters=list(zip(_columns(corpus_filter), _columns(query_filter))), shard_rows=shard_rows, query_rows=query_rows)
+
+
+# --- approximate top-k (scalar-quantised codes + exact re-rank) -------------------------------------
+def quantised(corpus: DataFrame, corpus_id: str, corpus_vec: str) -> DataFrame:
+    """The index: (<corpus_id>, code), a byte per component of the unit vector (scaled by its largest one). Write
+    it once to search it often; it is an eighth of double vectors."""
+
+    @F.pandas_udf(T.BinaryType())
+    def code(vectors: pd.Series) -> pd.Series:
+        x = _unit(vectors, None) if len(vectors) else np.zeros((0, 1))
+        top = np.abs(x).max(axis=1, keepdims=True)
+        return pd.Series([row.tobytes() for row in np.rint(np.divide(x, top, out=np.zeros_like(x), where=top > 0) * 127).astype(np.int8)])
+
+    return corpus.select(corpus_id, code(F.col(corpus_vec)).alias("code"))
 
 
 def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, corpus_id: str, corpus_vec: str = "embedding",
-             query_id: str = "query_id", query_vec: str = "query_vec", dims: int, bits: int = 4, tables: int = 4,
-             seed: int = 7) -> DataFrame:
-    """Approximate top-k: candidates share at least one LSH bucket with the query (``tables`` hash tables
-    of ``bits`` hyperplanes), then exact cosine re-rank. Candidate generation is an equi-join on
-    (table, bucket) between queries and corpus rows (never corpus x corpus)."""
-    rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((tables, bits, dims))
-    csig = corpus.select(corpus_id, corpus_vec, F.explode(F.array(*[
-        F.struct(F.lit(t).alias("tbl"), lsh_signature(F.col(corpus_vec), planes[t]).alias("bucket")) for t in range(tables)
-    ])).alias("s")).select(corpus_id, corpus_vec, "s.tbl", "s.bucket")
-    qsig = queries.select(query_id, query_vec, F.explode(F.array(*[
-        F.struct(F.lit(t).alias("tbl"), lsh_signature(F.col(query_vec), planes[t]).alias("bucket")) for t in range(tables)
-    ])).alias("s")).select(query_id, query_vec, "s.tbl", "s.bucket")
-    # no forced broadcast: the query side is not size-checked here, so Spark picks the join from
-    # measured sizes and AQE splits a hot bucket on the corpus side
-    cand = (csig.join(qsig, ["tbl", "bucket"])
-            .select(query_id, corpus_id, corpus_vec, query_vec).dropDuplicates([query_id, corpus_id]))
-    scored = cand.select(query_id, corpus_id, F.round(cosine(F.col(query_vec), F.col(corpus_vec)), 4).alias("similarity"))
-    w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(corpus_id).asc())
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+             query_id: str = "query_id", query_vec: str = "query_vec", index: DataFrame | None = None, oversample: int = 4,
+             shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """Approximate top-k: the ``oversample`` x k best rows of each query by quantised codes, then exact cosine on the
+    original vectors of those rows alone. The scan moves a byte per component, and the join with the
+    vectors has ``oversample`` x k rows per query whatever the size of the corpus."""
+    index = index if index is not None else quantised(corpus, corpus_id, corpus_vec)
+    near = _nearest(index, queries, oversample * k, "int8", corpus_id=corpus_id, corpus_vec="code", query_id=query_id,
+                    query_vec=query_vec, filters=(), shard_rows=shard_rows, query_rows=query_rows).select("query_id", corpus_id)
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("__q"))
+    pairs = near.join(corpus.select(corpus_id, F.col(corpus_vec).alias("__v")), corpus_id).join(asked, "query_id")
+    exact = F.coalesce(F.round(1.0 - (1.0 - cosine(F.col("__q"), F.col("__v"))), 4), F.lit(0.0))
+    return _ranked(pairs.select("query_id", corpus_id, exact.alias("similarity")), corpus_id, k)
 
 
 # --- prompt context ------------------------------------------------------------------------

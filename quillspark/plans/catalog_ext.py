@@ -240,7 +240,7 @@ def q_knn_filtered(spark, sf_dir):
 @query("ann_topk")
 def q_ann_topk(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings")
-    return vec_ops.ann_topk(emb, label_centroids(emb), corpus_id="vec_id", dims=64)
+    return vec_ops.ann_topk(emb, label_centroids(emb), corpus_id="vec_id")
 
 
 # The demo questions of the retrieval chain and their metadata filters (fixed values).

@@ -443,6 +443,8 @@ select query_id, vec_id, similarity, cast(rank as int) rank from (
 
 oracle("knn_topk", knn_sql(False))
 oracle("knn_filtered", knn_sql(True))
+# the approximate search is held against the exact answer
+oracle("ann_topk", knn_sql(False))
 
 QUESTIONS = """questions(query_id, question, doc_type) as (values
  (1, 'Which vendors have the highest overdue rates?', 'vendor_summary'),

@@ -41,7 +41,7 @@ def test_matches_duckdb(spark, duck, key):
 def test_every_query_has_oracle_or_is_declared_rows_only():
     from quillspark.plans.catalog import QUERIES
 
-    rows_only = {"ann_topk", "forest_scores", "forest_runs"}
+    rows_only = {"forest_scores", "forest_runs"}
     assert set(QUERIES) - set(E.oracle_sql()) == rows_only
 
 
