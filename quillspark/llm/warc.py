@@ -1,7 +1,7 @@
 """WARC archives as a chunked record table.
 
 Writing: every row is a record; of records with equal payloads one is a response and the others revisit it. Payloads
-travel as (record, chunk number) rows of bounded size, sorted within each task, and a task appends them to one
+travel as (record, chunk number) rows of bounded size in order, and a task appends them to one compressed
 archive in the shared folder. Reading: a task streams an archive and yields chunk rows with the digest carried on from
 chunk to chunk, so neither side holds a whole record in Python; the last chunk of a record has its size and digest.
 
@@ -12,23 +12,26 @@ lost or repeated attempt left behind is ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import bounded_batches, written
 from quillspark.session import checkpoint_dir
 
 CHUNK_BYTES = 64 << 10
-ARCHIVE_BYTES = 32 << 20
+#: Of compression, a gzip member for each record.
+LEVEL = 5
 #: Payloads below this many bytes are never revisits.
 LEAST_BYTES = 0
 BATCH_BYTES = 8 << 20
@@ -51,8 +54,9 @@ def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def record_id(page_id: int | None, row: int) -> str:
-    return f"<urn:x-page:{'null' if page_id is None else page_id}:{row}>"
+def record_id(page_id: int | None, sha1: str, copy: int) -> str:
+    """Digest and copy tell rows apart that repeat a page_id."""
+    return f"<urn:x-page:{'null' if page_id is None else page_id}:{sha1}:{copy}>"
 
 
 def page_of(record: str) -> int | None:
@@ -69,68 +73,80 @@ def head(kind: str, record: str, length: int, **more: str | None) -> bytes:
 
 
 def with_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(row, page_id, url, payload, sha1, size, first): ``first`` is the record that this one revisits, null for
-    a response: of equal payloads the one with the largest page_id (of rows that share it, the last)."""
+    """(page_id, url, payload, sha1, size, copy, revisit, first): whether a row revisits another record, and the
+    page_id of that one: of equal payloads the one with the largest page_id is the response, of rows that share it
+    the first (``copy`` 1).
+
+    Digests are compared without the payloads; these are shuffled once, by page, to meet what was found. Payload groups
+    are combined before the shuffle: one that a third of the rows share is one row per task.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
-    key = rows.where(F.col("size") >= least_bytes).select("row", "page_id", "sha1", "size")
-    # combined before the shuffle: a payload that a third of the rows share is one row per task
-    last = key.groupBy("sha1", "size").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    revisits = key.join(last, ["sha1", "size"]).where(F.col("first.row") != F.col("row")).select("row", "first")
-    return rows.join(revisits, "row", "left")
-
-
-def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES, chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write all pages (page_id, url, html) and return the manifest: (archive, records, bytes)."""
+    rows = rows.withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    keys = rows.select("page", "page_id", "sha1", "size")
+    last = keys.groupBy("sha1", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    last = last.where((F.col("n") > 1) & (F.col("size") >= least_bytes)).select("sha1", "size", "first")
+    shared = keys.distinct().join(last, ["sha1", "size"]).select("page", "sha1", "first", F.lit(True).alias("shared"))
+    copy = F.row_number().over(Window.partitionBy("page", "sha1").orderBy("size"))
+    both = rows.join(shared, ["page", "sha1"], "left").withColumn("copy", copy)
+    own = F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1)
+    return both.withColumn("revisit", F.coalesce("shared", F.lit(False)) & ~own)
+
+
+def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Write all pages (page_id, url, html) and return the manifest: (archive, records, bytes).
+
+    A task writes one archive, a gzip member per record; archives are as many as the shuffle by page has partitions (by
+    bytes, as AQE sets them). The chunks of a record follow one another within the task.
+    """
     spark = pages.sparkSession
     bounded_batches(spark)
-    rows = written(with_types(pages, least_bytes), "records")
-    total = rows.agg(F.sum(F.when(F.col("first").isNull(), F.col("size")).otherwise(0) + 500).alias("n")).first()["n"] or 0
-    archives = max(1, -(-total // archive_bytes))
     folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    body = F.when(F.col("first").isNull(), F.col("size")).otherwise(F.lit(0))
+    rows = with_types(pages, least_bytes)
+    body = F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("size"))
     chunks = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(body / chunk_bytes).cast("int") - 1, F.lit(0)))))
-    piece = F.when(F.col("first").isNull(), F.expr(f"substring(payload, chunk * {chunk_bytes} + 1, {chunk_bytes})"))
-    chunks = chunks.select("row", "page_id", F.when(F.col("chunk") == 0, F.col("url")).alias("url"), "sha1", "size", "chunk",
-                           piece.alias("data"), F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row"))
+    piece = F.when(~F.col("revisit"), F.expr(f"substring(payload, chunk * {chunk_bytes} + 1, {chunk_bytes})"))
+    chunks = chunks.select("page_id", "copy", F.when(F.col("chunk") == 0, F.col("url")).alias("url"), "sha1", "size", "chunk",
+                           piece.alias("data"), "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc"
+        name = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         fs, path = open_file(name)
-        out, records, size = None, 0, 0
+        out, gz, records, size = None, None, 0, 0
+
+        def put(data: bytes) -> None:
+            nonlocal size
+            size += len(data)
+            out.write(data)
+
         for batch in batches:
             for r in batch.to_pylist():
-                parts = []
                 if r["chunk"] == 0:
                     if out is None:
                         fs.create_dir(path.rpartition("/")[0], recursive=True)
                         out = fs.open_output_stream(path)
-                        parts += [head("warcinfo", f"<urn:x-archive:{uuid.uuid4()}>", 0), END]
+                        put(gzip.compress(head("warcinfo", f"<urn:x-archive:{uuid.uuid4()}>", 0) + END))
                     else:
-                        parts.append(END)
+                        put(gz.compress(END) + gz.flush())
+                    gz = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     records += 1
                     url = None if r["url"] is None else quote(r["url"], safe="!#$%&'()*+,/:;=?@[]~")
                     common = {"WARC_Target_URI": url, "WARC_Payload_Digest": "sha1:" + base32(r["sha1"])}
-                    own = record_id(r["page_id"], r["row"])
+                    own = record_id(r["page_id"], r["sha1"], r["copy"])
                     if r["data"] is None:
-                        parts.append(head("revisit", own, 0, **common, WARC_Profile=PROFILE, WARC_Payload_Length=str(r["size"]),
-                                          WARC_Refers_To=record_id(r["first_page"], r["first_row"])))
+                        put(gz.compress(head("revisit", own, 0, **common, WARC_Profile=PROFILE, WARC_Payload_Length=str(r["size"]),
+                                             WARC_Refers_To=record_id(r["first"], r["sha1"], 1))))
                     else:
                         http = (HTTP % r["size"]).encode()
-                        parts += [head("response", own, len(http) + r["size"], **common, Content_Type="application/http;msgtype=response"), http]
+                        put(gz.compress(head("response", own, len(http) + r["size"], **common, Content_Type="application/http;msgtype=response") + http))
                 if r["data"]:
-                    parts.append(r["data"])
-                for p in parts:
-                    out.write(p)
-                    size += len(p)
+                    put(gz.compress(r["data"]))
         if out is not None:
-            out.write(END)
+            put(gz.compress(END) + gz.flush())
             out.close()
-            yield pa.RecordBatch.from_pylist([{"archive": name, "records": records, "bytes": size + len(END)}])
+            yield pa.RecordBatch.from_pylist([{"archive": name, "records": records, "bytes": size}])
 
-    sorted_ = chunks.repartition(int(archives), "row").sortWithinPartitions("row", "chunk")
-    return written(sorted_.mapInArrow(write, "archive string, records long, bytes long"), "manifest")
+    return written(chunks.mapInArrow(write, "archive string, records long, bytes long"), "manifest")
 
 
 def parse(file, chunk_bytes: int) -> Iterator[dict]:
@@ -188,7 +204,7 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 fs, path = open_file(name)
-                with io.BufferedReader(fs.open_input_stream(path), 1 << 20) as file:
+                with fs.open_input_stream(path) as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 18) as file:
                     rows, size = [], 0
                     for row in parse(file, chunk_bytes):
                         size += len(row["data"] or b"") + 300

@@ -38,8 +38,8 @@ def test_hard_pages(spark):
 
 def test_chunks_round_trip(spark):
     rows, pages = hard_pages(spark)
-    manifest = warc.write_archives(pages, chunk_bytes=64, archive_bytes=5000)
-    assert manifest.count() > 1
+    manifest = warc.write_archives(pages, chunk_bytes=64)
+    assert manifest.agg({"records": "sum"}).first()[0] == len(rows)
     records = defaultdict(list)
     for r in warc.read_archives(manifest, chunk_bytes=50).collect():
         records[r["record_id"]].append(r)
