@@ -185,17 +185,14 @@ def rate_pct(part: str | Column, whole: str | Column, n: int = 2) -> Column:
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row global aggregate to every row of ``df`` as typed literals.
+    """Attach the columns of a one-row global aggregate to every row of ``df``.
 
-    The aggregate has no grouping keys, so it is exactly one row (checked): only that row reaches
-    the driver, and the plan of ``df`` gets constant columns instead of a join (no cartesian or
-    nested-loop join is planned, and the constants fold into the projection's codegen).
+    The row is one scalar subquery (a struct, so all its columns come from one run of the aggregate): nothing
+    runs while the plan is built, no join is planned, and exchanges that both sides share are reused. An
+    aggregate without grouping keys always has exactly one row; more than one would raise.
     """
-    rows = one_row.limit(2).collect()
-    if len(rows) != 1:
-        raise ValueError(f"expected a one-row aggregate, got {len(rows)} rows")
-    r = rows[0]
-    return df.select("*", *[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in one_row.schema.fields])
+    row = one_row.select(F.struct(*one_row.columns)).scalar()
+    return df.select("*", *[row.getField(f.name).alias(f.name) for f in one_row.schema.fields])
 
 
 def py_float_text(c: str) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.config import MODEL_FEATURES
+from quillspark.functions.exprs import np_round
 from quillspark.functions.quantiles import exact_percentiles
 from quillspark.operators import features as feat_ops
 from quillspark.operators import gold as gold_ops
@@ -69,7 +70,9 @@ def q_feature_profile(spark, sf_dir):
 @query("standard_scaler")
 def q_standard_scaler(spark, sf_dir):
     matrix, cols = feat_ops.model_matrix(_features(spark, sf_dir), MODEL_FEATURES)
-    return feat_ops.standard_scale(matrix, cols)
+    # engines add doubles in different orders: four decimals are the same in all
+    scaled = feat_ops.standard_scale(matrix, cols)
+    return scaled.select(*[(np_round(c, 4) + F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in scaled.columns])
 
 
 # --- scores, tiers, percentiles --------------------------------------------------------------

@@ -262,7 +262,7 @@ select cast(count(*) as bigint) records, cast({2 + 9 + 5 + len(CATEGORIES) + 7}
  {rnd('avg(amount_zscore)', 4)} + 0.0 avg_amount_zscore, cast(sum(is_round_amount) as bigint) round_amounts from features""",
     FEATURE_CTES))
 _scaled = ", ".join(
-    f"(cast({c} as double) - avg(cast({c} as double)) over ()) / coalesce(nullif(stddev_pop(cast({c} as double)) over (), 0), 1.0) {c}"
+    rnd(f"(cast({c} as double) - avg(cast({c} as double)) over ()) / coalesce(nullif(stddev_pop(cast({c} as double)) over (), 0), 1.0)", 4) + f" + 0.0 {c}"
     for c in MODEL_COLS)
 oracle("standard_scaler", with_layers(f"select invoice_id, vendor_id, {_scaled} from features", FEATURE_CTES))
 
