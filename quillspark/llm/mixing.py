@@ -30,7 +30,7 @@ CAP = 3.0
 WEIGHTS = (1.0, 2.0, 3.0)
 SEED = 42
 #: Rows of a source that are summed in one go for the offsets in its stream.
-RUN_ROWS = 4096
+RUN_ROWS = 1024
 #: Rows of a table of sources that may be broadcast.
 BROADCAST_SOURCES = 100_000
 
@@ -207,7 +207,8 @@ def mix(docs: DataFrame, row: str, size: str, weights: Sequence[float] = WEIGHTS
     s = plan(rows, "source", size, weights, cap, block)
     slots = slot_table(docs.sparkSession, s, shard_slots, seed)
     pieces = segments(rows.select("doc_id", "source", row, size), "source", size, "doc_id", row, s, block)
-    return Mix(rows, s, slots.join(pieces, ["src", "block"]))
+    # as large as the corpus, whatever the planner makes of a range of shards: never broadcast
+    return Mix(rows, s, slots.hint("merge").join(pieces, ["src", "block"]))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -227,7 +228,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _spans(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.Series:
     """The words of the spans of given start and size, rising, as they stand in the text; a gap becomes a line end."""
     import re
@@ -256,8 +257,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     row, size, spans = fresh_name(docs, "row"), fresh_name(docs, "size"), fresh_name(docs, "spans")
     m = mix(docs.withColumn(size, words("text")), row, size)
-    taken = m.blocks.groupBy(F.col("row").alias("r"), "pass").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias(spans))
-    out = m.rows.join(taken, F.col(row) == F.col("r"))
+    taken = m.blocks.groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias(spans))
+    out = m.rows.join(taken.select(F.col("row").alias(row), spans), row)
     whole = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["n"]) == F.col(size)
     cut = _spans(F.when(~whole, F.col("text")), F.col(spans)["start"], F.col(spans)["n"])
     out = out.withColumn("text", F.coalesce(cut, F.col("text")))
