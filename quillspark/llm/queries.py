@@ -75,3 +75,33 @@ def op9(spark, sf_dir):
 @query("op10_bloom_lm")
 def op10(spark, sf_dir):
     return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
+# --- DuckDB SQL where it can say the same -----------------------------------------------------------
+# vectors that take part: not null, no null or non-finite component, not zero
+_VECTORS = """v as (
+ select vec_id, list_transform(embedding, lambda x: cast(x as double)) e from embeddings
+ where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  and len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+
+ORACLES["op3_itq_embedding_dedup"] = f"""with recursive {_VECTORS},
+links as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+ where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9),
+reach(n, m) as (select vec_id, vec_id from embeddings union select reach.n, links.b from reach join links on reach.m = links.a),
+least as (select n, min(m) c from reach group by n),
+counts as (select a, count(*) k from links group by a)
+select vec_id, cast(coalesce(k, 0) as bigint) n_links, c component_id, vec_id = c kept
+from embeddings join least on vec_id = n left join counts on vec_id = a"""
+
+ORACLES["op5_vantage_point_search"] = f"""with {_VECTORS},
+pairs as (select q.vec_id query_id, v.vec_id, list_distance(q.e, v.e) score
+ from v q join v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 100 = 0)
+select query_id, cast(rank as int) rank, vec_id, score from (
+ select *, row_number() over (partition by query_id order by score, vec_id) rank from pairs) where rank <= 10"""
+
+# 20 bits of the digest, five hexadecimal digits, are four characters of base32
+ORACLES["op9_warc_chunks"] = """with p as (select page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) h from pages),
+d as (select *, max(page_id) over (partition by h, n) first, array_to_string(list_transform(range(0, 32), lambda i: substr(
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(h, cast(1 + (i // 4) * 5 as int), 5) as bigint) >> cast(15 - 5 * (i % 4) as int)) & 31 as int), 1)), '') b from p)
+select page_id, cast(n as bigint) payload_bytes, b payload_digest, case when page_id = first then 'response' else 'revisit' end record_type,
+ case when page_id <> first then first end refers_to, case when page_id = first then true end intact from d"""
