@@ -36,6 +36,7 @@ from quillspark.functions.quantiles import exact_percentiles
 EULER_GAMMA = 0.5772156649015329
 HASH_SPACE = 1 << 62
 TREE_FACTOR = 1.5
+SCORE_ROWS = 8192  # rows that one task scores
 
 NODE_SCHEMA = T.StructType([
     T.StructField("run_id", T.IntegerType()), T.StructField("tree_id", T.IntegerType()),
@@ -222,7 +223,9 @@ def score(matrix: DataFrame, feature_cols: Sequence[str], trees: DataFrame, id_c
                 out["score"] = path_scores(x, forest)
                 yield out
 
-    return matrix.select(*ids, *cols).mapInPandas(run, schema)
+    # a row walks through every tree: tasks are sized by rows, not by the few bytes that a row has
+    tasks = max(1, -(-matrix.count() // SCORE_ROWS))
+    return matrix.select(*ids, *cols).repartition(tasks).mapInPandas(run, schema)
 
 
 def decide(scores: DataFrame, runs: Sequence[ForestParams]) -> tuple[DataFrame, DataFrame]:
