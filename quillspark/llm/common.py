@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.session import checkpoint_dir
 
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, size: int = ARROW_BATCH_BYTES) -> None:
     """Bound an Arrow batch by bytes, so that very long texts do not meet by the thousand in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def fresh_name(df: DataFrame, stem: str) -> str:

@@ -43,6 +43,7 @@ BIGRAM_SHARE = 0.2
 END_OF_TEXT = xxhash.xxh64_intdigest(b"\n")  # no word holds white space
 
 LOW = np.uint64((1 << 48) - 1)
+MASK32 = np.uint64(0xFFFFFFFF)
 PACKED = "bucket int, kind string, batch long, a binary, b binary, c binary, d binary"
 
 
@@ -88,12 +89,15 @@ def level_counts() -> np.ndarray:
     return np.r_[0.0, np.sqrt(STARTS * (np.r_[STARTS[1:], 2 * STARTS[-1]] - 1))]
 
 
-def bit_places(h: np.ndarray, level: np.ndarray | int, bits: int) -> np.ndarray:
-    """(len(h), HASHES) places in a segment of a key at a level."""
-    x = mixed(h + np.asarray(level).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    step = (x >> np.uint64(32)) | np.uint64(1)
-    at = (x[:, None] & np.uint64(0xFFFFFFFF)) + step[:, None] * np.arange(HASHES, dtype=np.uint64)
-    return (at % np.uint64(bits)).astype(np.int64)
+def key_hash(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of the places of a key at a level."""
+    x = mixed(h + np.uint64(level * 0xD1B54A32D192ED03 % (1 << 64)))
+    return x & MASK32, (x >> np.uint64(32)) | np.uint64(1)
+
+
+def bit_place(start: np.ndarray, step: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th place in a segment of ``bits`` bits (below 2 ** 32)."""
+    return ((((start + step * np.uint64(k)) & MASK32) * np.uint64(bits)) >> np.uint64(32)).astype(np.int64)
 
 
 def fill_segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, size: int) -> bytes:
@@ -112,7 +116,9 @@ def fill_segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray,
         least += 1
     bits = np.zeros(8 * size, dtype=np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
-        bits[bit_places(keys[level >= j], j, 8 * size).ravel()] = 1
+        start, step = key_hash(keys[level >= j], j)
+        for k in range(HASHES):
+            bits[bit_place(start, step, k, 8 * size)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -123,12 +129,11 @@ def probe(h: np.ndarray, filter_: np.ndarray, shift: int, size: int) -> np.ndarr
     j = 0
     while len(active):
         j += 1
-        own, ident = base[active], h[active]
-        at = bit_places(ident, j, 8 * size)
-        hit = np.ones(len(active), dtype=bool)
-        for k in range(HASHES):
-            hit &= (filter_[own + (at[:, k] >> 3)] >> (at[:, k] & 7).astype(np.uint8)) & 1 == 1
-        active = active[hit]
+        start, step = key_hash(h[active], j)
+        for k in range(HASHES):  # most absent keys miss their first bits
+            at = bit_place(start, step, k, 8 * size)
+            hit = np.flatnonzero((filter_[base[active] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1)
+            active, start, step = active[hit], start[hit], step[hit]
         level[active] = j
     return level_counts()[np.minimum(level, len(STARTS))]
 
@@ -250,13 +255,13 @@ def lm_scores(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, bucket_
 
     base_score is the exact add-one unigram score; score the model's log10 probability of the whole text:
     of each token, (1 - s) * unigram + s * bigram, with counts from the filter, s = 0.2, and the text's first token
-    from the unigrams alone. Null and empty texts are the end token alone. Very long texts count whole.
+    and those after an unknown word from the unigrams alone. Null and empty texts are the end token alone. Very long texts count whole.
     Repeated rows count as often as they come. Without training documents every word is unknown and both scores are 0,
     the logarithm of 1 / 1. An empty table gives no rows. ``docs`` must read the same rows in the same order when
     a lost task runs again, as tables do.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 4 << 20)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"),
                        held_out(F.col("doc_id")).alias("held"))
     words = (docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) / 6 + 1
@@ -281,9 +286,9 @@ def lm_scores(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, bucket_
         for texts in parts:
             hashed = [word_hashes(t) for t in texts]
             out, at = np.empty(len(hashed)), 0
-            while at < len(hashed):  # about a million tokens in one go
+            while at < len(hashed):  # some tokens in one go: probes take a few hundred bytes each
                 some, n = [], 0
-                while at + len(some) < len(hashed) and n < 1_000_000:
+                while at + len(some) < len(hashed) and n < 500_000:
                     some.append(hashed[at + len(some)])
                     n += len(some[-1])
                 out[at : at + len(some)] = _score(some, filter_, shift, size, keep, total + vocabulary + 1)
@@ -305,11 +310,15 @@ def _score(hashed: list[np.ndarray], filter_: np.ndarray, shift: int, size: int,
     word, place = np.unique(h, return_inverse=True)
     count = probe(word & keep, filter_, shift, size)[place]
     p = (count + 1.0) / total
-    pair = probe(bigram_hashes(h) & keep, filter_, shift, size)
+    # frequent pairs have many levels: each pair is probed once
+    pairs, of = np.unique(bigram_hashes(h) & keep, return_inverse=True)
+    pair = probe(pairs, filter_, shift, size)[of]
     inner = np.ones(len(h), dtype=bool)
     inner[first] = False
     at = np.flatnonzero(inner)
     pair = pair[at - 1]
-    follow = pair / np.maximum(np.maximum(count[at - 1], pair), 1.0)
-    p[at] = (1 - BIGRAM_SHARE) * p[at] + BIGRAM_SHARE * follow
+    before = count[at - 1]
+    follow = pair / np.maximum(np.maximum(before, pair), 1.0)
+    share = np.where(before > 0, BIGRAM_SHARE, 0.0)  # an unknown word tells nothing about the next
+    p[at] = (1 - share) * p[at] + share * follow
     return np.add.reduceat(np.log10(p), first)
