@@ -20,6 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import bounded_batches, connected_components, fresh_name, written
 
@@ -49,7 +50,7 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> bytes:
     return np.packbits(2 * votes > len(hashes)).tobytes()
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.frombuffer(b"".join(map(fingerprint, texts)), dtype=">i8").astype(np.int64))
 
@@ -146,14 +147,15 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.repartition(n, "key", "sub").sortWithinPartitions("key", "sub").mapInPandas(_verify(radius), "a long, b long").distinct()
 
 
-def fingerprint_classes(hashed: DataFrame, id_col: str, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id): every distinct fingerprint and the smallest id that its links reach."""
+def fingerprint_classes(hashed: DataFrame, id_col: str, radius: int = RADIUS, *more: str) -> DataFrame:
+    """(fp, component_id): every distinct fingerprint and the smallest id that its links reach; ``more`` may ask for
+    ``root``, the smallest fingerprint of the component."""
     classes = written(hashed.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     stars = connected_components(fingerprint_links(classes.select("fp"), radius), "a", "b")
     at = classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     at = written(at, "roots")
     least = at.groupBy("root").agg(F.min("least").alias("component_id"))
-    return at.join(least, "root").select("fp", "component_id")
+    return at.join(least, "root").select("fp", "component_id", *more)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -170,15 +172,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest doc_id (null last), ties to the
-    smaller fingerprint and then to any of rows that share both. All columns come back as they were."""
-    fp, id_ = fresh_name(docs, "fp"), "doc_id"
-    hashed = written(with_fingerprint(docs, "text", fp), "fingerprints")
-    small = hashed.select(F.col(id_), F.col(fp).alias("fp"))
-    classes = fingerprint_classes(small, id_, radius).withColumnRenamed("component_id", "c")
-    first = small.join(classes, "fp").groupBy("c", "fp").agg(F.min(id_).alias("least"))
-    # a component whose ids are all null has no smallest id: its fingerprints then stand for themselves
-    group = F.coalesce(F.col("c").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
-    first = first.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("fp"))).alias("k"))
-    first = first.select(F.col("k.least").alias("least"), F.col("k.fp").alias("f"))
-    kept = hashed.join(first, (hashed[fp] == first["f"]) & hashed[id_].eqNullSafe(first["least"]), "left_semi")
-    return kept.dropDuplicates([id_, fp]).drop(fp)
+    smaller fingerprint and then to the first row. All columns come back as they were.
+
+    Rows are numbered in the written table, so the texts are shuffled once, to meet the numbers that stay.
+    """
+    fp, row = fresh_name(docs, "fp"), fresh_name(docs, "row")
+    hashed = written(with_fingerprint(docs, "text", fp).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    small = hashed.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"))
+    classes = fingerprint_classes(small, "doc_id", radius, "root")
+    best = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "row")
+    # combined per fingerprint first: a text that a third of the rows share is one row per task
+    first = small.groupBy("fp").agg(F.min(best).alias("best")).join(classes, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    return hashed.join(first.select(F.col("best.row").alias(row)), row, "left_semi").select(*docs.columns)
