@@ -130,7 +130,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
     """(terms, counts, quality) of up to ``per_class`` labelled documents of each class that are not held
     out, in the order of a hash of the text; copies count once. Chosen labels are few and are broadcast, so
     the texts are not shuffled; terms are made in tasks, the driver gets at most 3 x 2 x ``per_class`` bags."""
-    usable = labels.where("quality in (0, 1)").where(~held_out(labels)).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    usable = labels.where("quality in (0, 1)").where(~held_out(labels)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     sizes = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     if not sizes:
         return []
