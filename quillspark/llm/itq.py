@@ -36,14 +36,14 @@ BLOCK_ROWS = 2048
 SEED = 7
 
 
-def plan_tables(n: int, dims: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int, int]:
-    """(bits of a substring, substrings of a code, rotations). A hyperplane parts a pair at angle a with chance
+def plan_tables(n: int, dims: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int, int, int]:
+    """(bits of a substring, substrings of a code, rotations, tables). A hyperplane parts a pair at angle a with chance
     a / pi, so a substring of s bits agrees with chance (1 - a / pi) ** s."""
     bits = min(max(4, math.ceil(math.log2(max(n, 1) / BUCKET_ROWS))) if n > BUCKET_ROWS else 4, dims, 62)
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     tables = 1 if agree >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - agree))
     per_code = max(1, dims // bits)
-    return bits, per_code, max(1, -(-tables // per_code))
+    return bits, per_code, max(1, -(-tables // per_code)), max(1, tables)
 
 
 def learn_rotations(sample: np.ndarray, rotations: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -137,17 +137,16 @@ def _linked(classes: DataFrame, n: int, dim: int, threshold: float, recall: floa
     share = min(1.0, 2 * SAMPLE_ROWS / n)
     sample = classes.where((F.xxhash64("e") / 2.0**64 + 0.5) < share).select("e").limit(SAMPLE_ROWS).toPandas()
     sample = np.stack(sample["e"]) if len(sample) else np.eye(dim)
-    bits, per_code, rotations = plan_tables(n, dim, threshold, recall)
+    bits, per_code, rotations, tables = plan_tables(n, dim, threshold, recall)
     learned = learn_rotations(sample / np.linalg.norm(sample, axis=1, keepdims=True), rotations)
     shipped = classes.sparkSession.sparkContext.broadcast(learned)  # rotations * dim * dim doubles
-    tables = per_code * rotations
 
     def encode(parts):
         power = 1 << np.arange(bits, dtype=np.int64)
         for part in parts:
             x = np.stack(part["e"])
             u = x / np.linalg.norm(x, axis=1, keepdims=True)
-            subs = [(u @ r[:, k * bits : (k + 1) * bits] >= 0) @ power for r in shipped.value for k in range(per_code)]
+            subs = [(u @ r[:, k * bits : (k + 1) * bits] >= 0) @ power for r in shipped.value for k in range(per_code)][:tables]
             yield pd.DataFrame({"cls": part["cls"], "weight": part["weight"], "e": part["e"], "subs": list(np.stack(subs, axis=1))})
 
     coded = classes.select("cls", "weight", "e").mapInPandas(encode, "cls long, weight long, e array<double>, subs array<long>")
