@@ -1,18 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter, beside exact unigram scores.
 
-One pass over the corpus hashes every word. Each batch of documents sends to each bucket of the hash space one
-packed row: the words of its documents with their counts, and its bigrams. A bucket then knows the exact
-corpus counts of its words, returns to each batch the sums that its documents need, and packs its words and
-repeated bigrams into its segment of the filter: a key of count c enters once for every level up to
+One pass over the corpus hashes every word. Each batch of documents sends to each bucket of the hash space two
+packed rows: its distinct words and its distinct bigrams, each once with its count, however many of the documents
+hold it. A bucket then knows the exact corpus counts of its words, returns them to each batch, and packs all its words and
+bigrams into its segment of the filter: a key of count c enters once for every level up to
 log(c), so the number of levels that test positive gives back the count, and an overestimate needs one false
 positive more for every level.
 
-The filter's size is a parameter, so broadcasting it is safe at any size of the corpus; a second pass over the
-texts probes it. Corpus counts, vocabulary and sums cover all training documents.
+A segment has the size that its keys ask for, so the filter grows with the corpus without bound. It never leaves
+its bucket: the keys of a batch meet it there and go back as levels, one byte each, to the batch, which has kept
+its tokens in order. Corpus counts, vocabulary and sums cover all training documents.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,23 +30,22 @@ from quillspark.llm.common import bounded_batches, remainder, written
 #: Words per bucket that the number of buckets aims at, and the least number of buckets.
 BUCKET_WORDS = 3_000_000
 LEAST_BUCKETS = 64
-#: The filter: bytes per corpus word up to a bound on the whole, and bits for every key.
+#: The filter: bytes per corpus word, and bits that every key has at least.
 FILTER_BYTES_PER_WORD = 0.5
-MAX_FILTER_BYTES = 64 << 20
 BITS_PER_KEY = 8
 HASHES = 4
 #: Counts are kept as levels that start at the distinct whole numbers among the rounded-up powers of BASE.
 BASE = 1.2
 STARTS = np.unique(np.ceil(BASE ** np.arange(240) - 1e-9))
-#: Bigrams seen fewer times than this say less than they cost; words enter from the first time on.
-LEAST_BIGRAM = 2
+#: Keys that are hashed in one go.
+CHUNK = 1 << 18
 #: Share of the probability that the bigram has.
 BIGRAM_SHARE = 0.2
 END_OF_TEXT = xxhash.xxh64_intdigest(b"\n")  # no word holds white space
 
 LOW = np.uint64((1 << 48) - 1)
 MASK32 = np.uint64(0xFFFFFFFF)
-PACKED = "bucket int, kind string, batch long, a binary, b binary, c binary, d binary"
+PACKED = "bucket int, kind string, batch long, a binary, b binary, c binary"
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -100,15 +101,20 @@ def bit_place(start: np.ndarray, step: np.ndarray, k: int, bits: int) -> np.ndar
     return ((((start + step * np.uint64(k)) & MASK32) * np.uint64(bits)) >> np.uint64(32)).astype(np.int64)
 
 
+def segment_size(counts: np.ndarray, least: int) -> int:
+    """Bytes of the segment that takes keys of these counts with BITS_PER_KEY bits for every level."""
+    return max(least, -(-int(levels(counts).sum()) * BITS_PER_KEY // 8))
+
+
 def fill_segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, size: int) -> bytes:
     """Bits of one bucket's segment of ``size`` bytes.
 
-    Counts from 1 (words) and LEAST_BIGRAM (pairs) enter. Where a corpus outgrows the bound on the filter,
-    the least count rises until the keys have BITS_PER_KEY bits each, so that the error rate stays as it is.
+    Counts from 1 enter. In a smaller segment than ``segment_size`` asks for, the least count rises until the
+    keys have BITS_PER_KEY bits each, so that the error rate stays as it is.
     """
     least = 1
     while True:
-        w, p = word_counts >= least, pair_counts >= max(least, LEAST_BIGRAM)
+        w, p = word_counts >= least, pair_counts >= least
         keys = np.concatenate([words[w], pairs[p]])
         level = levels(np.concatenate([word_counts[w], pair_counts[p]]))
         if level.sum() * BITS_PER_KEY <= 8 * size or not len(keys):
@@ -116,14 +122,18 @@ def fill_segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray,
         least += 1
     bits = np.zeros(8 * size, dtype=np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
-        start, step = key_hash(keys[level >= j], j)
-        for k in range(HASHES):
-            bits[bit_place(start, step, k, 8 * size)] = 1
+        some = keys[level >= j]
+        for at in range(0, len(some), CHUNK):
+            start, step = key_hash(some[at : at + CHUNK], j)
+            for k in range(HASHES):
+                bits[bit_place(start, step, k, 8 * size)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def probe(h: np.ndarray, filter_: np.ndarray, shift: int, size: int) -> np.ndarray:
-    """Count that the filter gives each hash: levels are probed upwards until one is missing."""
+def probe_levels(h: np.ndarray, filter_: np.ndarray, shift: int, size: int) -> np.ndarray:
+    """Level that the filter gives each hash: levels are probed upwards until one is missing."""
+    if len(h) > CHUNK:
+        return np.concatenate([probe_levels(h[at : at + CHUNK], filter_, shift, size) for at in range(0, len(h), CHUNK)])
     base = (h >> np.uint64(shift)).astype(np.int64) * size
     level, active = np.zeros(len(h), dtype=np.int64), np.arange(len(h))
     j = 0
@@ -135,43 +145,56 @@ def probe(h: np.ndarray, filter_: np.ndarray, shift: int, size: int) -> np.ndarr
             hit = np.flatnonzero((filter_[base[active] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1)
             active, start, step = active[hit], start[hit], step[hit]
         level[active] = j
-    return level_counts()[np.minimum(level, len(STARTS))]
+    return np.minimum(level, len(STARTS)).astype("u1")
+
+
+def probe(h: np.ndarray, filter_: np.ndarray, shift: int, size: int) -> np.ndarray:
+    """Count that the filter gives each hash."""
+    return level_counts()[probe_levels(h, filter_, shift, size)]
+
+
+def kept_bits(bits: int) -> np.uint64:
+    """The bits of a hash that its bucket and its low six bytes hold."""
+    shift = 64 - bits
+    return np.uint64((1 << 64) - 1) if shift <= 48 else ~np.uint64(((1 << shift) - 1) ^ ((1 << 48) - 1))
+
+
+def pack_order(order: np.ndarray) -> bytes:
+    """Places of the tokens, compressed: the low bytes of all, the next bytes of all, and so on."""
+    return zlib.compress(np.ascontiguousarray(order.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpack_order(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _pack(bits: int):
-    """Per Arrow batch: rows of kind d (documents), w (words of each document) and g (bigrams), by bucket."""
-    shift = np.uint64(64 - bits)
+    """Per Arrow batch: rows of kind d (documents), t (tokens in order), w (distinct words) and g (distinct bigrams), these
+    two by bucket and with their counts in training documents."""
+    shift, keep = np.uint64(64 - bits), kept_bits(bits)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(batches):
             name = (TaskContext.get().partitionId() << 32) | number
-            ids, keys, held = batch.column(0), batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
-            words, counts, sizes, pairs, tokens = [], [], [], [], []
-            for text, out in zip(batch.column(1).to_pylist(), held):
-                h = word_hashes(text)
-                tokens.append(len(h))
-                if not out:
-                    pairs.append(bigram_hashes(h))
-                u, c = np.unique(h, return_counts=True)
-                words.append(u)
-                counts.append(c.astype("<u4"))
-                sizes.append(len(u))
-            rows = [(name % (1 << bits), "d", name, ids.fill_null(0).to_numpy().astype("<i8").tobytes(), keys.astype("<i8").tobytes(),
-                     (held * 1 + ids.is_null().to_numpy(zero_copy_only=False) * 2).astype("u1").tobytes(), np.array(tokens, "<i8").tobytes())]
-            word, count = np.concatenate(words), np.concatenate(counts)
-            doc = np.repeat(np.arange(len(sizes), dtype="<u4") * 2 + ~held.astype(bool), sizes).astype("<u4")
-            for bucket, at in _by_bucket(word, shift):
-                d = doc[at]
-                first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-                n = np.diff(np.r_[first, len(d)]).astype("<u4")
-                rows.append((bucket, "w", name, pack6(word[at]), count[at].tobytes(), d[first].tobytes(), n.tobytes()))
-            if pairs:
-                pair, n = np.unique(np.concatenate(pairs), return_counts=True)
-                for bucket, at in _by_bucket(pair, shift):
-                    rows.append((bucket, "g", name, pack6(pair[at]), n[at].astype("<u4").tobytes(), None, None))
+            ids, held = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+            hashed = [word_hashes(text) for text in batch.column(1).to_pylist()]
+            tokens, train = np.array([len(h) for h in hashed], "<i8"), ~held.astype(bool)
+            own, order, often = np.unique(np.concatenate(hashed), return_inverse=True, return_counts=True)
+            by = np.argsort(-often, kind="stable")  # small places for frequent words compress better
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            rows = [(name % (1 << bits), "d", name, ids.fill_null(0).to_numpy().astype("<i8").tobytes(),
+                     (held * 1 + ids.is_null().to_numpy(zero_copy_only=False) * 2).astype("u1").tobytes(), tokens.tobytes()),
+                    (name % (1 << bits), "t", name, own[by].astype("<u8").tobytes(), pack_order(rank[order]), None)]
+            word, to = np.unique(own & keep, return_inverse=True)
+            pair, place = np.unique(np.concatenate([bigram_hashes(h) for h in hashed]) & keep, return_inverse=True)
+            for kind, key, at_key, n in (("w", word, to[order], tokens), ("g", pair, place, tokens - 1)):
+                count = np.bincount(at_key, np.repeat(train, n), len(key)).astype("<u4")
+                for bucket, at in _by_bucket(key, shift):
+                    rows.append((bucket, kind, name, pack6(key[at]), count[at].tobytes(), None))
             cols = list(zip(*rows))
-            kinds = (pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["bucket", "kind", "batch", "a", "b", "c", "d"])
+            kinds = (pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["bucket", "kind", "batch", "a", "b", "c"])
 
     return pack
 
@@ -185,71 +208,73 @@ def _by_bucket(h: np.ndarray, shift: np.uint64) -> Iterator[tuple[int, np.ndarra
         yield int(bucket[order[a]]), order[a:z]
 
 
+def _gathered(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of packed rows, their counts over all rows, and the place of each row's keys, row after row."""
+    if not len(rows):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key = unpack6(b"".join(rows["a"]))
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    counts = np.frombuffer(b"".join(rows["b"]), "<u4")[order]
+    place = np.empty(len(key), np.uint32)
+    place[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return key[new], np.add.reduceat(counts, np.flatnonzero(new), dtype=np.int64), place
+
+
 def _answer(bits: int, size: int):
-    """One bucket: exact counts of its words; sums for each batch, corpus figures and a segment of the filter."""
+    """One bucket: exact counts of its words and its segment of the filter, of at least ``size`` bytes; for each batch
+    the levels and exact counts of its words (kind s) and the levels of its bigrams (l), in the order of the hashes."""
+    shift = 64 - bits
+    low = LOW if shift > 48 else np.uint64((1 << shift) - 1)
 
     def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bucket = int(key[0])
         rows = rows.sort_values(["kind", "batch"])
-        out = [(bucket, "d", *r) for r in rows.loc[rows["kind"] == "d", ["batch", "a", "b", "c", "d"]].itertuples(index=False)]
-        high = np.uint64(bucket) << np.uint64(64 - bits) if bits < 64 else np.uint64(0)
-        low = LOW if 64 - bits > 48 else np.uint64((1 << (64 - bits)) - 1)
-        w = rows[rows["kind"] == "w"]
-        if len(w):
-            parts = [unpack6(x) for x in w["a"]]
-            own = [np.frombuffer(x, "<u4") for x in w["b"]]
-            doc = [np.repeat(np.frombuffer(c, "<u4"), np.frombuffer(d, "<u4")) for c, d in zip(w["c"], w["d"])]
-            word, place = np.unique(np.concatenate(parts), return_inverse=True)
-            train = np.concatenate(doc) & 1
-            total = np.bincount(place, np.concatenate(own) * train, len(word)).astype(np.int64)
-            log = np.log10(total + 1.0)
-            at = 0
-            for name, n, c, d in zip(w["batch"], own, w["c"], w["d"]):
-                p = place[at : at + len(n)]
-                at += len(n)
-                first = np.r_[0, np.cumsum(np.frombuffer(d, "<u4"))[:-1]].astype(np.int64)
-                sums = np.add.reduceat(n * log[p], first)
-                known = np.add.reduceat(n * (total[p] > 0), first).astype("<i8")
-                out.append((bucket, "s", name, (np.frombuffer(c, "<u4") >> 1).astype("<u4").tobytes(), sums.astype("<f8").tobytes(), known.tobytes(), None))
-            seen = total > 0
-            out.append((bucket, "v", -1, np.array([seen.sum(), total.sum()], "<i8").tobytes(), None, None, None))
-            word, total = word[seen], total[seen]
-        else:
-            word, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        g = rows[rows["kind"] == "g"]
-        if len(g):
-            pair, place = np.unique(np.concatenate([unpack6(x) for x in g["a"]]), return_inverse=True)
-            often = np.bincount(place, np.concatenate([np.frombuffer(x, "<u4") for x in g["b"]]), len(pair)).astype(np.int64)
-        else:
-            pair, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if len(word) or len(pair):
-            ident = lambda x: high | (x.astype(np.uint64) & low)
-            out.append((bucket, "f", -1, fill_segment(ident(word), total, ident(pair), often, size), None, None, None))
-        return pd.DataFrame(out, columns=["bucket", "kind", "batch", "a", "b", "c", "d"])
+        out = [(bucket, *r) for r in rows.loc[rows["kind"].isin(["d", "t"]), ["kind", "batch", "a", "b", "c"]].itertuples(index=False)]
+        w, g = rows[rows["kind"] == "w"], rows[rows["kind"] == "g"]
+        (word, total, word_at), (pair, often, pair_at) = _gathered(w), _gathered(g)
+        word, pair, seen, met = word & low, pair & low, total > 0, often > 0
+        mine = segment_size(np.concatenate([total[seen], often[met]]), size)
+        segment = np.frombuffer(fill_segment(word[seen], total[seen], pair[met], often[met], mine), np.uint8)
+        out.append((bucket, "v", -1, np.array([seen.sum(), total.sum()], "<i8").tobytes(), None, None))
+        for kind, sent, keys, place, exact in (("s", w, word, word_at, total), ("l", g, pair, pair_at, None)):
+            level, at = probe_levels(keys, segment, shift, mine), 0
+            for name, a in zip(sent["batch"], sent["a"]):
+                p = place[at : at + len(a) // 6]
+                at += len(p)
+                out.append((bucket, kind, name, level[p].tobytes(), None if exact is None else exact[p].astype("<i8").tobytes(), None))
+        return pd.DataFrame(out, columns=["bucket", "kind", "batch", "a", "b", "c"])
 
     return answer
 
 
-def _assemble(rows: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one batch with the sums that all buckets returned."""
-    d = rows[rows["kind"] == "d"].iloc[0]
-    flag = np.frombuffer(d["c"], "u1")
-    ids = pd.array(np.frombuffer(d["a"], "<i8"), dtype="Int64")
-    ids[(flag & 2) > 0] = pd.NA
-    sums, known = np.zeros(len(flag)), np.zeros(len(flag), np.int64)
-    for r in rows[rows["kind"] == "s"].sort_values("bucket").itertuples():
-        doc = np.frombuffer(r.a, "<u4")
-        sums[doc] += np.frombuffer(r.b, "<f8")
-        known[doc] += np.frombuffer(r.c, "<i8")
-    return pd.DataFrame({"doc_id": ids, "h": np.frombuffer(d["b"], "<i8"), "held_out": (flag & 1) > 0,
-                         "n_tokens": np.frombuffer(d["d"], "<i8"), "n_known": known, "sums": sums})
+def _assemble(bits: int, total: int):
+    """Documents of one batch with sums and scores by the counts and levels that all buckets returned."""
+
+    def assemble(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bucket")
+        d, t = (rows[rows["kind"] == kind].iloc[0] for kind in "dt")
+        flag, tokens = np.frombuffer(d["b"], "u1"), np.frombuffer(d["c"], "<i8")
+        ids = pd.array(np.frombuffer(d["a"], "<i8"), dtype="Int64")
+        ids[(flag & 2) > 0] = pd.NA
+        joined = lambda kind, column, of: np.frombuffer(b"".join(rows.loc[rows["kind"] == kind, column]), of)
+        own, order, keep = np.frombuffer(t["a"], "<u8"), unpack_order(t["b"]), kept_bits(bits)
+        place = np.unique(own & keep, return_inverse=True)[1]  # buckets in order, hashes in order in each
+        exact, first = joined("s", "b", "<i8")[place], np.cumsum(tokens) - tokens
+        sums = np.add.reduceat(np.log10(exact + 1.0)[order], first)
+        known = np.add.reduceat((exact > 0)[order].astype(np.int64), first)
+        score = _score(own[order], first, level_counts()[joined("s", "a", "u1")][place][order], joined("l", "a", "u1"), keep, total)
+        return pd.DataFrame({"doc_id": ids, "held_out": (flag & 1) > 0, "n_tokens": tokens, "n_known": known, "sums": sums, "score": score})
+
+    return assemble
 
 
 def held_out(doc_id):
     return remainder(doc_id, 7) == 2
 
 
-def lm_scores(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
@@ -262,61 +287,29 @@ def lm_scores(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, bucket_
     """
     spark = docs.sparkSession
     bounded_batches(spark, 4 << 20)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"),
-                       held_out(F.col("doc_id")).alias("held"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held"))
     words = (docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) / 6 + 1
     bits = int(np.ceil(np.log2(max(LEAST_BUCKETS, words / bucket_words))))
-    size = int(min(max_filter_bytes, max(1 << 16, FILTER_BYTES_PER_WORD * words))) >> bits
-    size = max(64, size)
+    size = max(64, int(max(1 << 16, FILTER_BYTES_PER_WORD * words)) >> bits)
     answers = rows.mapInArrow(_pack(bits), PACKED).groupBy("bucket").applyInPandas(_answer(bits, size), PACKED)
     answers = written(answers, "answers")
     figures = np.sum([np.frombuffer(r["a"], "<i8") for r in answers.where("kind = 'v'").select("a").toLocalIterator()] or [[0, 0]], axis=0)
     vocabulary, total = int(figures[0]), int(figures[1])
     floor = float(np.log10(total + vocabulary + 1))
-    held = np.zeros(size << bits, dtype=np.uint8)  # at most max_filter_bytes
-    for r in answers.where("kind = 'f'").select("bucket", "a").toLocalIterator():
-        held[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["a"], np.uint8)
-    shipped = spark.sparkContext.broadcast(held)
-    shift = 64 - bits
-    keep = np.uint64((1 << 64) - 1) if shift <= 48 else ~np.uint64(((1 << shift) - 1) ^ ((1 << 48) - 1))
-
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        filter_ = shipped.value
-        for texts in parts:
-            hashed = [word_hashes(t) for t in texts]
-            out, at = np.empty(len(hashed)), 0
-            while at < len(hashed):  # some tokens in one go: probes take a few hundred bytes each
-                some, n = [], 0
-                while at + len(some) < len(hashed) and n < 500_000:
-                    some.append(hashed[at + len(some)])
-                    n += len(some[-1])
-                out[at : at + len(some)] = _score(some, filter_, shift, size, keep, total + vocabulary + 1)
-                at += len(some)
-            yield pd.Series(out)
-
-    exact = answers.where("kind in ('d', 's')").groupBy("batch").applyInPandas(
-        _assemble, "doc_id long, h long, held_out boolean, n_tokens long, n_known long, sums double")
-    model = rows.select(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h"), score("text").alias("score")).dropDuplicates(["m_id", "m_h"])
-    out = exact.join(model, (F.col("h") == F.col("m_h")) & F.col("doc_id").eqNullSafe(F.col("m_id")))
+    out = answers.where("kind <> 'v'").groupBy("batch").applyInPandas(
+        _assemble(bits, total + vocabulary + 1), "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                       (F.col("sums") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score")
 
 
-def _score(hashed: list[np.ndarray], filter_: np.ndarray, shift: int, size: int, keep: np.uint64, total: int) -> np.ndarray:
-    """log10 probabilities of some texts."""
-    h, sizes = np.concatenate(hashed), np.array([len(x) for x in hashed])
-    first = np.cumsum(sizes) - sizes
-    word, place = np.unique(h, return_inverse=True)
-    count = probe(word & keep, filter_, shift, size)[place]
+def _score(h: np.ndarray, first: np.ndarray, count: np.ndarray, pair_levels: np.ndarray, keep: np.uint64, total: int) -> np.ndarray:
+    """log10 probabilities of the texts that start at ``first``, from their tokens' hashes and counts and the levels of
+    their distinct pairs in the order of the kept hashes."""
     p = (count + 1.0) / total
-    # frequent pairs have many levels: each pair is probed once
-    pairs, of = np.unique(bigram_hashes(h) & keep, return_inverse=True)
-    pair = probe(pairs, filter_, shift, size)[of]
     inner = np.ones(len(h), dtype=bool)
     inner[first] = False
     at = np.flatnonzero(inner)
-    pair = pair[at - 1]
+    pair = level_counts()[pair_levels][np.unique(bigram_hashes(h)[at - 1] & keep, return_inverse=True)[1]]
     before = count[at - 1]
     follow = pair / np.maximum(np.maximum(before, pair), 1.0)
     share = np.where(before > 0, BIGRAM_SHARE, 0.0)  # an unknown word tells nothing about the next

@@ -64,3 +64,15 @@ def test_a_filter_that_is_too_small_keeps_the_frequent():
     filter_ = np.frombuffer(lm.fill_segment(words, counts, keys(0, 0), counts[:0], 2600), np.uint8)
     got = lm.probe(words, filter_, 58, 2600)
     assert (got[3900:] > 40).all() and (got[:3900] > 0).mean() < 0.2
+
+
+def test_no_key_is_left_out_however_many_there_are(spark):
+    """More keys than the filter's least size takes: every word and pair, also those seen once, has its count in the scores."""
+    rows = [(i, " ".join(np.base_repr(36**3 + i * 3000 + (k * 7) % 3000, 36) for k in range(3000))) for i in range(40)]
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    train = [r for r in got if not r["held_out"]]
+    n = train[0]["train_tokens"]
+    assert n == 3001 * len(train)
+    total, ends = n + 3000 * len(train) + 1 + 1, len(train)
+    p = math.log10(2 / total) + 2999 * math.log10(0.8 * 2 / total + 0.2) + math.log10(0.8 * (ends + 1) / total + 0.2)
+    assert all(abs(r["score"] / p - 1) < 0.1 for r in train)
