@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import written
+
 SHARD_ROWS = 4096
 QUERY_ROWS = 4096
 LEAF_ROWS = 64
@@ -87,7 +89,13 @@ class Search:
         d = np.where(names == self.qid[which][:, None], np.inf, d)  # not the query's own row
         d, names = np.hstack([self.best[which], d]), np.hstack([self.best_id[which], names])
         names = np.where(np.isinf(d), np.iinfo(np.int64).max, names)
-        order = np.lexsort((names, d), axis=1)[:, : self.k]
+        order = np.lexsort((names, d), axis=1)
+        by_d, by_name = np.take_along_axis(d, order, 1), np.take_along_axis(names, order, 1)
+        again = (by_d[:, 1:] == by_d[:, :-1]) & (by_name[:, 1:] == by_name[:, :-1]) & np.isfinite(by_d[:, 1:])
+        if again.any():  # an id at a distance takes one place
+            by_d[:, 1:][again], by_name[:, 1:][again] = np.inf, np.iinfo(np.int64).max
+            d, names, order = by_d, by_name, np.lexsort((by_name, by_d), axis=1)
+        order = order[:, : self.k]
         self.best[which], self.best_id[which] = np.take_along_axis(d, order, 1), np.take_along_axis(names, order, 1)
 
     def descend(self, node: Node, which: np.ndarray) -> None:
@@ -108,7 +116,7 @@ class Search:
 
 def search_shard(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float) -> Search:
     """Of rows with equal vectors only the k + 1 smallest ids can be among a query's k nearest, so a vector that
-    fills the shard is searched once."""
+    fills the shard is searched once. No row repeats an id and vector."""
     order = np.argsort(ids, kind="stable")
     x, ids = x[order], ids[order]
     _, group = np.unique(x, axis=0, return_inverse=True)
@@ -142,6 +150,7 @@ def nearest(vectors: DataFrame, k: int = 10, query_modulus: int = 100, factor: f
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null").where(usable("embedding"))
     v = v.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"))
+    v = written(v.dropDuplicates(["vec_id", "embedding"]), "vectors")
     queries = v.where(F.col("vec_id") % query_modulus == 0)
     sizes = v.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % query_modulus == 0, 1)).alias("q")).first()
     shards, blocks = max(1, -(-sizes["n"] // shard_rows)), max(1, -(-sizes["q"] // query_rows))

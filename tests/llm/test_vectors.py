@@ -105,3 +105,11 @@ def test_repeats_lengths_and_nothing(spark):
     assert got == [(-1, 3, 5, False), (3, 0, 3, True), (5, 3, 5, True), (5, 3, 5, True), (9, 3, 5, False)]
     assert itq.near_duplicates(frame(spark, [])).collect() == []
     assert [r["n_links"] for r in itq.near_duplicates(frame(spark, BAD)).collect()] == [0] * len(BAD)
+
+
+def test_repeated_rows_take_one_place(spark):
+    """A near row that comes more often than k times, and an id with two vectors equally far, are one neighbour each."""
+    rows = [(0, [0.0, 0.0, 1.0])] + [(i, [float(i), 0.0, 1.0]) for i in range(1, 31)]
+    more = rows + [rows[1]] * 25 + [rows[0]] * 15 + [(1, [-1.0, 0.0, 1.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in vptree.nearest(frame(spark, more)).collect())
+    assert got == [(0, r, r) for r in range(1, 11)]
