@@ -159,23 +159,33 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], list[
 
 
 def sample_texts(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, language_chars: int = LANGUAGE_CHARS) -> dict[str, list[str]]:
-    """Whole texts of each language (columns ``lang``, ``text``) until the language's share of the bound is
-    met, in the order of a hash of the text. Copies hash alike and count once, so a text that fills a
-    third of the table is one text of the sample. Expects a modest number of languages."""
+    """Texts of each language (columns ``lang``, ``text``) until the language's share of the bound is
+    met, in the order of a hash of the text; the last one is cut where the share ends. Copies hash alike and count
+    once, so a text that fills a third of the table is one text of the sample, and a text that is longer than the share
+    weighs no more than the share. Expects a modest number of languages.
+    """
     rows = labelled.where("lang is not null and length(text) > 0").select("lang", "text", F.xxhash64("text").alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    if not sizes:
+    # the hash as an unsigned number has 1 to 64 significant bits: texts below 2 ** bits, for the least that meets the share
+    bits = F.length(F.bin(F.col("h").bitwiseXOR(F.lit(-(2**63)))))
+    sizes = rows.groupBy("lang", "h").agg(F.min(F.least(F.length("text"), F.lit(language_chars))).alias("n"))
+    found = sorted(tuple(r) for r in sizes.groupBy("lang", bits.alias("bits")).agg(F.sum("n").alias("n")).collect())
+    if not found:
         return {}
-    bound = min(language_chars, sample_chars // len(sizes))
-    # three times the bound, then cut off in hash order
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 3 * bound / n))])
-    chosen = rows.where((F.col("h") / 2.0**64 + 0.5) < share[F.col("lang")])
+    bound = min(language_chars, sample_chars // len({lang for lang, *_ in found}))
+    met: dict[str, int] = {}
+    most: dict[str, int] = {}
+    for lang, b, n in found:
+        if met.get(lang, 0) < bound:
+            met[lang], most[lang] = met.get(lang, 0) + n, b
+    chosen = rows.where(bits <= F.create_map(*[F.lit(x) for of in most.items() for x in of])[F.col("lang")])
+    chosen = chosen.select("lang", "h", F.substring("text", 1, bound).alias("text"))
     samples: dict[str, list[str]] = {}
     taken: dict[str, int] = {}
     for r in chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("h", "lang").toLocalIterator():
-        if taken.get(r["lang"], 0) < bound:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + len(r["text"])
-            samples.setdefault(r["lang"], []).append(r["text"])
+        if (at := taken.get(r["lang"], 0)) < bound:
+            text = r["text"][: bound - at]
+            taken[r["lang"]] = at + len(text)
+            samples.setdefault(r["lang"], []).append(text)
     return samples
 
 

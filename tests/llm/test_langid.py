@@ -83,3 +83,12 @@ def test_nothing_to_learn_from(spark):
     assert langid.language_id(no_docs(spark)).collect() == []
     none = docs.withColumn("lang", docs["lang"].substr(1, 0)).replace("", None, ["lang"])
     assert {r["lang_pred"] for r in langid.language_id(none).collect()} == {"und"}
+
+
+def test_copies_and_long_texts_do_not_empty_the_sample(spark):
+    """A language keeps its whole share of the sample beside a group of copies, or one text far beyond the share."""
+    rows = [("aa", prose(i, 20)) for i in range(200)] + [("aa", prose(900, 40))] * 4000
+    rows += [("bb", prose(300 + i, 20)) for i in range(30)] + [("bb", prose(901, 60_000))]
+    got = langid.sample_texts(spark.createDataFrame(rows, "lang string, text string"), 4000, 3000)
+    assert {lang: sum(map(len, texts)) for lang, texts in got.items()} == {"aa": 2000, "bb": 2000}
+    assert len(set(got["aa"])) == len(got["aa"]) > 10
