@@ -124,7 +124,7 @@ def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES, chunk_bytes
                 if r["chunk"] == 0:
                     if out is None:
                         fs.create_dir(path.rpartition("/")[0], recursive=True)
-                        out = fs.open_output_stream(path)
+                        out = fs.open_output_stream(path, compression=None)
                         put(gzip.compress(head("warcinfo", f"<urn:x-archive:{uuid.uuid4()}>", 0) + END))
                     else:
                         put(gz.compress(END) + gz.flush())
@@ -204,7 +204,7 @@ def read_archives(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 fs, path = open_file(name)
-                with fs.open_input_stream(path) as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 18) as file:
+                with fs.open_input_stream(path, compression=None) as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 18) as file:
                     rows, size = [], 0
                     for row in parse(file, chunk_bytes):
                         size += len(row["data"] or b"") + 300

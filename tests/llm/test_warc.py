@@ -66,3 +66,13 @@ def test_small_payloads_are_never_revisits(spark):
 
 def test_no_pages(spark):
     assert warc.archive_pages(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_archives_are_plain_gzip_members(spark):
+    import gzip
+
+    _, pages = hard_pages(spark)
+    for row in warc.write_archives(pages).collect():
+        with open(row["archive"].removeprefix("file:"), "rb") as f:
+            data = f.read()
+        assert len(data) == row["bytes"] and gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
