@@ -1,13 +1,13 @@
 """Isolation forest (Liu, Ting & Zhou, 2008) as Spark jobs.
 
-* Sampling: every row gets a deterministic hash; a first test keeps a pool of about
-  ``c * trees * psi`` rows (bounded by the parameters, not by the data), a second hash per
-  (run, tree) picks each tree's ``psi`` rows from the pool (smallest hashes win). Results do
-  not depend on partitioning.
-* Fit: ``groupBy(run_id, tree_id).applyInPandas`` grows one tree per group (at most
-  ~1.5 * psi rows each) and emits node rows -> the ``trees`` table.
-* Score: the node table (trees x <= 2 psi rows) is shipped to the tasks; ``mapInPandas``
-  walks all trees for an Arrow batch at once with numpy.
+* Sampling: a row's md5 with the run gives its place in a random order; consecutive slices of ``psi`` rows of that order are
+  the samples of the trees, and where the table is too small for all trees a further order follows. Only rows with small
+  hashes, about ``1.5 * trees * psi`` of them, take part: bounded by the parameters, not by the data.
+* Fit: one group per (run, tree) of at most psi rows, grown level by level. Feature and split are drawn from the md5 of
+  (seed, run, tree, node), so nothing depends on partitions or the order of rows, and plain SQL can draw the same trees.
+  Nodes are numbered as in a heap: the root is 1, the children of n are 2n and 2n + 1.
+* Score: trees are dealt into blocks of bounded size; a block is broadcast, every row walks through it, and path
+  lengths, whole numbers of 1e-9, add up by row over the blocks in any order to the same sum.
 * Decision: ``score - percentile(score, contamination)``, anomaly when < 0; the percentile is
   the exact bounded-memory one.
 
@@ -18,33 +18,32 @@ score = 2^(-E[h] / c(psi)), reported negated so that lower = more anomalous.
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.config import FOREST_EXPERIMENTS, FOREST_SEED
 from quillspark.functions.exprs import np_round, with_scalars
 from quillspark.functions.quantiles import exact_percentiles
+from quillspark.session import materialize
 
 EULER_GAMMA = 0.5772156649015329
-HASH_SPACE = 1 << 62
-TREE_FACTOR = 1.5
-SCORE_ROWS = 8192  # rows that one task scores
+POOL = 1.5                 # rows that take part in the sampling, as a multiple of those that the trees hold
+PATH_UNIT = 1_000_000_000  # path lengths are whole numbers of 1 / PATH_UNIT
+BLOCK_SLOTS = 2_000_000    # heap places of a block of trees (20 bytes each); a larger tree is a block of its own
+BLOCK_ROWS = 8192          # rows that walk together
+TASK_STEPS = 8_000_000     # rows x trees that a scoring task aims at
+MAX_TASKS = 10_000
 
-NODE_SCHEMA = T.StructType([
-    T.StructField("run_id", T.IntegerType()), T.StructField("tree_id", T.IntegerType()),
-    T.StructField("node_id", T.IntegerType()), T.StructField("feature", T.IntegerType()),
-    T.StructField("threshold", T.DoubleType()), T.StructField("left", T.IntegerType()),
-    T.StructField("right", T.IntegerType()), T.StructField("size", T.LongType()),
-    T.StructField("psi", T.LongType()),
-])
+
+NODE_SCHEMA = "run_id int, tree_id int, node_id long, feature int, threshold double, size long, psi long"
 
 
 @dataclass(frozen=True)
@@ -70,11 +69,12 @@ def avg_path_length(n: np.ndarray | float) -> np.ndarray:
     return out
 
 
-def _hash01(*cols) -> F.Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(HASH_SPACE)).cast("double") / F.lit(float(HASH_SPACE))
+def _digits(text: Column, place: int) -> Column:
+    """A number in [0, 1) from 13 hexadecimal digits of an md5."""
+    return F.conv(F.substring(F.md5(text), place, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
 
-def _psi(p: ForestParams) -> F.Column:
+def _psi(p: ForestParams) -> Column:
     """Rows per tree: max_samples, or min(256, n) when auto; never more than n."""
     return F.least(F.lit(p.max_samples or 256), F.col("__n"))
 
@@ -82,150 +82,172 @@ def _psi(p: ForestParams) -> F.Column:
 def sample_trees(matrix: DataFrame, id_col: str, runs: Sequence[ForestParams]) -> DataFrame:
     """Rows (run_id, tree_id, __psi, <id>, features...) holding each tree's psi-row sample.
 
-    Stage 1 keeps a pool of about min(n, TREE_FACTOR * trees * psi) rows with one hash per row.
-    Stage 2 lets every tree test its own hash of every pool row with chance TREE_FACTOR * psi / pool
-    (at most TREE_FACTOR * trees^2 * psi tests: bounded by the parameters, whatever n is). Each tree
-    then keeps its psi smallest-hash rows of its ~TREE_FACTOR * psi candidates.
+    Order r of a run is that of md5("seed:run:r:id"); rows that share an id go by their values. The first
+    ``slices = min(trees, n / psi)`` slices of psi rows are the trees r * slices, r * slices + 1, ... One group per (run, order)
+    is ranked: at most about POOL * trees * psi rows.
     """
-    m = with_scalars(matrix, matrix.agg(F.count(F.lit(1)).alias("__n")))
+    m = with_scalars(matrix, matrix.agg(F.count(F.lit(1)).alias("__n"))).where("__n > 0")
+    others = [c for c in matrix.columns if c != id_col]
+    key = lambda p, r: F.concat_ws(":", F.lit(p.seed), F.lit(p.run_id), r, F.col(id_col))
     parts = []
     for p in runs:
-        t_count = p.n_estimators
-        want = F.lit(TREE_FACTOR * t_count) * _psi(p)
-        pool_size = F.least(F.col("__n").cast("double"), want)
-        pool = m.where(_hash01(F.col(id_col), F.lit(p.seed), F.lit(p.run_id), F.lit("pool")) < pool_size / F.col("__n"))
-        tree_p = F.least(F.lit(1.0), F.lit(TREE_FACTOR) * _psi(p) / pool_size)
-        trees = F.filter(F.sequence(F.lit(0), F.lit(t_count - 1)),
-                         lambda t: _hash01(F.col(id_col), F.lit(p.seed), F.lit(p.run_id), t) < tree_p)
-        parts.append(pool.select(F.lit(p.run_id).alias("run_id"), F.explode(trees).alias("tree_id"),
-                                 _psi(p).alias("__psi"), *matrix.columns))
-    cand = reduce(DataFrame.unionByName, parts)
-    cand = cand.withColumn("__h", F.xxhash64(F.col(id_col), F.col("run_id"), F.col("tree_id"), F.lit(FOREST_SEED)))
-    # smallest hashes win: a window over (run, tree) groups of ~TREE_FACTOR * psi rows (bounded)
-    w = Window.partitionBy("run_id", "tree_id").orderBy("__h", id_col)
-    return cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= F.col("__psi")).drop("__r", "__h")
-
-
-def _grow(x: np.ndarray, limit: int, rng: np.random.Generator):
-    """Grow one isolation tree on ``x`` (rows x features). Returns node arrays."""
-    feat, thr, left, right, size = [], [], [], [], []
-    stack = [(np.arange(len(x)), 0, -1, False)]
-    while stack:
-        idx, depth, parent, is_right = stack.pop()
-        nid = len(feat)
-        feat.append(-1)
-        thr.append(0.0)
-        left.append(-1)
-        right.append(-1)
-        size.append(len(idx))
-        if parent >= 0:
-            (right if is_right else left)[parent] = nid
-        if depth >= limit or len(idx) <= 1:
-            continue
-        sub = x[idx]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        cand = np.nonzero(hi > lo)[0]
-        if not len(cand):
-            continue
-        f = int(cand[rng.integers(len(cand))])
-        t = float(rng.uniform(lo[f], hi[f]))
-        go_left = sub[:, f] <= t
-        feat[nid], thr[nid] = f, t
-        stack.append((idx[~go_left], depth + 1, nid, True))
-        stack.append((idx[go_left], depth + 1, nid, False))
-    return feat, thr, left, right, size
+        slices = F.least(F.lit(p.n_estimators), F.floor(F.col("__n") / _psi(p))).cast("int")
+        m_p = m.withColumn("__psi", _psi(p).cast("bigint")).withColumn("__slices", slices)
+        share = F.lit(POOL) * F.col("__slices") * F.col("__psi") / F.col("__n")
+        orders = F.filter(F.expr(f"sequence(0, ({p.n_estimators} - 1) div __slices)"), lambda r: _digits(key(p, r), 1) < share)
+        parts.append(m_p.select(F.lit(p.run_id).alias("run_id"), F.lit(p.n_estimators).alias("__trees"), F.explode(orders).alias("__order"),
+                                "__psi", "__slices", *matrix.columns).withColumn("__h", F.md5(key(p, F.col("__order")))))
+    pool = reduce(DataFrame.unionByName, parts)
+    w = Window.partitionBy("run_id", "__order").orderBy("__h", F.col(id_col), *others)
+    ranked = pool.withColumn("__r", F.row_number().over(w) - 1)
+    ranked = ranked.where("__r < __slices * __psi").withColumn("tree_id", F.expr("cast(__order * __slices + __r div __psi as int)"))
+    return ranked.where("tree_id < __trees").select("run_id", "tree_id", "__psi", *matrix.columns)
+
+
+def draws(seed: int, run: int, tree: int, node: int) -> tuple[float, float]:
+    """Two numbers in [0, 1) that a node draws: the first for its feature, the second for its threshold."""
+    digits = hashlib.md5(f"{seed}:{run}:{tree}:{node}".encode()).hexdigest()
+    return int(digits[:13], 16) / (1 << 52), int(digits[13:26], 16) / (1 << 52)
+
+
+def grow(x: np.ndarray, psi: int, seed: int, run: int, tree: int) -> list[tuple[int, int | None, float | None, int]]:
+    """(node, feature, threshold, size) of all nodes of the tree on ``x``. The order of the rows plays no part."""
+    nodes, level, height = [], [(1, x)], 0
+    while level:
+        below = []
+        for node, rows in level:
+            varied = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 and (1 << height) < psi else ()
+            if not len(varied):
+                nodes.append((node, None, None, len(rows)))
+                continue
+            u, v = draws(seed, run, tree, node)
+            f = int(varied[int(u * len(varied))])
+            column = rows[:, f]
+            lo, hi = float(column.min()), float(column.max())
+            t = lo + v * (hi - lo)
+            nodes.append((node, f, t, len(rows)))
+            right = column > t
+            below += [(2 * node, rows[~right]), (2 * node + 1, rows[right])]
+        level, height = below, height + 1
+    return nodes
 
 
 def fit(matrix: DataFrame, feature_cols: Sequence[str], runs: Sequence[ForestParams], id_col: str = "invoice_id") -> DataFrame:
-    """The ``trees`` table: one row per node of every tree of every run."""
-    sample = sample_trees(matrix.select(id_col, *feature_cols), id_col, runs)
-    seeds = {p.run_id: p.seed for p in runs}
+    """The ``trees`` table, one row per node of every tree of every run: run_id, tree_id, node_id, feature and threshold (null
+    at a leaf), size, psi. One shuffle of the samples; a group is one tree, at most psi rows. No rows give no trees."""
     cols = list(feature_cols)
+    seeds = {p.run_id: p.seed for p in runs}
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([id_col, *cols], kind="stable")  # rows that share an id: order by their values
-        run_id, tree_id = int(pdf["run_id"].iloc[0]), int(pdf["tree_id"].iloc[0])
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        run, tree = map(int, key)
         psi = int(pdf["__psi"].iloc[0])
-        rng = np.random.default_rng([seeds[run_id], run_id, tree_id])
-        limit = int(math.ceil(math.log2(max(psi, 2))))
-        feat, thr, left, right, size = _grow(pdf[cols].to_numpy(np.float64), limit, rng)
-        k = len(feat)
-        return pd.DataFrame({"run_id": np.full(k, run_id, np.int32), "tree_id": np.full(k, tree_id, np.int32),
-                             "node_id": np.arange(k, dtype=np.int32), "feature": np.asarray(feat, np.int32),
-                             "threshold": np.asarray(thr, np.float64), "left": np.asarray(left, np.int32),
-                             "right": np.asarray(right, np.int32), "size": np.asarray(size, np.int64),
-                             "psi": np.full(k, psi, np.int64)})
-
-    return sample.groupBy("run_id", "tree_id").applyInPandas(build, NODE_SCHEMA)
-
-
-def _forest_arrays(trees: DataFrame, max_nodes: int = 5_000_000):
-    """Node table -> per-run numpy arrays. The table size is bounded by trees x 2 psi (checked)."""
-    pdf = trees.limit(max_nodes + 1).toPandas()
-    if len(pdf) > max_nodes:
-        raise ValueError("forest too large to ship to tasks")
-    out = {}
-    for run_id, g in pdf.groupby("run_id"):
-        tids = np.unique(g["tree_id"].to_numpy())
-        ti = np.searchsorted(tids, g["tree_id"].to_numpy())
-        ni = g["node_id"].to_numpy()
-        width = int(ni.max()) + 1
-        arr = {}
-        for k in ("feature", "threshold", "left", "right", "size"):
-            a = np.full((len(tids), width), 0.0 if k == "threshold" else -1,
-                        dtype=np.float64 if k == "threshold" else np.int64)
-            a[ti, ni] = g[k].to_numpy()
-            arr[k] = a
-        arr["leaf_c"] = avg_path_length(np.maximum(arr["size"], 0))
-        arr["psi"] = int(g["psi"].iloc[0])
-        out[int(run_id)] = arr
+        node, feature, threshold, size = zip(*grow(pdf[cols].to_numpy(np.float64), psi, seeds[run], run, tree))
+        return pd.DataFrame({"run_id": np.int32(run), "tree_id": np.int32(tree), "node_id": np.array(node, np.int64),
+                             "feature": pd.array(feature, "Int32"), "threshold": pd.array(threshold, "Float64"),
+                             "size": np.array(size, np.int64), "psi": np.int64(psi)})
+
+    samples = sample_trees(matrix.select(id_col, *cols), id_col, runs)
+    return samples.groupBy("run_id", "tree_id").applyInPandas(build, NODE_SCHEMA)
+
+
+def tree_blocks(trees: DataFrame, block_slots: int = BLOCK_SLOTS) -> tuple[list[list[tuple[int, int, int]]], dict[int, tuple[int, int]]]:
+    """Trees dealt into blocks of at most ``block_slots`` heap places: per block (run, tree, height) in order; per run its
+    number of trees and psi. One row per tree reaches the driver: bounded by the parameters of the runs."""
+    height = F.floor(F.log2(F.max("node_id").cast("double"))).cast("int")
+    rows = trees.groupBy("run_id", "tree_id").agg(height.alias("height"), F.max("psi").alias("psi")).orderBy("run_id", "tree_id").collect()
+    blocks, used, runs = [], block_slots, {}
+    for r in rows:
+        size = 2 << r["height"]
+        if used + size > block_slots:
+            blocks.append([])
+            used = 0
+        blocks[-1].append((r["run_id"], r["tree_id"], r["height"]))
+        used += size
+        n, _ = runs.get(r["run_id"], (0, 0))
+        runs[r["run_id"]] = (n + 1, r["psi"])
+    return blocks, runs
+
+
+def block_arrays(nodes: pd.DataFrame, block: list[tuple[int, int, int]]) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per tree of a block: run, height, and by heap place the feature, the threshold and, at the last level, the path length
+    in units. Above that level a leaf sends its rows to the left (threshold infinity), where its length awaits them."""
+    out, groups = [], dict(tuple(nodes.groupby(["run_id", "tree_id"])))
+    for run, tree, height in block:
+        g = groups[run, tree]
+        place = g["node_id"].to_numpy(np.int64)
+        depth = np.floor(np.log2(place)).astype(np.int64)
+        feature, threshold = np.zeros(2 << height, np.int32), np.full(2 << height, np.inf)
+        inner = g["feature"].notna().to_numpy()
+        feature[place[inner]] = g["feature"].to_numpy(np.float64)[inner].astype(np.int32)
+        threshold[place[inner]] = g["threshold"].to_numpy(np.float64)[inner]
+        length = np.zeros(2 << height, np.int64)
+        leaf = ~inner
+        units = depth[leaf] * PATH_UNIT + np.rint(avg_path_length(g["size"].to_numpy()[leaf]) * PATH_UNIT).astype(np.int64)
+        length[place[leaf] << (height - depth[leaf])] = units
+        out.append((run, height, feature, threshold, length))
     return out
 
 
-def path_scores(x: np.ndarray, forest: dict) -> np.ndarray:
-    """score_samples (negated anomaly score, lower = more anomalous) for rows ``x`` under one forest."""
-    n_trees = forest["feature"].shape[0]
-    depth_sum = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for t in range(n_trees):
-        feat, thr, left, right = forest["feature"][t], forest["threshold"][t], forest["left"][t], forest["right"][t]
-        node = np.zeros(len(x), dtype=np.int64)
-        depth = np.zeros(len(x))
-        active = feat[node] >= 0
-        while active.any():
-            f = feat[node]
-            go_left = x[rows, np.where(f >= 0, f, 0)] <= thr[node]
-            nxt = np.where(go_left, left[node], right[node])
-            node = np.where(active, nxt, node)
-            depth += active
-            active = feat[node] >= 0
-        depth_sum += depth + forest["leaf_c"][t][node]
-    mean_depth = depth_sum / n_trees
-    return -np.power(2.0, -mean_depth / float(avg_path_length(np.array([forest["psi"]]))[0]))
-
-
-def score(matrix: DataFrame, feature_cols: Sequence[str], trees: DataFrame, id_cols: Sequence[str] = ("invoice_id",)) -> DataFrame:
-    """Long table (run_id, ids..., score) with the raw score of every row under every run's forest."""
-    forests = _forest_arrays(trees)
-    cols = list(feature_cols)
-    ids = list(id_cols)
-    schema = T.StructType([T.StructField("run_id", T.IntegerType())] +
-                          [matrix.schema[c] for c in ids] + [T.StructField("score", T.DoubleType())])
+def path_sums(x: np.ndarray, block: list) -> dict[int, np.ndarray]:
+    """Per run the sums of the path lengths of rows ``x`` over the trees of a block."""
+    sums: dict[int, np.ndarray] = {}
+    flat, base = np.ascontiguousarray(x).ravel(), np.arange(len(x), dtype=np.int64) * x.shape[1]
+    for run, height, feature, threshold, length in block:
+        node = np.ones(len(x), dtype=np.int64)
+        for _ in range(height):
+            right = flat.take(base + feature.take(node)) > threshold.take(node)
+            node <<= 1
+            node += right
+        sums[run] = sums.get(run, 0) + length.take(node)
+    return sums
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = pdf[cols].to_numpy(np.float64)
-            for run_id, forest in forests.items():
-                out = pdf[ids].copy()
-                out.insert(0, "run_id", np.int32(run_id))
-                out["score"] = path_scores(x, forest)
-                yield out
-
-    # a row walks through every tree: tasks are sized by rows, not by the few bytes that a row has
-    tasks = max(1, -(-matrix.count() // SCORE_ROWS))
-    return matrix.select(*ids, *cols).repartition(tasks).mapInPandas(run, schema)
+
+def score(matrix: DataFrame, feature_cols: Sequence[str], trees: DataFrame, id_cols: Sequence[str] = ("invoice_id",),
+          block_slots: int = BLOCK_SLOTS) -> DataFrame:
+    """Long table (run_id, ids..., score) with the raw score of every row under every run's forest.
+
+    One block: every row walks through it where it lies. More blocks: rows get a number, each block's path lengths are
+    a pass over the rows, and one aggregation adds them up. No forest, no rows of scores. A forest of any size is scored; a
+    task holds one block and a batch of rows.
+    """
+    spark, cols, ids = matrix.sparkSession, list(feature_cols), list(id_cols)
+    blocks, runs = tree_blocks(trees, block_slots)
+    rows = matrix.select(*ids, *cols)
+    keys = list(ids)
+    if len(blocks) > 1:
+        rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()))
+        keys.append("__row")
+    schema = T.StructType([T.StructField("run_id", T.IntegerType()), *[rows.schema[c] for c in keys], T.StructField("__sum", T.LongType())])
+    # a row walks through every tree: tasks are sized by steps, not by the few bytes that a row has
+    tasks = min(MAX_TASKS, -(-rows.count() * max(1, max(map(len, blocks), default=0)) // TASK_STEPS))
+    if rows.rdd.getNumPartitions() < tasks:
+        rows = rows.repartition(tasks)
+
+    def walk(shipped):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for a in range(0, len(pdf), BLOCK_ROWS):
+                    part = pdf.iloc[a : a + BLOCK_ROWS]
+                    for run_id, total in path_sums(part[cols].to_numpy(np.float64), shipped.value).items():
+                        out = part[keys].copy()
+                        out.insert(0, "run_id", np.int32(run_id))
+                        out["__sum"] = total
+                        yield out
+        return run
+
+    parts = []
+    for block in blocks:
+        wanted = spark.createDataFrame([b[:2] for b in block], "run_id int, tree_id int")  # a row per tree of the block
+        nodes = trees.join(F.broadcast(wanted), ["run_id", "tree_id"], "left_semi").select("run_id", "tree_id", "node_id", "feature", "threshold", "size").toPandas()
+        parts.append(rows.mapInPandas(walk(spark.sparkContext.broadcast(block_arrays(nodes, block))), schema))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    sums = reduce(DataFrame.unionAll, parts)
+    if len(blocks) > 1:
+        sums = sums.groupBy("run_id", *keys).agg(F.sum("__sum").alias("__sum"))
+    scale = F.create_map(*[F.lit(x) for run, (n, psi) in runs.items()
+                           for x in (run, float(PATH_UNIT) * n * float(avg_path_length(np.array([max(psi, 2)]))[0]))])
+    return sums.select("run_id", *ids, (-F.pow(F.lit(2.0), -F.col("__sum") / scale[F.col("run_id")])).alias("score"))
 
 
 def decide(scores: DataFrame, runs: Sequence[ForestParams]) -> tuple[DataFrame, DataFrame]:

@@ -285,13 +285,13 @@ from quillspark.operators import iforest  # noqa: E402
 
 
 def forest_run(spark, sf_dir, runs, lay=None):
-    """features -> scaled matrix (materialised once) -> trees -> scores (materialised) -> decisions."""
+    """features -> scaled matrix, trees and scores (each materialised once) -> decisions."""
     feats = _features(spark, sf_dir, lay)
     matrix, cols = feat_ops.model_matrix(feats, _MF)
     # the unscaled amount rides along: invoice ids may repeat, so nothing is joined back by them
     matrix = matrix.withColumn("raw_amount", F.col("amount"))
     scaled = materialize(feat_ops.standard_scale(matrix, cols))
-    trees = iforest.fit(scaled, cols, runs)
+    trees = materialize(iforest.fit(scaled, cols, runs))
     scores = materialize(iforest.score(scaled, cols, trees, id_cols=("invoice_id", "vendor_id", "raw_amount")))
     decisions, offsets = iforest.decide(scores, runs)
     return scaled, cols, trees, decisions, offsets
@@ -459,7 +459,7 @@ def q_scoring_rows(spark, sf_dir):
     matrix, cols = feat_ops.model_matrix(feats, _MF)
     scaled = materialize(feat_ops.standard_scale(matrix, cols))
     runs = [iforest.ForestParams(1, 10, 0.05)]
-    scores = iforest.score(scaled, cols, iforest.fit(scaled, cols, runs), ("row_id",))
+    scores = iforest.score(scaled, cols, materialize(iforest.fit(scaled, cols, runs)), ("row_id",))
     out = scores.join(feats.select("row_id", "amount"), "row_id")
     return out.agg(F.count("*").alias("rows_out"), F.countDistinct("row_id").alias("distinct_out"),
                    F.sum(F.rint(F.col("amount") * 100).cast("bigint")).cast("bigint").alias("cents_out"),

@@ -7,6 +7,11 @@ from it. Rounding uses ``round_even(x * 10^n, 0) / 10^n``, the SQL spelling of n
 
 from __future__ import annotations
 
+import math
+
+from quillspark.config import MODEL_FEATURES, VALID_STATUSES
+from quillspark.operators.iforest import EULER_GAMMA, experiments
+
 
 def rnd(expr: str, n: int) -> str:
     s = float(10 ** n)
@@ -228,12 +233,7 @@ select 'total', cast(count_if(passed) as bigint), cast(count_if(not passed) as b
 
 # --- features ------------------------------------------------------------------------------
 CATEGORIES = ("Automobile", "Building", "Furniture", "Household", "Machinery")
-STATUSES = ("PAID", "PENDING", "OVERDUE", "DISPUTED", "CANCELLED")
-MODEL_COLS = ("amount", "amount_zscore", "amount_log", "is_round_amount", "days_overdue", "invoice_month",
-              "invoice_dow", "is_weekend", "invoice_quarter", "status_PAID", "status_PENDING", "status_OVERDUE",
-              "status_DISPUTED", "status_CANCELLED", "vendor_total_invoices", "vendor_avg_amount",
-              "vendor_overdue_rate", "vendor_dispute_rate", "vendor_risk_score", "amount_vs_vendor_avg")
-
+STATUSES = VALID_STATUSES
 FEATURE_CTES = f"""
 fstats as (select avg(cast(amount as double)) mu, stddev_samp(cast(amount as double)) sd from silver),
 inv_feat as (
@@ -263,7 +263,7 @@ select cast(count(*) as bigint) records, cast({2 + 9 + 5 + len(CATEGORIES) + 7}
     FEATURE_CTES))
 _scaled = ", ".join(
     rnd(f"(cast({c} as double) - avg(cast({c} as double)) over ()) / coalesce(nullif(stddev_pop(cast({c} as double)) over (), 0), 1.0)", 4) + f" + 0.0 {c}"
-    for c in MODEL_COLS)
+    for c in MODEL_FEATURES)
 oracle("standard_scaler", with_layers(f"select invoice_id, vendor_id, {_scaled} from features", FEATURE_CTES))
 
 
@@ -313,6 +313,65 @@ oracle("top_anomalies_report", with_layers("""
 select invoice_id, vendor_id, amount, anomaly_score, risk_level
 from tiered where is_anomaly order by anomaly_score, invoice_id limit 10""", TIERED_CTES))
 
+# --- isolation forest ------------------------------------------------------------------------
+def _c(n: str) -> str:
+    """Average path length of an unsuccessful search among n rows."""
+    return (f"case when {n} <= 1 then 0.0 when {n} = 2 then 1.0 else 2.0 * (ln({n} - 1.0) + cast('{EULER_GAMMA!r}' as double))"
+            f" - 2.0 * ({n} - 1.0) / {n} end")
+
+
+def _digits(text: str, place: int) -> str:
+    return f"cast(cast('0x' || substring({text}, {place}, 13) as bigint) as double) / 4503599627370496.0"
+
+
+def forest_ctes(runs) -> str:
+    """The same trees level by level, and every row's walk through them."""
+    k = len(MODEL_FEATURES)
+    x = ", ".join(f"(cast({c} as double) - avg(cast({c} as double)) over ()) / coalesce(nullif(stddev_pop(cast({c} as double)) over (), 0), 1.0)"
+                  for c in MODEL_FEATURES)
+    par = ", ".join(f"({p.run_id}, {p.n_estimators}, {p.max_samples or 256}, {p.seed})" for p in runs)
+    height = max(math.ceil(math.log2(p.max_samples or 256)) for p in runs)
+    out = [f"scaled as materialized (select row_number() over () rid, invoice_id, vendor_id, amount raw_amount, [{x}] x from features)",
+           f"""par as (select *, n // psi slices0, least(t, n // psi) slices from (
+ select run, t, seed, n, least(m, n) psi from (values {par}) v(run, t, m, seed), (select count(*) n from scaled)))""",
+           """sample_rows as (select *, row_number() over (partition by run, o order by h, invoice_id, x) - 1 rn from (
+ select run, t, psi, slices, o, md5(concat_ws(':', seed, run, o, invoice_id)) h, invoice_id, x
+ from scaled, (select *, unnest(range(0, (t - 1) // slices + 1)) o from par)))""",
+           """l0 as materialized (select run, o * slices + rn // psi tree, psi, 1::bigint node, x from sample_rows
+ where rn < slices * psi and o * slices + rn // psi < t)"""]
+    for d in range(height):
+        out.append(f"""t{d} as materialized (select run, tree, node, f, lo[f + 1] + {_digits('m', 14)} * (hi[f + 1] - lo[f + 1]) t from (
+ select *, case when len(varied) > 0 and {1 << d} < psi then varied[1 + cast(floor({_digits('m', 1)} * len(varied)) as int)] end f from (
+  select *, list_filter(range(0, {k}), lambda i: hi[i + 1] > lo[i + 1]) varied, md5(concat_ws(':', seed, run, tree, node)) m from (
+   select run, tree, node, [{", ".join(f"min(x[{i + 1}])" for i in range(k))}] lo, [{", ".join(f"max(x[{i + 1}])" for i in range(k))}] hi
+   from l{d} group by all) join par using (run))) where f is not null)""")
+        out.append(f"""l{d + 1} as materialized (select run, tree, psi, case when f is null then node else 2 * node + cast(x[f + 1] > t as int) end node, x
+ from l{d} left join t{d} using (run, tree, node))""")
+    out.append("leaves as materialized (select run, tree, node, count(*) size from l%d group by all)" % height)
+    out.append("w0 as (select rid, run, tree, 1::bigint node from scaled, (select distinct run, tree from l0))")
+    for d in range(height):
+        out.append(f"""w{d + 1} as materialized (select rid, run, tree, case when f is null then node else 2 * node + cast(x[f + 1] > t as int) end node
+ from w{d} join scaled using (rid) left join t{d} using (run, tree, node))""")
+    out.append(f"""forest_raw as (select rid, run, -pow(2.0, -cast(s as double) / (1000000000.0 * t * ({_c('psi')}))) score from (
+ select rid, run, cast(sum(cast(floor(log2(node)) as bigint) * 1000000000 + cast(round(({_c('size')}) * 1000000000.0) as bigint)) as bigint) s
+ from w{height} join leaves using (run, tree, node) group by all) join par using (run))""")
+    for p in runs:
+        out.append(f"raw{p.run_id} as (select * from forest_raw where run = {p.run_id})")
+        out.append(f"""dec{p.run_id} as (select invoice_id, vendor_id, raw_amount, score - {np_percentile(f'raw{p.run_id}', 'score', p.contamination)} anomaly_score
+ from raw{p.run_id} join scaled using (rid))""")
+    return ",\n".join(out)
+
+
+_RUNS = experiments()
+oracle("forest_scores", with_layers(f"select * replace (anomaly_score < 0 as is_anomaly) from ({tiers_sql('flagged')})", f"""{FEATURE_CTES},
+{forest_ctes(_RUNS[:1])},
+flagged as (select invoice_id, vendor_id, raw_amount amount, anomaly_score, anomaly_score < 0 is_anomaly from dec1)"""))
+oracle("forest_runs", with_layers("\nunion all\n".join(f"""select cast({p.run_id} as int) run_id, cast({p.n_estimators} as int) n_estimators,
+ cast({p.contamination!r} as double) contamination, cast({p.max_samples or 'null'} as int) max_samples, cast({p.seed} as int) seed,
+ count(*) n_records, count_if(anomaly_score < 0)::bigint n_anomalies, {rnd('cast(count_if(anomaly_score < 0) as double) / count(*)', 4)} anomaly_rate,
+ {rnd('avg(anomaly_score)', 4)} mean_score, {rnd('min(anomaly_score)', 4)} min_score, cast({len(MODEL_FEATURES)} as int) n_features, cast({p.run_id} as int) as version
+from dec{p.run_id}""" for p in _RUNS), f"{FEATURE_CTES},\n{forest_ctes(_RUNS)}"))
+
 # --- the demo questions -------------------------------------------------------------------
 oracle("q_highest_overdue_vendors", with_layers("""
 select vendor_id, vendor_name, state, overdue_rate, overdue_count, total_invoices from vendor_summary

@@ -1,5 +1,7 @@
 """Percentiles, tiers, forest, documents, chunks, retrieval, streaming."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from quillspark.config import RunConfig
 from quillspark.functions.quantiles import exact_percentiles
 from quillspark.operators import documents, iforest, risk, vectors
 from quillspark.plans.catalog import L
-from quillspark.session import scratch_path
+from quillspark.session import materialize, scratch_path
 from quillspark.streaming import ingest
 from tests.conftest import SF_SMALL
 
@@ -74,10 +76,63 @@ def test_forest_is_independent_of_partitioning(spark):
 def test_tree_sample_sizes(spark):
     m = _toy_matrix(spark, n=5000, outliers=0)
     s = iforest.sample_trees(m, "invoice_id", [iforest.ForestParams(1, 30, 0.05, 0), iforest.ForestParams(2, 4, 0.05, 100)])
-    sizes = {(r.run_id, r.tree_id): r["count"] for r in s.groupBy("run_id", "tree_id").count().collect()}
+    rows = s.select("run_id", "tree_id", "invoice_id").collect()
+    sizes = Counter((r.run_id, r.tree_id) for r in rows)
     assert len(sizes) == 34
     assert all(v == 256 for (run, _), v in sizes.items() if run == 1)
     assert all(v == 100 for (run, _), v in sizes.items() if run == 2)
+    # trees of one order share no row: the first 19 of run 1 (5000 / 256), and all of run 2
+    assert max(Counter(r.invoice_id for r in rows if r.run_id == 1 and r.tree_id < 19).values()) == 1
+    assert max(Counter(r.invoice_id for r in rows if r.run_id == 2).values()) == 1
+
+
+def test_tiny_and_empty_tables_grow_trees(spark):
+    cols, runs = ["a", "b", "c", "d"], [iforest.ForestParams(1, 5, 0.05, 0)]
+    for n in (0, 1, 2, 3):
+        m = _toy_matrix(spark, n=n, outliers=0) if n else spark.createDataFrame([], "invoice_id string, a double, b double, c double, d double")
+        trees = iforest.fit(m, cols, runs)
+        assert trees.select("tree_id").distinct().count() == (5 if n else 0)
+        assert iforest.score(m, cols, trees).count() == n
+
+
+def test_paths_by_hand(spark):
+    """A row's score from the definition: its depth plus c(size) of its leaf, averaged over the trees."""
+    m, cols = _toy_matrix(spark, n=300, outliers=2), ["a", "b", "c", "d"]
+    trees = iforest.fit(m, cols, [iforest.ForestParams(1, 7, 0.05, 64)])
+    nodes = {(r.tree_id, r.node_id): r for r in trees.collect()}
+    assert all(r.size == sum(nodes[r.tree_id, r.node_id * 2 + k].size for k in (0, 1)) for r in nodes.values() if r.feature is not None)
+    got = {r.invoice_id: r.score for r in iforest.score(m, cols, trees).collect()}
+    for row in m.limit(40).collect():
+        total = 0.0
+        for tree in range(7):
+            node, depth = nodes[tree, 1], 0
+            while node.feature is not None:
+                node, depth = nodes[tree, 2 * node.node_id + (row[cols[node.feature]] > node.threshold)], depth + 1
+            total += depth + float(iforest.avg_path_length(node.size))
+        want = -(2.0 ** (-total / 7 / float(iforest.avg_path_length(64))))
+        assert got[row.invoice_id] == pytest.approx(want, abs=1e-8)
+
+
+def test_forest_in_blocks_scores_as_in_one(spark):
+    m, cols = _toy_matrix(spark, n=700, outliers=3), ["a", "b", "c", "d"]
+    m = m.unionByName(m.limit(50))  # ids that repeat stay rows of their own
+    runs = [iforest.ForestParams(1, 12, 0.05, 0), iforest.ForestParams(2, 9, 0.1, 64)]
+    trees = materialize(iforest.fit(m, cols, runs))
+    assert len(iforest.tree_blocks(trees)[0]) == 1 and len(iforest.tree_blocks(trees, 1200)[0]) > 5
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(iforest.score(m, cols, trees)) == rows(iforest.score(m, cols, trees, block_slots=1200))
+
+
+def test_forest_of_ten_million_nodes_has_no_limit(spark):
+    """80 full trees of 2^17 - 1 nodes that all split feature 0 at one half, in blocks of at most 2 million places."""
+    inner = F.col("node_id") < (1 << 16)
+    trees = spark.range(80 * ((1 << 17) - 1)).select(
+        F.lit(1).alias("run_id"), F.expr("cast(id div 131071 as int)").alias("tree_id"), F.expr("id % 131071 + 1").alias("node_id"),
+        F.when(inner, 0).alias("feature"), F.when(inner, 0.5).alias("threshold"), F.lit(2).cast("bigint").alias("size"), F.lit(256).cast("bigint").alias("psi"))
+    m = spark.createDataFrame([("x", 0.1), ("y", 0.9)], "invoice_id string, a double")
+    assert len(iforest.tree_blocks(trees)[0]) == 6
+    want = -(2.0 ** (-17 / float(iforest.avg_path_length(256))))
+    assert [r.score for r in iforest.score(m, ["a"], trees).collect()] == pytest.approx([want, want])
 
 
 def test_chunks_rebuild_the_text(spark):
