@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import bounded_batches, written
 
 #: Text bytes of a shard (more where one text is longer).
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 #: Slices that are ordered by numpy; what still agrees after them (terms beyond 64 bytes) is ordered as bytes.
 SLICES = 8
 #: Postings that a block of terms aims at, and sums of pairs of sources that a task holds at most.
