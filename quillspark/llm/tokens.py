@@ -28,7 +28,10 @@ NOT_SPACE = regex.compile("[\x1c-\x1f]")
 PLAIN = regex.compile("[\x21-\x3b\x3d-ɏ]+")
 # The same for the byte-level file: its split pattern, and pieces that hold only characters every Unicode version classes alike.
 BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-BYTE_PLAIN = regex.compile("[\x20-\x7e\n¡-ɏ]+")
+BYTE_PLAIN = re.compile("[\x20-\x7e\n¡-ɏ]+")
+# The letters and numbers of such a text, so that one pass of the standard library's ``re`` finds its runs.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+BYTE_RUNS = re.compile(f" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+")
 #: A space within a run of white space that is not the last before a word.
 SPACES = re.compile(r"\s (?:\s|\Z)")
 BEFORE_SPACES = re.compile(r"(?<=\S)(?= )")
@@ -48,7 +51,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.alphabet = byte_alphabet()
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
         self.runs = Memo(self.run, memo_bytes).__getitem__
         self.units = Memo(self.unit, memo_bytes).__getitem__
 
@@ -57,7 +60,7 @@ class _Encoder:
 
     def run(self, run: str) -> bytes:
         spelled = run.encode().decode("latin-1").translate(self.alphabet)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
 
 
 class _Words(_Encoder):
@@ -77,12 +80,22 @@ class _Words(_Encoder):
 
 
 class _Bytes(_Encoder):
-    """Units start at a space; only within a run of white space may a token hold a space that is not its first."""
+    """A text of plain characters is cut into its runs at once. In others units start at a space; only within a run of white
+    space may a token hold a space that is not its first."""
 
     def __init__(self, tokenizer_json: str, memo_bytes: int):
         super().__init__(tokenizer_json, memo_bytes)
+        self.runs = Memo(self.run, memo_bytes * 2).__getitem__
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def run(self, run: str) -> bytes:
+        if run.isascii() and run[1:].isalpha():  # such characters but the space stand for themselves in the byte alphabet
+            run = self.alphabet[32] + run[1:] if run[0] == " " else run
+            packed = self.packed
+            return b"".join([packed[t.id] for t in self.model.tokenize(run)])
+        return super().run(run)
+
     def unit(self, rest: str) -> bytes:
         return self.piece(" " + rest)
 
@@ -96,6 +109,8 @@ class _Bytes(_Encoder):
             return b""
         if NOT_SPACE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
+        if BYTE_PLAIN.fullmatch(text):
+            return b"".join(map(self.runs, BYTE_RUNS.findall(text)))
         if SPACES.search(text):  # a unit that starts within a run of white space would cut it: units start before the run
             return b"".join(map(self.piece, BEFORE_SPACES.split(text)))
         first, *rest = text.split(" ")
