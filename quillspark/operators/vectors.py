@@ -1,8 +1,8 @@
 """Vectors and retrieval: embedding, filtered exact cosine top-k, approximate top-k, prompt context.
 
-Exact top-k never materialises query x corpus pairs in a shuffle: shards of the corpus meet blocks of
-queries, each meeting is one matrix product that keeps only k rows per query, and a final window
-merges the shards' candidates.
+Exact top-k never materialises query x corpus pairs. A few queries, up to a checked number, are shipped to where the corpus lies:
+a task keeps k rows per query, and a final window merges the tasks' answers. Many queries search the cells of an index
+(``cells``), and only those cells that can hold an answer.
 """
 
 from __future__ import annotations
@@ -17,12 +17,19 @@ from pyspark.sql import types as T
 
 from quillspark.config import TOP_K
 from quillspark.functions.exprs import py_float_text
+from quillspark.operators import cells
+from quillspark.session import materialize
 
 HASH_DIMS = 64
 TOKEN_PATTERN = "[a-z0-9]+"
-# Rows of a shard of the corpus and queries of a block: one matrix product each.
-SHARD_ROWS = 16_384
-QUERY_ROWS = 1024
+# Queries that are shipped to every task of a scan (a matrix of so many vectors); more search by cells.
+FEW_QUERIES = 1024
+# Rows that one matrix product of a scan takes.
+SCAN_ROWS = 16_384
+# Approximate search: wanted recall, rows that it is measured on, codes that are ranked again per answer.
+RECALL = 0.98
+MEASURED_ROWS = 200
+OVERSAMPLE = 4
 # Fixed value: the answer when nothing is found.
 NO_CONTEXT = "No relevant information found in the knowledge base."
 
@@ -99,49 +106,29 @@ def _columns(names: str | Sequence[str] | None) -> list[str]:
     return [] if names is None else [names] if isinstance(names, str) else list(names)
 
 
-def _unit(vectors: pd.Series, packed: str | None) -> np.ndarray:
-    """Unit vectors of a column of arrays, or of packed numbers of a type; the zero vector stays zero."""
-    x = np.vstack([np.asarray(v, dtype=np.float64) if packed is None else np.frombuffer(v, packed).astype(np.float64) for v in vectors])
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-
-
-def _nearest(corpus: DataFrame, queries: DataFrame, k: int, vec, *, corpus_id: str, corpus_vec: str, query_id: str, query_vec: str,
-             filters: Sequence[tuple[str, str]], shard_rows: int, query_rows: int) -> DataFrame:
-    """(query_id, <corpus_id>, similarity, rank 1..k): shards of corpus rows meet blocks of queries, both of bounded
-    size; each (shard, block) group is one matrix product of the unit vectors that ``vec`` makes of a column and
-    keeps k rows per query; Spark's row_number filter cuts the shards' answers again before the merge."""
-    shards = max(1, -(-corpus.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // query_rows))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
-    left = corpus.select(F.col(corpus_id).alias("__id"), F.col(corpus_vec).alias("__vec"), *[F.col(c).alias(f"__f{i}") for i, (c, _) in enumerate(filters)],
-                         dealt(corpus_id, shards).alias("__shard"), each(blocks).alias("__block"))
-    right = queries.select(F.col(query_id).alias("__id"), F.col(query_vec).alias("__vec"), *[F.col(q).alias(f"__f{i}") for i, (_, q) in enumerate(filters)],
-                           dealt(query_id, blocks).alias("__block"), each(shards).alias("__shard"))
-    schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType),
-                           T.StructField(corpus_id, corpus.schema[corpus_id].dataType), T.StructField("similarity", T.DoubleType())])
-    n_filters = len(filters)
-
-    def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], corpus_id: [], "similarity": []})
-        if not len(rows) or not len(asked):
-            return none
-        sims = np.round(1.0 - (1.0 - _unit(asked["__vec"], None) @ _unit(rows["__vec"], vec).T), 4)  # 1 - distance, 4 decimals
-        cid, parts = rows["__id"].to_numpy(), []
-        for at, q in enumerate(asked.itertuples(index=False)):
-            mask = np.ones(len(rows), bool)
-            for i in range(n_filters):
-                if not pd.isna(q[2 + i]):
-                    mask &= rows[f"__f{i}"].to_numpy() == q[2 + i]
-            idx = np.flatnonzero(mask)
-            order = idx[np.lexsort((cid[idx], -sims[at, idx]))[:k]]  # best by (similarity desc, id asc)
-            parts.append(pd.DataFrame({"query_id": q[0], corpus_id: cid[order], "similarity": sims[at, order]}))
-        return pd.concat([p for p in parts if len(p)] or [none], ignore_index=True)
-
-    key = ["__shard", "__block"]
-    cand = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(score, schema)
-    return _ranked(cand, corpus_id, k)
+def _scan(corpus: DataFrame, asked: pd.DataFrame, k: int, *, corpus_id: str, corpus_vec: str, filters: Sequence[tuple[str, str]],
+          query_type: T.DataType) -> DataFrame:
+    """Candidates (query_id, <corpus_id>, similarity) from one pass over the corpus, without a shuffle of it: a task holds the
+    queries ``asked`` (query_id, q, filters) and its k best rows of each so far."""
+    shipped = corpus.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), cells.unit(cells.matrix(asked["q"])), [asked[q] for _, q in filters]))
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField(corpus_id, corpus.schema[corpus_id].dataType), T.StructField("similarity", T.DoubleType())])
+    names = [c for c, _ in filters]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qid, q, q_filters = shipped.value
+        best = None
+        for pdf in batches:
+            for at in range(0, len(pdf), SCAN_ROWS):
+                part = pdf.iloc[at : at + SCAN_ROWS]
+                i, r, s = cells.best_rows(qid, q, q_filters, part["__id"].to_numpy(), cells.unit(cells.matrix(part["__vec"])), [part[f"__f{n}"] for n in range(len(names))], k)
+                found = pd.DataFrame({"query_id": i, corpus_id: r, "similarity": s})
+                best = found if best is None else pd.concat([best, found], ignore_index=True)
+                best = best.sort_values(["query_id", "similarity", corpus_id], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+        if best is not None:
+            yield best
+
+    rows = corpus.select(F.col(corpus_id).alias("__id"), F.col(corpus_vec).alias("__vec"), *[F.col(c).alias(f"__f{n}") for n, c in enumerate(names)])
+    return rows.mapInPandas(run, schema)
 
 
 def _ranked(scored: DataFrame, corpus_id: str, k: int) -> DataFrame:
@@ -152,42 +139,57 @@ def _ranked(scored: DataFrame, corpus_id: str, k: int) -> DataFrame:
 
 def knn_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, corpus_id: str, corpus_vec: str = "embedding",
              query_id: str = "query_id", query_vec: str = "query_vec", corpus_filter: str | Sequence[str] | None = None,
-             query_filter: str | Sequence[str] | None = None, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+             query_filter: str | Sequence[str] | None = None, few: int = FEW_QUERIES, shard_rows: int = cells.SHARD_ROWS,
+             query_rows: int = cells.QUERY_ROWS) -> DataFrame:
     """Top-k corpus rows per query by cosine similarity, optionally restricted to corpus rows whose
     ``corpus_filter`` columns equal the query's ``query_filter`` ones (null = no restriction; pre-filter).
 
     Result: (query_id, <corpus_id>, similarity = round(1 - cosine distance, 4), rank 1..k); ties by
-    similarity then id. Neither side has a limit or passes through the driver.
+    similarity then id. Up to ``few`` queries the corpus is scanned where it lies; beyond, it is indexed by cells, which are searched
+    as far as their bounds allow. Both give the same rows, and neither side has a limit.
     """
-    return _nearest(corpus, queries, k, None, corpus_id=corpus_id, corpus_vec=corpus_vec, query_id=query_id, query_vec=query_vec,
-                    filters=list(zip(_columns(corpus_filter), _columns(query_filter))), shard_rows=shard_rows, query_rows=query_rows)
-
-
-# --- approximate top-k (scalar-quantised codes + exact re-rank) -------------------------------------
-def quantised(corpus: DataFrame, corpus_id: str, corpus_vec: str) -> DataFrame:
-    """The index: (<corpus_id>, code), a byte per component of the unit vector (scaled by its largest one). Write
-    it once to search it often; it is an eighth of double vectors."""
-
-    @F.pandas_udf(T.BinaryType())
-    def code(vectors: pd.Series) -> pd.Series:
-        x = _unit(vectors, None) if len(vectors) else np.zeros((0, 1))
-        top = np.abs(x).max(axis=1, keepdims=True)
-        return pd.Series([row.tobytes() for row in np.rint(np.divide(x, top, out=np.zeros_like(x), where=top > 0) * 127).astype(np.int8)])
+    have, want = _columns(corpus_filter), _columns(query_filter)
+    first = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("q"), *want).limit(few + 1).toPandas()
+    if len(first) <= few:
+        found = _scan(corpus, first, k, corpus_id=corpus_id, corpus_vec=corpus_vec, filters=list(zip(have, want)), query_type=queries.schema[query_id].dataType)
+    else:
+        index = cells.build_cells(corpus, corpus_id, corpus_vec, have)
+        found, _ = cells.exact_topk(index, queries, k, query_id, query_vec, have, want, shard_rows, query_rows)
+    return _ranked(found, corpus_id, k)
+
+
+# --- approximate top-k (inverted file of quantised codes + exact re-rank) ----------------------------
+def measured_probes(index: cells.Cells, k: int = TOP_K, recall: float = RECALL, rows: int = MEASURED_ROWS) -> int:
+    """Nearest cells to search for the wanted recall, measured with ``rows`` rows of the index as queries against the exact answer."""
+    sample = materialize(index.rows.where(F.col("cell") != cells.NO_CELL).orderBy(F.xxhash64(F.col(index.id_col), F.lit("probe"))).limit(rows)
+                         .select(F.col(index.id_col).alias("query_id"), F.col("vec").alias("q")))
+    asked = sample.toPandas()
+    corpus = index.rows.select(index.id_col, "vec")
+    unpacked = asked.assign(q=[np.frombuffer(v, "<f8") for v in asked["q"]])
+    found = _scan(corpus.withColumn("v", _unpack("vec")), unpacked, k, corpus_id=index.id_col, corpus_vec="v", filters=[], query_type=sample.schema["query_id"].dataType)
+    return cells.probes_for(index, sample, _ranked(found, index.id_col, k).select("query_id", index.id_col), recall)
+
+
+def _unpack(c: str) -> Column:
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def unpack(v: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(b, "<f8") for b in v], dtype=object)
 
-    return corpus.select(corpus_id, code(F.col(corpus_vec)).alias("code"))
+    return unpack(F.col(c))
 
 
 def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, *, corpus_id: str, corpus_vec: str = "embedding",
-             query_id: str = "query_id", query_vec: str = "query_vec", index: DataFrame | None = None, oversample: int = 4,
-             shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """Approximate top-k: the ``oversample`` x k best rows of each query by quantised codes, then exact cosine on the
-    original vectors of those rows alone. The scan moves a byte per component, and the join with the
-    vectors has ``oversample`` x k rows per query whatever the size of the corpus."""
-    index = index if index is not None else quantised(corpus, corpus_id, corpus_vec)
-    near = _nearest(index, queries, oversample * k, "int8", corpus_id=corpus_id, corpus_vec="code", query_id=query_id,
-                    query_vec=query_vec, filters=(), shard_rows=shard_rows, query_rows=query_rows).select("query_id", corpus_id)
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("__q"))
-    pairs = near.join(corpus.select(corpus_id, F.col(corpus_vec).alias("__v")), corpus_id).join(asked, "query_id")
+             query_id: str = "query_id", query_vec: str = "query_vec", index: cells.Cells | None = None, probes: int | None = None,
+             oversample: int = OVERSAMPLE) -> DataFrame:
+    """Approximate top-k by an inverted file: the nearest ``probes`` cells of every query, as many as the measured recall asks
+    for, are compared by codes of a byte per component; the ``oversample`` x k best ones again by exact cosine. Only codes of
+    probed cells are moved. Where neighbours do not lie in cells, as in noise, the measured number is large, up to all cells."""
+    index = index if index is not None else cells.build_cells(corpus, corpus_id, corpus_vec)
+    probes = probes or measured_probes(index, k)
+    asked = materialize(cells._asked(queries, query_id, query_vec, ()))
+    near, _ = cells.search(index, materialize(cells.wanted_cells(index, asked, probes)), oversample * k, vec="code")
+    near = _ranked(near, corpus_id, oversample * k).select("query_id", corpus_id)
+    pairs = near.join(index.rows.select(corpus_id, _unpack("vec").alias("__v")), corpus_id).join(asked.select("query_id", _unpack("q").alias("__q")), "query_id")
     exact = F.coalesce(F.round(1.0 - (1.0 - cosine(F.col("__q"), F.col("__v"))), 4), F.lit(0.0))
     return _ranked(pairs.select("query_id", corpus_id, exact.alias("similarity")), corpus_id, k)
 

@@ -246,6 +246,30 @@ def q_ann_topk(spark, sf_dir):
     return vec_ops.ann_topk(emb, label_centroids(emb), corpus_id="vec_id")
 
 
+def _own_queries(emb):
+    """Every tenth vector of the table as a query, restricted to its own label where its id is even."""
+    return emb.where("vec_id % 10 = 0").selectExpr("vec_id query_id", "embedding query_vec", "if(vec_id % 20 = 0, label, null) query_label")
+
+
+@query("knn_cells")
+def q_knn_cells(spark, sf_dir):
+    """Exact filtered top-k through the cells of an index, as it runs when queries are too many to ship."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    return vec_ops.knn_topk(emb, _own_queries(emb), corpus_id="vec_id", corpus_filter="label", query_filter="query_label", few=0)
+
+
+@query("ann_recall")
+def q_ann_recall(spark, sf_dir):
+    """The approximate search held against the exact one, over every tenth vector: queries, answers, and whether the recall is 0.95."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    queries = _own_queries(emb)
+    exact = vec_ops.knn_topk(emb, queries, corpus_id="vec_id").select("query_id", "vec_id")
+    approx = vec_ops.ann_topk(emb, queries, corpus_id="vec_id").select("query_id", "vec_id", F.lit(1).alias("found"))
+    both = exact.join(approx, ["query_id", "vec_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("answers"),
+                    (F.count("found") >= 0.95 * F.count("*")).alias("recall_ok"))
+
+
 # The demo questions of the retrieval chain and their metadata filters (fixed values).
 DEMO_QUESTIONS = (
     (1, "Which vendors have the highest overdue rates?", "vendor_summary"),

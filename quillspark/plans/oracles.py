@@ -505,6 +505,15 @@ oracle("knn_filtered", knn_sql(True))
 # the approximate search is held against the exact answer
 oracle("ann_topk", knn_sql(False))
 
+oracle("knn_cells", """with v as (select vec_id, label, cast(embedding as double[]) e from embeddings),
+q as (select * from v where vec_id % 10 = 0),
+pairs as (select q.vec_id query_id, v.vec_id, round(1.0 - (1.0 - list_dot_product(v.e, q.e)
+  / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e)))), 4) similarity
+ from v join q on q.vec_id % 20 <> 0 or v.label = q.label)
+select query_id, vec_id, similarity, cast(rank as int) rank from (
+ select *, row_number() over (partition by query_id order by similarity desc, vec_id) rank from pairs) where rank <= 5""")
+oracle("ann_recall", """select count(*) queries, 5 * count(*) answers, true recall_ok from embeddings where vec_id % 10 = 0""")
+
 QUESTIONS = """questions(query_id, question, doc_type) as (values
  (1, 'Which vendors have the highest overdue rates?', 'vendor_summary'),
  (2, 'What invoices are flagged as critical risk?', 'anomaly_alert'),
