@@ -8,9 +8,9 @@ buffer of one final task: unbounded at scale. Here:
 2. one pass combines band rows per distinct value, and the rows below and above each band under a
    single key each (map-side partial aggregation, so ties, hot values and the rest all collapse before
    the shuffle); few rows or many take the same path;
-3. the band's distinct values (at most ~6 n / accuracy per percentile) are ranked with a
-   running sum to find the two order statistics around the virtual index, which are
-   interpolated exactly as numpy does.
+3. the band's distinct values (at most ~6 n / accuracy per percentile) are dealt by ranges of (group, percentile, value), about
+   ``range_values`` to a task; the ranges' counts are added up in order (a row per range), and only the ranges that hold one
+   of the two order statistics around the virtual index are ranked. These are interpolated exactly as numpy does.
 
 Ungrouped, the sketch bounds are a one-row result attached as literals (``with_scalars``);
 grouped (``by``), they are joined on the group keys. The result is a
@@ -25,8 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.exprs import with_scalars
+from quillspark.session import materialize
 
 DEFAULT_ACCURACY = 100_000
+#: Distinct values of the bands that a range aims at: no task ranks more than a small multiple of it.
+RANGE_VALUES = 500_000
 
 
 def numpy_lerp(a: Column, b: Column, t: Column) -> Column:
@@ -46,8 +49,19 @@ def _attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     return with_scalars(df, small) if not by else df.join(small, list(by))
 
 
+def value_ranges(members: DataFrame, by: Sequence[str], range_values: int) -> DataFrame:
+    """``members`` with ``__part``: a number of ranges in the order of (group, percentile, class, value). A single range where
+    the members are few; written otherwise, since the bounds of ranges are drawn anew each time that they are computed."""
+    members = materialize(members)
+    parts = -(-members.count() // range_values)
+    if parts <= 1:
+        return members.withColumn("__part", F.lit(0))
+    dealt = members.repartitionByRange(int(parts), *by, "__pid", "__cls", "__key")
+    return materialize(dealt.withColumn("__part", F.spark_partition_id()))
+
+
 def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[str] | None = None,
-                      accuracy: int = DEFAULT_ACCURACY, by: Sequence[str] = ()) -> DataFrame:
+                      accuracy: int = DEFAULT_ACCURACY, by: Sequence[str] = (), range_values: int = RANGE_VALUES) -> DataFrame:
     """One row (per group of ``by``) with one double column per probability (``names`` or ``p0, p1, ...``)."""
     names = list(names or [f"p{i}" for i in range(len(probs))])
     by = list(by)
@@ -77,17 +91,25 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float], names: Se
                .groupBy(*by, "__n", F.col("__e.pid").alias("__pid"), F.col("__e.cls").alias("__cls"), F.col("__e.key").alias("__key"))
                .agg(F.count(F.lit(1)).alias("__c"), F.min("__x").alias("__min"), F.max("__x").alias("__max")))
 
-    order = Window.partitionBy(*by, "__pid").orderBy("__cls", "__key")
-    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = value_ranges(members, by, range_values)
+    group = [*by, "__pid"]
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy(*group, "__part", "__n").agg(F.sum("__c").alias("__tot"))
     q_p = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("__pid"))
     vidx = virtual_index(F.col("__n"), q_p)
     j0 = F.floor(vidx)
     j1 = F.least(j0 + 1, F.col("__n") - 1)
+    totals = totals.select(*group, "__part", "__tot", F.coalesce(F.sum("__tot").over(before), F.lit(0)).alias("__before"),
+                           j0.alias("__j0"), j1.alias("__j1"), (vidx - j0).alias("__t"))
+    holds = lambda j: (F.col("__before") <= F.col(j)) & (F.col(j) < F.col("__before") + F.col("__tot"))
+    chosen = totals.where(holds("__j0") | holds("__j1")).drop("__tot")  # at most two ranges per group and percentile
+
+    w = Window.partitionBy(*group, "__part").orderBy("__cls", "__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = F.when(F.col("__cls") == 0, F.col("__max")).otherwise(F.col("__min"))
-    ranked = members.select(*by, "__pid", "__cls", edge.alias("__x"), F.sum("__c").over(w).alias("__upto"),
-                            j0.alias("__j0"), j1.alias("__j1"), (vidx - j0).alias("__t"))
+    ranked = ranges.drop("__n").join(chosen, [*group, "__part"]).select(*group, edge.alias("__x"), (F.sum("__c").over(w) + F.col("__before")).alias("__upto"),
+                                                                    "__j0", "__j1", "__t")
     at = lambda j: F.min_by("__x", F.when(F.col("__upto") > F.col(j), F.col("__upto")))
-    picked = ranked.groupBy(*by, "__pid").agg(at("__j0").alias("__a"), at("__j1").alias("__b"), F.first("__t").alias("__t"))
+    picked = ranked.groupBy(*group).agg(at("__j0").alias("__a"), at("__j1").alias("__b"), F.first("__t").alias("__t"))
     value = numpy_lerp(F.col("__a"), F.col("__b"), F.col("__t"))
     # pivot the (pid, value) rows into one row per group; m rows per group only
     return picked.groupBy(*by).agg(*[F.max(F.when(F.col("__pid") == i, value)).alias(nm) for i, nm in enumerate(names)])

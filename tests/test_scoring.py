@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.config import RunConfig
-from quillspark.functions.quantiles import exact_percentiles
+from quillspark.functions.quantiles import exact_percentiles, value_ranges
 from quillspark.operators import documents, iforest, risk, vectors
 from quillspark.plans.catalog import L
 from quillspark.session import materialize, scratch_path
@@ -27,6 +27,26 @@ def test_exact_percentiles_equal_numpy_on_both_paths(spark, accuracy):
     assert got == [float(v) for v in np.percentile(vals, [p * 100 for p in probs])]
 
 
+def test_percentiles_of_ten_million_distinct_values_in_ranges(spark):
+    """With a coarse sketch nearly all values are in the bands: they are ranked range by range, none of which is large."""
+    n = 10_000_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("x"))
+    got = exact_percentiles(df, "x", [0.05, 0.5], accuracy=20, range_values=2_000_000).first()
+    assert list(got) == [0.05 * (n - 1), 0.5 * (n - 1)]
+    members = df.select(F.lit(0).alias("__pid"), F.lit(1).alias("__cls"), F.col("x").alias("__key")).limit(1_000_000)
+    sizes = [r["count"] for r in value_ranges(members, [], 100_000).groupBy("__part").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 300_000
+
+
+def test_ranges_give_the_same_percentiles(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, float(v)) for g in (1, 2, None) for v in np.r_[rng.normal(size=900), np.zeros(300)]]
+    df = spark.createDataFrame(rows, "g int, x double").where("g is not null")
+    one = sorted(map(tuple, exact_percentiles(df, "x", [0.0, 0.1, 0.5, 1.0], accuracy=30, by=["g"]).collect()))
+    for values in (1, 7, 150):
+        assert sorted(map(tuple, exact_percentiles(df, "x", [0.0, 0.1, 0.5, 1.0], accuracy=30, by=["g"], range_values=values).collect())) == one
+
+
 def test_grouped_percentiles(spark):
     rng = np.random.default_rng(5)
     rows = [(g, float(v)) for g in range(3) for v in rng.normal(g, 1, 700)]
