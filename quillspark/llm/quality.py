@@ -127,15 +127,16 @@ def score_texts(texts: list[str | None], model: dict | None, classes: np.ndarray
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(terms, counts, quality) of up to ``per_class`` labelled documents of each class that are not held
-    out, in the order of a hash of the text; copies count once. Chosen labels are few and are broadcast, so
-    the texts are not shuffled; terms are made in tasks, the driver gets at most 3 x 2 x ``per_class`` bags."""
+    """(terms, counts, quality) of ``per_class`` different labelled texts of each class that are not held out, all if there are
+    fewer, in the order of a hash of the text: labels of absent or empty documents and copies take no place.
+
+    Hashes of the texts meet the labels; the smallest ones of each class, at most ``per_class``, are broadcast to pick
+    their texts, so no text is shuffled. Terms are made in tasks, the driver gets 2 x ``per_class`` bags."""
     usable = labels.where("quality in (0, 1)").where(~held_out(labels)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
-    sizes = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
-    if not sizes:
-        return []
-    share = F.create_map(*[F.lit(x) for q, n in sizes.items() for x in (q, min(1.0, 3 * per_class / n))])
-    chosen = usable.where((F.xxhash64("doc_id", F.lit("sample")) / 2.0**64 + 0.5) < share[F.col("quality")])
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).where("length(text) > 0")
+    met = texts.select("doc_id", "h").join(usable, "doc_id").select("h", "quality").distinct()
+    order = [F.xxhash64("h", F.lit("sample")), "h"]
+    chosen = met.where("quality = 0").orderBy(*order).limit(per_class).unionAll(met.where("quality = 1").orderBy(*order).limit(per_class))
 
     def bags(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = class_table()
@@ -143,13 +144,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
             both = [terms(t, classes) for t in part["text"]]
             yield pd.DataFrame({"h": part["h"], "quality": part["quality"], "t": [b[0] for b in both], "c": [b[1] for b in both]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("length(text) > 0")
-    rows = rows.select("text", "quality", F.xxhash64("text").alias("h")).mapInPandas(bags, "h long, quality int, t array<long>, c array<long>")
-    found: dict[int, list] = {}
-    for r in sorted(rows.dropDuplicates(["h", "quality"]).collect(), key=lambda r: (r["h"], r["quality"])):
-        if len(of := found.setdefault(r["quality"], [])) < per_class:
-            of.append((np.array(r["t"], np.int64), np.array(r["c"], np.int64), r["quality"]))
-    return [s for q in sorted(found) for s in found[q]]
+    rows = texts.select("text", "h").join(F.broadcast(chosen), "h").groupBy("h", "quality").agg(F.first("text").alias("text"))
+    found = rows.mapInPandas(bags, "h long, quality int, t array<long>, c array<long>").collect()
+    return [(np.array(r["t"], np.int64), np.array(r["c"], np.int64), r["quality"]) for r in sorted(found, key=lambda r: (r["quality"], r["h"]))]
 
 
 def held_out(df: DataFrame):

@@ -70,6 +70,18 @@ def test_filter_keeps_rows_whole(spark):
     assert not {5, 6} & set(ids) and ids.count(1) == 2
 
 
+def test_foreign_labels_copies_and_empty_texts_take_no_place_in_the_sample(spark):
+    docs, labels = corpus(spark, 300)
+    alone = quality.labelled_sample(docs, labels, 50)
+    assert [q for _, _, q in alone] == [0] * 50 + [1] * 50
+    foreign = spark.range(10_000, 3_010_000).selectExpr("id doc_id", "cast(id % 2 as int) quality")
+    more = spark.range(20_000, 24_000).selectExpr("id doc_id", "if(id % 2 = 0, 'the same text', '') text")
+    full = quality.labelled_sample(docs.union(more), labels.union(foreign), 50)
+    assert [q for _, _, q in full] == [0] * 50 + [1] * 50
+    bag = lambda s: (s[2], tuple(s[0]), tuple(s[1]))
+    assert len(set(map(bag, full)) - set(map(bag, quality.labelled_sample(docs, labels, 300)))) <= 2  # the one text that was added
+
+
 def test_nothing_to_learn_from(spark):
     docs, labels = corpus(spark, 20)
     assert quality.quality_scores(no_docs(spark), labels).collect() == []
