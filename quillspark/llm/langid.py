@@ -32,13 +32,18 @@ BLOCK = 4096
 SHARPNESS = 0.25
 UNKNOWN = "und"
 GAP, OTHER = 0, 1  # classes of characters: not a letter, a letter that no sample has
+#: Letters of the samples with a class of their own. Further ones are spelled by their rank with three digits of this base, each
+#: digit in classes of its own, so that letters of large scripts stay apart in an alphabet of at most 250 classes.
+COMMON, BASE, DIGITS = 92, 52, 3
+SPELLED = 255
 
 
 @dataclass
 class Model:
     languages: list[str]
     bits: list[float]  # of a phrase
-    classes: np.ndarray  # code point -> class
+    classes: np.ndarray  # code point -> class, or SPELLED
+    ranks: np.ndarray | None  # code point -> rank of a spelled letter; None if there are none
     width: int
     tables: list[np.ndarray]  # state * width + class -> 2 * next state + (1 if a phrase ends before it)
 
@@ -87,30 +92,42 @@ def parse_table(symbols: list[int], width: int) -> np.ndarray:
     return table.astype(np.int32).ravel()
 
 
-def classify(text: str, classes: np.ndarray) -> np.ndarray:
+def classify(text: str, classes: np.ndarray, ranks: np.ndarray | None) -> np.ndarray:
     """Classes of the lower-cased characters; a run of characters that are no letters is one gap."""
-    c = classes[np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)]
+    points = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
+    c = classes[points]
+    if ranks is not None and (spelled := c == SPELLED).any():
+        rank = np.repeat(ranks[points], np.where(spelled, DIGITS, 1))
+        c = np.repeat(c, np.where(spelled, DIGITS, 1))
+        at = np.flatnonzero(c == SPELLED).reshape(-1, DIGITS)
+        for d in range(DIGITS):
+            c[at[:, d]] = OTHER + 1 + COMMON + d * BASE + rank[at[:, d]] // BASE ** (DIGITS - 1 - d) % BASE
     return c[np.r_[True, (c[1:] != GAP) | (c[:-1] != GAP)]] if len(c) else c
 
 
-def letter_classes(samples: list[str]) -> tuple[np.ndarray, int]:
-    """Class of each code point and the number of classes: gap, unknown letter, and one for each of the 250
-    most frequent letters of the samples (a class is one byte; rarer letters count as unknown)."""
+def letter_classes(samples: list[str]) -> tuple[np.ndarray, np.ndarray | None, int]:
+    """Class of each code point, ranks of the spelled letters, and the number of classes: gap, unknown letter, one for each of the
+    most frequent letters of the samples, and the digits of the others if there are any."""
     counts = Counter(c for s in samples for c in s.lower() if c.isalpha())
-    seen = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:250]]
+    seen = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
     classes = np.zeros(0x110000, dtype=np.uint8)
     classes[[i for i in range(0x110000) if chr(i).isalpha()]] = OTHER
-    for k, c in enumerate(seen):
+    for k, c in enumerate(seen[:COMMON]):
         classes[ord(c)] = OTHER + 1 + k
-    return classes, OTHER + 1 + len(seen)
+    if len(seen) <= COMMON:
+        return classes, None, OTHER + 1 + len(seen)
+    ranks = np.zeros(0x110000, dtype=np.int32)
+    for k, c in enumerate(seen[COMMON : COMMON + BASE**DIGITS]):  # more than Unicode has letters
+        classes[ord(c)], ranks[ord(c)] = SPELLED, k
+    return classes, ranks, OTHER + 1 + COMMON + BASE * DIGITS
 
 
 def fit(samples: dict[str, list[str]]) -> Model:
     """Model of the sample texts of each language; a language without any letter is left out."""
-    classes, width = letter_classes([t for texts in samples.values() for t in texts])
-    model = Model([], [], classes, width, [])
+    classes, ranks, width = letter_classes([t for texts in samples.values() for t in texts])
+    model = Model([], [], classes, ranks, width, [])
     for lang in sorted(samples):
-        symbols = classify(" ".join(samples[lang]), classes)
+        symbols = classify(" ".join(samples[lang]), classes, ranks)
         if (symbols != GAP).any():
             model.languages.append(lang)
             model.bits.append(float(np.log2(len(symbols) + 1)))
@@ -137,7 +154,7 @@ def phrase_counts(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
 
 def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], list[float], list[float]]:
     """Language, score in 0..1 and bits per character of the best language, for whole texts."""
-    symbols = [classify(t or "", model.classes) for t in texts]
+    symbols = [classify(t or "", model.classes, model.ranks) for t in texts]
     letters = np.array([(s != GAP).any() for s in symbols], dtype=bool)
     size = np.array([len(s) for s in symbols], dtype=np.int64)
     if not model.languages or not letters.any():

@@ -92,3 +92,25 @@ def test_copies_and_long_texts_do_not_empty_the_sample(spark):
     got = langid.sample_texts(spark.createDataFrame(rows, "lang string, text string"), 4000, 3000)
     assert {lang: sum(map(len, texts)) for lang, texts in got.items()} == {"aa": 2000, "bb": 2000}
     assert len(set(got["aa"])) == len(got["aa"]) > 10
+
+
+def test_languages_of_large_scripts_stay_apart():
+    """Two languages over disjoint halves of 3,000 ideographs, and a Latin one: no letter is lost to a cap on classes."""
+    rng = random.Random(6)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    write = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    samples = {"a": [write(han[:1500], 6000)], "b": [write(han[1500:], 6000)], "en": [prose(1, 2000)]}
+    model = langid.fit(samples)
+    assert model.width <= 250 and model.ranks is not None
+    texts = [write(han[:1500], 60) for _ in range(20)] + [write(han[1500:], 60) for _ in range(20)] + [prose(i, 20) for i in range(20)]
+    langs, scores, _ = langid.score_texts(texts, model)
+    assert langs == ["a"] * 20 + ["b"] * 20 + ["en"] * 20 and min(scores) > 0.5
+
+
+def test_spelled_letters_are_distinct():
+    letters = [chr(i) for i in range(0x4E00, 0x4E00 + 5000)] + list("abc")
+    classes, ranks, width = langid.letter_classes(["".join(letters)])
+    spelled = {tuple(langid.classify(c, classes, ranks)) for c in letters}
+    assert len(spelled) == len(letters) and max(max(s) for s in spelled) < width <= 250
+    assert langid.classify("a" + letters[4000] + "  b", classes, ranks).tolist() == [
+        *langid.classify("a", classes, ranks), *langid.classify(letters[4000], classes, ranks), langid.GAP, *langid.classify("b", classes, ranks)]
