@@ -1,15 +1,14 @@
 """Language-model scores from a log-frequency Bloom filter, beside exact unigram scores.
 
-One pass over the corpus hashes every word. Each batch of documents sends to each bucket of the hash space two
-packed rows: its distinct words and its distinct bigrams, each once with its count, however many of the documents
-hold it. A bucket then knows the exact corpus counts of its words, returns them to each batch, and packs all its words and
+One pass over the corpus hashes every word and writes a token row per batch of documents: its distinct words and the places
+of its tokens among them. From these rows each batch sends to each bucket of the hash space two packed rows: its distinct
+words and its distinct bigrams, each once with its count, however many of the documents hold it. A bucket then knows the exact corpus counts of its words, returns them to each batch, and packs all its words and
 bigrams into its segment of the filter: a key of count c enters once for every level up to
 log(c), so the number of levels that test positive gives back the count, and an overestimate needs one false
 positive more for every level.
 
 A segment has the size that its keys ask for, so the filter grows with the corpus without bound. It never leaves
-its bucket: the keys of a batch meet it there and go back as levels, one byte each, to the batch, which has kept
-its tokens in order. Corpus counts, vocabulary and sums cover all training documents.
+its bucket: the keys of a batch meet it there and go back as levels, one byte each, to the token row of the batch. Corpus counts, vocabulary and sums cover all training documents.
 """
 
 from __future__ import annotations
@@ -45,7 +44,9 @@ END_OF_TEXT = xxhash.xxh64_intdigest(b"\n")  # no word holds white space
 
 LOW = np.uint64((1 << 48) - 1)
 MASK32 = np.uint64(0xFFFFFFFF)
-PACKED = "bucket int, kind string, batch long, a binary, b binary, c binary"
+#: Token rows: ids, flags and numbers of tokens of the documents; distinct hashes, frequent ones first; places of the tokens.
+TOKENS = "batch long, ids binary, flags binary, sizes binary, own binary, places binary"
+PACKED = "bucket int, kind string, batch long, a binary, b binary"
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -107,19 +108,8 @@ def segment_size(counts: np.ndarray, least: int) -> int:
 
 
 def fill_segment(words: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, size: int) -> bytes:
-    """Bits of one bucket's segment of ``size`` bytes.
-
-    Counts from 1 enter. In a smaller segment than ``segment_size`` asks for, the least count rises until the
-    keys have BITS_PER_KEY bits each, so that the error rate stays as it is.
-    """
-    least = 1
-    while True:
-        w, p = word_counts >= least, pair_counts >= least
-        keys = np.concatenate([words[w], pairs[p]])
-        level = levels(np.concatenate([word_counts[w], pair_counts[p]]))
-        if level.sum() * BITS_PER_KEY <= 8 * size or not len(keys):
-            break
-        least += 1
+    """Bits of one bucket's segment of ``size`` bytes, with every key of a count of at least 1."""
+    keys, level = np.concatenate([words, pairs]), levels(np.concatenate([word_counts, pair_counts]))
     bits = np.zeros(8 * size, dtype=np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
         some = keys[level >= j]
@@ -168,35 +158,48 @@ def unpack_order(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _pack(bits: int):
-    """Per Arrow batch: rows of kind d (documents), t (tokens in order), w (distinct words) and g (distinct bigrams), these
-    two by bucket and with their counts in training documents."""
-    shift, keep = np.uint64(64 - bits), kept_bits(bits)
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A token row (``TOKENS``) per Arrow batch of (doc_id, text, held)."""
+    for number, batch in enumerate(batches):
+        name = (TaskContext.get().partitionId() << 32) | number
+        ids, held = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+        hashed = [word_hashes(text) for text in batch.column(1).to_pylist()]
+        own, order, often = np.unique(np.concatenate(hashed), return_inverse=True, return_counts=True)
+        by = np.argsort(-often, kind="stable")  # small places for frequent words compress better
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        flags = (held * 1 + ids.is_null().to_numpy(zero_copy_only=False) * 2).astype("u1")
+        row = {"batch": name, "ids": ids.fill_null(0).to_numpy().astype("<i8").tobytes(), "flags": flags.tobytes(),
+               "sizes": np.array([len(h) for h in hashed], "<i8").tobytes(), "own": own[by].astype("<u8").tobytes(), "places": pack_order(rank[order])}
+        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("batch", pa.int64()), *[(c, pa.binary()) for c in ("ids", "flags", "sizes", "own", "places")]]))
+
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
-            name = (TaskContext.get().partitionId() << 32) | number
-            ids, held = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            hashed = [word_hashes(text) for text in batch.column(1).to_pylist()]
-            tokens, train = np.array([len(h) for h in hashed], "<i8"), ~held.astype(bool)
-            own, order, often = np.unique(np.concatenate(hashed), return_inverse=True, return_counts=True)
-            by = np.argsort(-often, kind="stable")  # small places for frequent words compress better
-            rank = np.empty(len(by), np.int64)
-            rank[by] = np.arange(len(by))
-            rows = [(name % (1 << bits), "d", name, ids.fill_null(0).to_numpy().astype("<i8").tobytes(),
-                     (held * 1 + ids.is_null().to_numpy(zero_copy_only=False) * 2).astype("u1").tobytes(), tokens.tobytes()),
-                    (name % (1 << bits), "t", name, own[by].astype("<u8").tobytes(), pack_order(rank[order]), None)]
-            word, to = np.unique(own & keep, return_inverse=True)
-            pair, place = np.unique(np.concatenate([bigram_hashes(h) for h in hashed]) & keep, return_inverse=True)
-            for kind, key, at_key, n in (("w", word, to[order], tokens), ("g", pair, place, tokens - 1)):
-                count = np.bincount(at_key, np.repeat(train, n), len(key)).astype("<u4")
-                for bucket, at in _by_bucket(key, shift):
-                    rows.append((bucket, kind, name, pack6(key[at]), count[at].tobytes(), None))
-            cols = list(zip(*rows))
-            kinds = (pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["bucket", "kind", "batch", "a", "b", "c"])
-
-    return pack
+def _token_row(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Flags, numbers of tokens, distinct hashes and places of the tokens of a token row."""
+    return np.frombuffer(row["flags"], "u1"), np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["own"], "<u8"), unpack_order(row["places"])
+
+
+def _keys(bits: int):
+    """Token rows to rows of kind w (distinct words) and g (distinct bigrams) by bucket, with their counts in training documents."""
+    shift, keep = np.uint64(64 - bits), kept_bits(bits)
+    kinds = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                flags, sizes, own, order = _token_row(r)
+                train, rows = (flags & 1) == 0, []
+                word, to = np.unique(own & keep, return_inverse=True)
+                within = np.ones(len(order), bool)
+                within[np.cumsum(sizes) - 1] = False  # the last token of a document leads no bigram
+                pair, place = np.unique(bigram_hashes(own[order])[within[:-1]] & keep, return_inverse=True)
+                for kind, key, at_key, n in (("w", word, to[order], sizes), ("g", pair, place, sizes - 1)):
+                    count = np.bincount(at_key, np.repeat(train, n), len(key)).astype("<u4")
+                    for bucket, at in _by_bucket(key, shift):
+                        rows.append({"bucket": bucket, "kind": kind, "batch": r["batch"], "a": pack6(key[at]), "b": count[at].tobytes()})
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    return keys
 
 
 def _by_bucket(h: np.ndarray, shift: np.uint64) -> Iterator[tuple[int, np.ndarray]]:
@@ -229,22 +232,21 @@ def _answer(bits: int, size: int):
     low = LOW if shift > 48 else np.uint64((1 << shift) - 1)
 
     def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(key[0])
+        bucket, out = int(key[0]), []
         rows = rows.sort_values(["kind", "batch"])
-        out = [(bucket, *r) for r in rows.loc[rows["kind"].isin(["d", "t"]), ["kind", "batch", "a", "b", "c"]].itertuples(index=False)]
         w, g = rows[rows["kind"] == "w"], rows[rows["kind"] == "g"]
         (word, total, word_at), (pair, often, pair_at) = _gathered(w), _gathered(g)
         word, pair, seen, met = word & low, pair & low, total > 0, often > 0
         mine = segment_size(np.concatenate([total[seen], often[met]]), size)
         segment = np.frombuffer(fill_segment(word[seen], total[seen], pair[met], often[met], mine), np.uint8)
-        out.append((bucket, "v", -1, np.array([seen.sum(), total.sum()], "<i8").tobytes(), None, None))
+        out.append((bucket, "v", -1, np.array([seen.sum(), total.sum()], "<i8").tobytes(), None))
         for kind, sent, keys, place, exact in (("s", w, word, word_at, total), ("l", g, pair, pair_at, None)):
             level, at = probe_levels(keys, segment, shift, mine), 0
             for name, a in zip(sent["batch"], sent["a"]):
                 p = place[at : at + len(a) // 6]
                 at += len(p)
-                out.append((bucket, kind, name, level[p].tobytes(), None if exact is None else exact[p].astype("<i8").tobytes(), None))
-        return pd.DataFrame(out, columns=["bucket", "kind", "batch", "a", "b", "c"])
+                out.append((bucket, kind, name, level[p].tobytes(), None if exact is None else exact[p].astype("<i8").tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "kind", "batch", "a", "b"])
 
     return answer
 
@@ -252,14 +254,13 @@ def _answer(bits: int, size: int):
 def _assemble(bits: int, total: int):
     """Documents of one batch with sums and scores by the counts and levels that all buckets returned."""
 
-    def assemble(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bucket")
-        d, t = (rows[rows["kind"] == kind].iloc[0] for kind in "dt")
-        flag, tokens = np.frombuffer(d["b"], "u1"), np.frombuffer(d["c"], "<i8")
-        ids = pd.array(np.frombuffer(d["a"], "<i8"), dtype="Int64")
+    def assemble(tokens: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, t = rows.sort_values("bucket"), tokens.iloc[0]
+        flag, tokens, own, order = _token_row(t)
+        ids = pd.array(np.frombuffer(t["ids"], "<i8"), dtype="Int64")
         ids[(flag & 2) > 0] = pd.NA
         joined = lambda kind, column, of: np.frombuffer(b"".join(rows.loc[rows["kind"] == kind, column]), of)
-        own, order, keep = np.frombuffer(t["a"], "<u8"), unpack_order(t["b"]), kept_bits(bits)
+        keep = kept_bits(bits)
         place = np.unique(own & keep, return_inverse=True)[1]  # buckets in order, hashes in order in each
         exact, first = joined("s", "b", "<i8")[place], np.cumsum(tokens) - tokens
         sums = np.add.reduceat(np.log10(exact + 1.0)[order], first)
@@ -282,8 +283,8 @@ def lm_scores(docs: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     of each token, (1 - s) * unigram + s * bigram, with counts from the filter, s = 0.2, and the text's first token
     and those after an unknown word from the unigrams alone. Null and empty texts are the end token alone. Very long texts count whole.
     Repeated rows count as often as they come. Without training documents every word is unknown and both scores are 0,
-    the logarithm of 1 / 1. An empty table gives no rows. ``docs`` must read the same rows in the same order when
-    a lost task runs again, as tables do.
+    the logarithm of 1 / 1. An empty table gives no rows. What a batch holds is written before anything refers to it, so ``docs``
+    may come in another order when a lost task runs again.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 4 << 20)
@@ -291,12 +292,13 @@ def lm_scores(docs: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     words = (docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) / 6 + 1
     bits = int(np.ceil(np.log2(max(LEAST_BUCKETS, words / bucket_words))))
     size = max(64, int(max(1 << 16, FILTER_BYTES_PER_WORD * words)) >> bits)
-    answers = rows.mapInArrow(_pack(bits), PACKED).groupBy("bucket").applyInPandas(_answer(bits, size), PACKED)
+    tokens = written(rows.mapInArrow(_tokenise, TOKENS), "tokens")
+    answers = tokens.mapInArrow(_keys(bits), PACKED).groupBy("bucket").applyInPandas(_answer(bits, size), PACKED)
     answers = written(answers, "answers")
     figures = np.sum([np.frombuffer(r["a"], "<i8") for r in answers.where("kind = 'v'").select("a").toLocalIterator()] or [[0, 0]], axis=0)
     vocabulary, total = int(figures[0]), int(figures[1])
     floor = float(np.log10(total + vocabulary + 1))
-    out = answers.where("kind <> 'v'").groupBy("batch").applyInPandas(
+    out = tokens.groupBy("batch").cogroup(answers.where("kind <> 'v'").groupBy("batch")).applyInPandas(
         _assemble(bits, total + vocabulary + 1), "doc_id long, held_out boolean, n_tokens long, n_known long, sums double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                       (F.col("sums") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score")

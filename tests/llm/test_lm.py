@@ -59,11 +59,30 @@ def test_filter_gives_counts_back():
     assert (lm.probe(keys(20000, 9), filter_, 58, size) > 0).mean() < 0.02
 
 
-def test_a_filter_that_is_too_small_keeps_the_frequent():
-    words, counts = keys(4000, 3), np.r_[np.full(3900, 1), np.full(100, 50)]
-    filter_ = np.frombuffer(lm.fill_segment(words, counts, keys(0, 0), counts[:0], 2600), np.uint8)
-    got = lm.probe(words, filter_, 58, 2600)
-    assert (got[3900:] > 40).all() and (got[:3900] > 0).mean() < 0.2
+def test_buckets_are_even(spark):
+    """Token rows stay out of the buckets, and keys spread by hash: however many batches there are, no bucket holds twice the median."""
+    rows = [(i, " ".join(np.base_repr(j * 7919 + i, 36) for j in range(400))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12).selectExpr("doc_id", "text", "false held")
+    keys_ = docs.mapInArrow(lm._tokenise, lm.TOKENS).mapInArrow(lm._keys(6), lm.PACKED)
+    sizes = sorted(r[1] for r in keys_.groupBy("bucket").agg({"a": "count"}).collect())
+    held = sorted(r["n"] for r in keys_.selectExpr("bucket", "octet_length(a) n").groupBy("bucket").sum("n").withColumnRenamed("sum(n)", "n").collect())
+    assert len(held) == 64 and sizes[-1] == 24 and held[-1] < 2 * held[32]
+
+
+def test_scores_against_counts_in_a_dictionary(spark):
+    """The score's formula with exact counts of words and bigrams; the filter's counts are levels within ten percent."""
+    rows = [(i, prose(i % 90, 20 + i % 60)) for i in range(300)] + [(1000, prose(999, 40, "xyzw")), (1001, None), (1002, "one")]
+    got = {r["doc_id"]: r for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    train = [tokens(t) for d, t in rows if not got[d]["held_out"]]
+    words, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:]))
+    total = sum(words.values()) + len(words) + 1
+    for d, text in rows:
+        t = tokens(text)
+        want = math.log10((words[t[0]] + 1) / total)
+        for before, word in zip(t, t[1:]):
+            share = lm.BIGRAM_SHARE if words[before] else 0.0
+            want += math.log10((1 - share) * (words[word] + 1) / total + share * pairs[before, word] / max(words[before], 1))
+        assert abs(got[d]["score"] - want) <= 0.05 * len(t), (d, got[d]["score"], want)
 
 
 def test_no_key_is_left_out_however_many_there_are(spark):
