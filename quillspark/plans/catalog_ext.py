@@ -385,6 +385,7 @@ def q_stream_progress(spark, sf_dir):
 
 
 # --- storage round trips ---------------------------------------------------------------------
+from quillspark.operators import refresh  # noqa: E402
 from quillspark.plans import pipeline  # noqa: E402
 
 
@@ -398,6 +399,46 @@ def q_silver_partition_prune(spark, sf_dir):
     return gold_ops.status_breakdown(part)
 
 
+@query("vector_refresh")
+def q_vector_refresh(spark, sf_dir):
+    """The chunks of all documents indexed, then again after every hundredth document changed and every 97th went: vectors made
+    by each refresh, rows of the second snapshot, and how many of them have the vector that a full rebuild gives."""
+    embed = lambda t: vec_ops.hashed_bow(t, refresh.HASH, "chunk_text")
+    docs, root = read_table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "vectors")
+    first = refresh.refresh(doc_ops.chunk_documents(docs).select("chunk_id", "chunk_text"), "chunk_text", root, embed)
+    changed = docs.where("doc_id % 97 <> 0").withColumn("text", F.expr("if(doc_id % 100 = 0, concat(doc_id, ' changed ', text), text)"))
+    chunks = doc_ops.chunk_documents(changed).select("chunk_id", "chunk_text")
+    second = refresh.refresh(chunks, "chunk_text", root, embed)
+    rebuilt = vec_ops.hashed_bow(chunks, "chunk_id", "chunk_text").withColumnRenamed("embedding", "again")
+    same = refresh.read(spark, root).join(rebuilt, "chunk_id").where("embedding = again")
+    return same.agg(F.count("*").alias("same_as_rebuilt")).select(
+        F.lit(first.embedded).alias("first_embedded"), F.lit(second.embedded).alias("second_embedded"),
+        F.lit(second.rows).alias("second_rows"), "same_as_rebuilt")
+
+
+@query("run_all_summary")
+def q_run_all_summary(spark, sf_dir):
+    """The gated run from raw files to gold, every report written and read back; the gate itself is off."""
+    report = pipeline.run_all(spark, L(spark, sf_dir).raw(), scratch_path(spark, "gated"), L(spark, sf_dir).cfg, enforce=False)
+    return qual_ops.summary(report)
+
+
+@query("stream_restart")
+def q_stream_restart(spark, sf_dir):
+    """A limited publish is drained, more messages arrive, and the stream goes on from its checkpoint; a third run finds nothing."""
+    lay = L(spark, sf_dir)
+    topic, out, ckpt = (scratch_path(spark, n) for n in ("topic", "stream-bronze", "stream-ckpt"))
+    rows = []
+    for folder, limit in (("a", 100), ("b", None), (None, None)):
+        if folder:
+            ingest.publish_files(lay.raw(), f"{topic}/{folder}", lay.cfg.ingested_at, files=3, max_messages=limit)
+        res = ingest.run_stream_bronze(ingest.file_source(spark, f"{topic}/*", max_files=1), out, ckpt, lay.cfg.ingested_at)
+        rows.append((len(rows) + 1, res.rows_read))
+    runs = spark.createDataFrame(rows, "run int, messages_read long")
+    total = spark.read.parquet(out).agg(F.lit(0).alias("run"), F.count("*").alias("messages_read"))
+    return runs.unionByName(total)
+
+
 # --- text-typed storage, unions, ordering --------------------------------------------------------
 from quillspark.operators import typing as typing_ops  # noqa: E402
 from quillspark.plans.layers import silver_output  # noqa: E402

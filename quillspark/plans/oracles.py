@@ -549,6 +549,16 @@ oracle("event_unwrap", with_layers("select * from raw"))
 oracle("stream_bronze", with_layers("select * replace ('kafka_stream' as _source) from bronze"))
 oracle("silver_partition_prune", with_layers("""
 select status, cast(count(*) as bigint) n from silver where invoice_year = 1998 and payment_quarter = 'Q2' group by status"""))
+oracle("run_all_summary", ORACLES["quality_summary"])
+oracle("stream_restart", with_layers("""
+select * from (values (1, 100::bigint), (3, 0::bigint)) v(run, messages_read)
+union all select 2, cast(count(*) as bigint) from raw union all select 0, cast(count(*) + 100 as bigint) from raw"""))
+oracle("vector_refresh", f"""with old as ({chunks_sql('documents', 'doc_id')}),
+changed as (select doc_id, case when doc_id % 100 = 0 then concat(doc_id, ' changed ', text) else text end as text from documents where doc_id % 97 <> 0),
+new as ({chunks_sql('changed', 'doc_id')})
+select (select count(distinct chunk_text) from old) first_embedded,
+ (select count(distinct chunk_text) from new where chunk_text not in (select chunk_text from old)) second_embedded,
+ count(*) second_rows, count(*) same_as_rebuilt from new""")
 oracle("restore_types", with_layers(f"select {SILVER_COLS} from silver"))
 oracle("bronze_union", with_layers("select * from bronze union all select * replace ('kafka_stream' as _source) from bronze"))
 oracle("vendors_by_total", with_layers("select * from vendor_summary order by total_amount desc, vendor_id, vendor_name, state"))

@@ -20,6 +20,7 @@ from quillspark.operators import features as feat_ops
 from quillspark.operators import gold as gold_ops
 from quillspark.operators import iforest
 from quillspark.operators import quality as qual_ops
+from quillspark.operators import refresh
 from quillspark.operators import risk as risk_ops
 from quillspark.operators import silver as silver_ops
 from quillspark.operators import vectors as vec_ops
@@ -146,10 +147,9 @@ def run_retrieval(spark: SparkSession, root: str, questions: DataFrame, cfg: Run
         doc_ops.trend_documents(spark.read.parquet(p.monthly_trends), cfg.elevated_overdue_rate))
     io.write_json(doc_ops.chunk_documents(docs).drop("text"), p.chunks)
     chunks = io.read_chunks_json(spark, p.chunks)
-    meta = [c for c in chunks.columns if c != "chunk_id"]
-    rows = vec_ops.hashed_bow(chunks, "chunk_id", "chunk_text", keep=meta)
-    io.write_vectors(rows.withColumn("row_id", vec_ops.row_key("chunk_id")), p.vectors)   # chunk ids may repeat
-    index = spark.read.parquet(p.vectors)
+    rows = chunks.withColumn("row_id", vec_ops.row_key("chunk_id"))   # chunk ids may repeat
+    refresh.refresh(rows, "chunk_text", p.vectors, lambda t: vec_ops.hashed_bow(t, refresh.HASH, "chunk_text"))
+    index = refresh.read(spark, p.vectors)
     qvec = (vec_ops.hashed_bow(questions, "query_id", "question", keep=["doc_type"])
             .withColumnRenamed("embedding", "query_vec"))
     hits = vec_ops.knn_topk(index, qvec, corpus_id="row_id", corpus_filter="doc_type", query_filter="doc_type")

@@ -95,7 +95,3 @@ def write_json(df: DataFrame, path: str) -> None:
     """JSON lines (chunks, answers, quality reports)."""
     df.write.mode("overwrite").json(path)
 
-
-def write_vectors(df: DataFrame, path: str) -> None:
-    """Vector table refresh: the whole collection is replaced (drop + recreate)."""
-    df.write.mode("overwrite").parquet(path)

@@ -15,17 +15,22 @@ of JSON-lines files (tests, replays). Both are throttled per micro-batch
 from __future__ import annotations
 
 import datetime as dt
+import threading
+from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from quillspark.config import EVENT_SOURCE_SYSTEM, EVENT_TYPE, STREAM_SOURCE
 from quillspark.operators.bronze import add_metadata
 from quillspark.sources.fixtures import RAW_COLUMNS
 
+# Longest wait, after a query has ended, for the reports of its micro-batches that are still under way.
+REPORT_SECONDS = 60
+
 RAW_SCHEMA = T.StructType([
     T.StructField("invoice_id", T.StringType()), T.StructField("vendor_id", T.StringType()),
     T.StructField("vendor_name", T.StringType()), T.StructField("invoice_date", T.StringType()),
@@ -121,23 +126,43 @@ def run_stream_bronze(messages: DataFrame, output: str, checkpoint: str, ingeste
          .outputMode("append").trigger(availableNow=True))
     if query_name:
         w = w.queryName(query_name)
-    return StreamResult(output, *_counted(w.start()))
+    return StreamResult(output, *_counted(messages.sparkSession, w))
 
 
-def _counted(q: StreamingQuery) -> tuple[int, int]:
-    """Wait for the end of a query; (micro-batches with rows, rows read).
+class _Progress(StreamingQueryListener):
+    """Rows of every micro-batch of every run, as Spark reports them one by one; the end of a run comes after all its batches."""
 
-    Spark keeps the progress of the last 100 batches only, so it is picked up while the query runs, by batch id. A
-    batch that slipped through would leave a gap in the ids and raises, rather than being missing from the counts.
-    """
-    rows: dict[int, int] = {}
-    ended = False
-    while not ended:
-        ended = bool(q.awaitTermination(0.1))
-        for p in q.recentProgress:
-            rows[p["batchId"]] = max(rows.get(p["batchId"], 0), p["numInputRows"])
-    if rows and len(rows) <= max(rows) - min(rows):
-        raise RuntimeError("progress of some micro-batches was not seen")
+    def __init__(self):
+        self.rows: dict[str, dict[int, int]] = defaultdict(dict)
+        self.ended: dict[str, threading.Event] = defaultdict(threading.Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        rows = self.rows[str(p.runId)]
+        rows[p.batchId] = max(rows.get(p.batchId, 0), p.numInputRows)
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()
+
+
+def _counted(spark: SparkSession, writer: DataStreamWriter) -> tuple[int, int]:
+    """Start a query and wait for its end; (micro-batches with rows, rows read), however many micro-batches there are: each
+    is counted when it is reported, not read from the short list of recent ones. A query that fails raises its own error."""
+    progress = _Progress()
+    spark.streams.addListener(progress)
+    try:
+        q = writer.start()
+        q.awaitTermination()
+        progress.ended[str(q.runId)].wait(REPORT_SECONDS)
+        rows = progress.rows[str(q.runId)]
+    finally:
+        spark.streams.removeListener(progress)
     return sum(n > 0 for n in rows.values()), sum(rows.values())
 
 
@@ -150,9 +175,8 @@ def run_stream_bronze_batches(messages: DataFrame, output: str, checkpoint: str,
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/batch_{batch_id:06d}")
 
-    q = (bronze.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    return StreamResult(output, *_counted(q))
+    w = bronze.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return StreamResult(output, *_counted(messages.sparkSession, w))
 
 
 def progress_frame(spark: SparkSession, result: StreamResult) -> DataFrame:
