@@ -29,12 +29,15 @@ CHUNK_SCHEMA = T.StructType([
 
 
 # --- sources -------------------------------------------------------------------------------
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Header CSV with the raw invoice schema, read as pandas reads it: doubled quotes inside quotes, line ends
-    inside quotes, and empty fields or NA spellings in any column are null. An amount that is no number is null."""
+    inside quotes, and empty fields or NA spellings in any column are null. An amount that is no number is null.
+
+    A file whose fields may hold line ends is read by one task. Where none does, ``multiline=False`` lets
+    Spark split large files among tasks."""
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in RAW_SCHEMA])
     rows = (spark.read.schema(text).option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
+            .option("multiLine", multiline).option("mode", "PERMISSIVE").csv(path))
     known = [F.when(~F.col(f.name).isin(*NA_SPELLINGS), F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in RAW_SCHEMA]
     return rows.select(*known)
 

@@ -72,6 +72,28 @@ def test_csv_as_pandas_reads_it(spark, tmp_path):
     assert (c.vendor_name, c.due_date, c.amount, c.status, c.notes) == (" NA ", None, None, None, None)
 
 
+def test_large_csv_without_line_ends_in_fields_is_split(spark, tmp_path):
+    head = "invoice_id,vendor_id,vendor_name,invoice_date,due_date,amount,status,category,state,notes,created_at\n"
+    (tmp_path / "a.csv").write_text(head + "".join(f"I{i},V{i % 7},a company,2020-01-01,2020-02-01,{i}.5,PAID,x,fr,note,t\n" for i in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        split, whole = io.read_raw_csv(spark, str(tmp_path), multiline=False), io.read_raw_csv(spark, str(tmp_path))
+        assert split.rdd.getNumPartitions() >= 5 and whole.rdd.getNumPartitions() == 1
+        assert split.exceptAll(whole).count() == 0 and split.count() == whole.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_chunks_as_one_json_array(spark, tmp_path):
+    import json
+
+    rows = [{"doc_id": str(i), "doc_type": "t", "chunk_id": f"{i}_chunk_0", "chunk_text": "a\nb", "chunk_idx": 0, "vendor_id": None} for i in range(5)]
+    (tmp_path / "chunks.json").write_text(json.dumps(rows, indent=2))
+    got = io.read_chunks_json(spark, str(tmp_path), multiline=True).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.chunk_text, r.vendor_id) for r in got] == [(str(i), "a\nb", None) for i in range(5)]
+
+
 def raw_with_resubmissions(spark):
     raw = fixtures.raw_invoices(spark, SF_SMALL)
     again = raw.where("invoice_id like '%7'").withColumn("amount", raw["amount"] + 5)
