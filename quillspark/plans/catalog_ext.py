@@ -309,11 +309,11 @@ from quillspark.operators import iforest  # noqa: E402
 
 
 def forest_run(spark, sf_dir, runs, lay=None):
-    """features -> scaled matrix, trees and scores (each materialised once) -> decisions."""
+    """features -> matrix, scaled matrix, trees and scores (each materialised once) -> decisions."""
     feats = _features(spark, sf_dir, lay)
     matrix, cols = feat_ops.model_matrix(feats, _MF)
     # the unscaled amount rides along: invoice ids may repeat, so nothing is joined back by them
-    matrix = matrix.withColumn("raw_amount", F.col("amount"))
+    matrix = materialize(matrix.withColumn("raw_amount", F.col("amount")))  # the moments and the scaling both read it
     scaled = materialize(feat_ops.standard_scale(matrix, cols))
     trees = materialize(iforest.fit(scaled, cols, runs))
     scores = materialize(iforest.score(scaled, cols, trees, id_cols=("invoice_id", "vendor_id", "raw_amount")))

@@ -8,7 +8,7 @@ import pytest
 
 from quillspark.config import RunConfig
 from quillspark.functions.quantiles import exact_percentiles
-from quillspark.operators import documents, iforest, quality, risk, silver, vectors
+from quillspark.operators import documents, iforest, quality, refresh, risk, silver, vectors
 from quillspark.plans import pipeline
 from quillspark.session import checkpoint_dir, scratch_path
 from quillspark.sources import fixtures, io
@@ -115,7 +115,7 @@ def test_repeated_ids_keep_their_rows(spark):
     assert pipeline.run_scoring(spark, root).count() == want
     qs = spark.createDataFrame([(1, "Which vendors have the highest overdue rates?", "vendor_summary")], "query_id int, question string, doc_type string")
     assert pipeline.run_retrieval(spark, root, qs).first().context.count("[Source") == 5
-    assert {"doc_id", "vendor_id", "invoice_id", "risk_level", "year_month", "chunk_text"} <= set(spark.read.parquet(f"{root}/vectors").columns)
+    assert {"doc_id", "vendor_id", "invoice_id", "risk_level", "year_month", "chunk_text"} <= set(refresh.read(spark, f"{root}/vectors").columns)
 
 
 def test_a_rebuild_replaces_stale_partitions(spark):
