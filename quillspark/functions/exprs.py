@@ -191,8 +191,12 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     runs while the plan is built, no join is planned, and exchanges that both sides share are reused. An
     aggregate without grouping keys always has exactly one row; more than one would raise.
     """
-    row = one_row.select(F.struct(*one_row.columns)).scalar()
-    return df.select("*", *[row.getField(f.name).alias(f.name) for f in one_row.schema.fields])
+    row = one_row.select(F.struct(*[F.col(ref(c)) for c in one_row.columns])).scalar()
+    held = "__scalars"
+    while held in df.columns:
+        held += "_"
+    # named once: a plan that nests scalars holds one copy of the aggregate, not one per column
+    return df.select("*", row.alias(held)).select("*", *[F.col(held).getField(c).alias(c) for c in one_row.columns]).drop(held)
 
 
 def py_float_text(c: str) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import MODEL_FEATURES, VALID_STATUSES
-from quillspark.functions.exprs import with_scalars
+from quillspark.functions.exprs import ref, with_scalars
+from quillspark.functions.moments import exact_moments
+from quillspark.session import materialize
 
 ZSCORE_EPS = 1e-9
 
@@ -16,23 +18,56 @@ ZSCORE_EPS = 1e-9
 def observed_categories(silver: DataFrame, max_values: int = 1000) -> list[str]:
     """Distinct categories, sorted (the one-hot column set depends on the data, like ``get_dummies``).
 
-    Only the distinct values reach the driver, and their number is checked.
+    Only the distinct values reach the driver, and their number is checked: a column each is no form for very many.
+    ``category_codes`` and ``sparse_onehot`` take any number.
     """
     vals = [r[0] for r in silver.select("category").distinct().where(F.col("category").isNotNull())
             .limit(max_values + 1).collect()]
     if len(vals) > max_values:
-        raise ValueError(f"more than {max_values} categories; pass an explicit list")
+        raise ValueError(f"more than {max_values} categories; pass an explicit list, or use sparse_onehot")
     return sorted(vals)
 
 
-def invoice_features(silver: DataFrame, categories: Sequence[str]) -> DataFrame:
+def category_codes(df: DataFrame, column: str = "category") -> DataFrame:
+    """Dictionary (``column``, code): its distinct non-null values numbered from 0 in ascending order, for any number of values.
+
+    Values are dealt by ranges and sorted within each; a range starts where the counts of those before it end, so no task
+    holds more than one range. Only one number per range is summed up over all of them.
+    """
+    values = df.select(column).where(F.col(ref(column)).isNotNull()).distinct()
+    # the written ranges are read twice: sampled bounds must not be drawn anew
+    ranges = materialize(values.repartitionByRange(F.col(ref(column))).sortWithinPartitions(F.col(ref(column)))
+                         .withColumn("__place", F.monotonically_increasing_id()))
+    ranges = ranges.selectExpr(ref(column), "shiftright(__place, 33) AS __range", "__place & 8589934591L AS __within")
+    sizes = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__start"))
+    return ranges.join(F.broadcast(starts), "__range").select(F.col(ref(column)), (F.col("__start") + F.col("__within")).alias("code"))
+
+
+def sparse_onehot(df: DataFrame, codes: DataFrame, column: str = "category", out: str = "category_vec") -> DataFrame:
+    """``df`` with a sparse one-hot vector of ``column``: struct(size, indices, values), as wide as the dictionary has entries.
+
+    A null or unknown value is the empty vector. The dictionary may have any number of entries: Spark broadcasts it while its
+    measured size is small, and otherwise sorts, where AQE splits a hot value on the side of the rows.
+    """
+    width = codes.agg(F.count(F.lit(1)).alias("__width"))
+    known = codes.select(F.col(ref(column)).alias("__value"), F.col("code").alias("__code"))
+    hit = F.col("__code").isNotNull()
+    vector = F.struct(F.col("__width").alias("size"),
+                      F.when(hit, F.array("__code")).otherwise(F.array().cast("array<bigint>")).alias("indices"),
+                      F.when(hit, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("values"))
+    joined = df.join(known, F.col(ref(column)) == F.col("__value"), "left")
+    return with_scalars(joined, width).withColumn(out, vector).drop("__value", "__code", "__width")
+
+
+def invoice_features(silver: DataFrame, categories: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Amount, z-score (sample std), log1p, round-amount flag, calendar, status and category one-hots.
 
-    The global mean / std come from one aggregation attached as a broadcast scalar row.
+    The global mean / std are one row, the same to the last bit for any partitioning, attached as a scalar.
+    ``keep`` names further columns to pass through.
     """
     amount = F.col("amount").cast("double")
-    stats = silver.agg(F.avg(amount).alias("__mean"), F.stddev_samp(amount).alias("__std"))
-    df = with_scalars(silver, stats)
+    df = with_scalars(silver, exact_moments(silver, ["amount"], ddof=1, mean="__mean", std="__std"))
     d = F.col("invoice_date")
     dow = F.coalesce(F.weekday(d), F.lit(0))          # Monday = 0
     cols = [
@@ -49,7 +84,7 @@ def invoice_features(silver: DataFrame, categories: Sequence[str]) -> DataFrame:
     ]
     cols += [F.coalesce(F.col("status") == s, F.lit(False)).cast("int").alias(f"status_{s}") for s in VALID_STATUSES]
     cols += [F.coalesce(F.col("category") == c, F.lit(False)).cast("int").alias(f"cat_{c}") for c in categories]
-    return df.select(*cols)
+    return df.select(*cols, *[F.col(ref(c)) for c in keep])
 
 
 def vendor_features(inv: DataFrame, vendors: DataFrame) -> DataFrame:
@@ -80,11 +115,9 @@ def model_matrix(features: DataFrame, cols: Sequence[str] = MODEL_FEATURES) -> t
 
 
 def scaler_moments(matrix: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per-feature mean and population std in one pass (StandardScaler semantics; zero std -> 1)."""
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"__mu_{c}"), F.stddev_pop(c).alias(f"__sd_{c}")]
-    return matrix.agg(*aggs)
+    """Per-feature mean and population std (StandardScaler semantics; zero std -> 1), equal bits for any partitioning.
+    Reads ``matrix`` three times: pass a written one."""
+    return exact_moments(matrix, cols)
 
 
 def standard_scale(matrix: DataFrame, cols: Sequence[str], moments: DataFrame | None = None) -> DataFrame:

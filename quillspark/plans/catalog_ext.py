@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.config import MODEL_FEATURES
 from quillspark.functions.exprs import np_round
+from quillspark.functions.moments import exact_moments
 from quillspark.functions.quantiles import exact_percentiles
 from quillspark.operators import features as feat_ops
 from quillspark.operators import gold as gold_ops
@@ -75,6 +76,29 @@ def q_standard_scaler(spark, sf_dir):
     return scaled.select(*[(np_round(c, 4) + F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in scaled.columns])
 
 
+@query("column_moments")
+def q_column_moments(spark, sf_dir):
+    """Mean and population deviation of the measures of all line items, the same to the last bit for any partitioning."""
+    cols = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    row = exact_moments(read_table(spark, sf_dir, "lineitem"), cols, mean="mean_{}", std="std_{}")
+    return row.select(*[np_round(c, 6).alias(c) for c in row.columns])
+
+
+@query("category_codes")
+def q_category_codes(spark, sf_dir):
+    """Dictionary of the vendors' names: as many categories as the data have vendors."""
+    return feat_ops.category_codes(L(spark, sf_dir).silver(), "vendor_name")
+
+
+@query("category_sparse")
+def q_category_sparse(spark, sf_dir):
+    """Sparse one-hot vectors of the vendors' names of all invoices, by their parts."""
+    silver = L(spark, sf_dir, shared=True).silver()
+    vec = feat_ops.sparse_onehot(silver, feat_ops.category_codes(silver, "vendor_name"), "vendor_name", "vec")
+    return vec.select("invoice_id", "vendor_name", F.col("vec.size").alias("width"), F.get("vec.indices", F.lit(0)).alias("code"),
+                      F.aggregate("vec.values", F.lit(0.0), lambda a, x: a + x).alias("ones"))
+
+
 # --- scores, tiers, percentiles --------------------------------------------------------------
 def _fixed_scored(spark, sf_dir, lay=None):
     return risk_ops.fixed_score((lay or L(spark, sf_dir)).silver())

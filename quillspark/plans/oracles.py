@@ -267,6 +267,17 @@ _scaled = ", ".join(
 oracle("standard_scaler", with_layers(f"select invoice_id, vendor_id, {_scaled} from features", FEATURE_CTES))
 
 
+oracle("column_moments", "select " + ", ".join(
+    f"{rnd(f'avg(cast({c} as double))', 6)} mean_{c}, {rnd(f'stddev_pop(cast({c} as double))', 6)} std_{c}"
+    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + " from lineitem")
+_CODES = """codes as (select vendor_name, cast(row_number() over (order by vendor_name) - 1 as bigint) code
+ from (select distinct vendor_name from silver where vendor_name is not null))"""
+oracle("category_codes", with_layers("select vendor_name, code from codes", _CODES))
+oracle("category_sparse", with_layers("""
+select s.invoice_id, s.vendor_name, (select cast(count(*) as bigint) from codes) width, c.code,
+ cast(c.code is not null as int)::double ones from silver s left join codes c using (vendor_name)""", _CODES))
+
+
 # --- scores, tiers, percentiles --------------------------------------------------------------
 def np_percentile(table: str, col: str, p: float) -> str:
     """Scalar subquery: numpy 'linear' percentile: virtual index (n-1)*q and numpy's two-sided lerp."""

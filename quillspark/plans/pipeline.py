@@ -86,12 +86,15 @@ def run_all(spark: SparkSession, raw: DataFrame, root: str, cfg: RunConfig = Run
 
 def run_ml(spark: SparkSession, root: str, categories: list[str] | None = None,
            runs: list[iforest.ForestParams] | None = None) -> DataFrame:
-    """features -> forest sweep -> scores of the latest run with risk tiers; writes features, trees, runs, scores."""
+    """features -> forest sweep -> scores of the latest run with risk tiers; writes features, trees, runs, scores.
+    ``categories``: their dense one-hot columns, by default those observed; an empty list for one sparse vector instead."""
     p = LakePaths(root)
     silver = io.read_partitioned(spark, p.silver)
     vendors = spark.read.parquet(p.vendor_summary)
-    cats = categories or feat_ops.observed_categories(silver)
-    feats = feat_ops.vendor_features(feat_ops.invoice_features(silver, cats), vendors)
+    cats = feat_ops.observed_categories(silver) if categories is None else categories
+    coded = feat_ops.sparse_onehot(silver, feat_ops.category_codes(silver)) if not cats else silver
+    inv = feat_ops.invoice_features(coded, cats, keep=() if cats else ("category_vec",))
+    feats = feat_ops.vendor_features(inv, vendors)
     io.write_table(feats.withColumn("row_id", F.monotonically_increasing_id()), p.features)   # invoice ids may repeat
     feats = spark.read.parquet(p.features)
     matrix, cols = feat_ops.model_matrix(feats, MODEL_FEATURES)
