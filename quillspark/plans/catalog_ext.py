@@ -391,9 +391,9 @@ def q_event_unwrap(spark, sf_dir):
 def _stream_run(spark, sf_dir):
     lay = L(spark, sf_dir)
     topic = scratch_path(spark, "topic")
-    ingest.publish_files(lay.raw(), topic, lay.cfg.ingested_at, files=8)
+    parts = ingest.publish_files(lay.raw(), topic, lay.cfg.ingested_at, files=8)
     out, ckpt = scratch_path(spark, "stream-bronze"), scratch_path(spark, "stream-ckpt")
-    res = ingest.run_stream_bronze(ingest.file_source(spark, topic, max_files=1), out, ckpt, lay.cfg.ingested_at)
+    res = ingest.run_stream_bronze(ingest.file_source(spark, topic, max_files=parts), out, ckpt, lay.cfg.ingested_at)
     return res
 
 
@@ -455,8 +455,8 @@ def q_stream_restart(spark, sf_dir):
     rows = []
     for folder, limit in (("a", 100), ("b", None), (None, None)):
         if folder:
-            ingest.publish_files(lay.raw(), f"{topic}/{folder}", lay.cfg.ingested_at, files=3, max_messages=limit)
-        res = ingest.run_stream_bronze(ingest.file_source(spark, f"{topic}/*", max_files=1), out, ckpt, lay.cfg.ingested_at)
+            parts = ingest.publish_files(lay.raw(), f"{topic}/{folder}", lay.cfg.ingested_at, files=3, max_messages=limit)
+        res = ingest.run_stream_bronze(ingest.file_source(spark, f"{topic}/*", max_files=parts), out, ckpt, lay.cfg.ingested_at)
         rows.append((len(rows) + 1, res.rows_read))
     runs = spark.createDataFrame(rows, "run int, messages_read long")
     total = spark.read.parquet(out).agg(F.lit(0).alias("run"), F.count("*").alias("messages_read"))

@@ -30,6 +30,8 @@ from quillspark.sources.fixtures import RAW_COLUMNS
 
 # Longest wait, after a query has ended, for the reports of its micro-batches that are still under way.
 REPORT_SECONDS = 60
+# Messages that a published file aims at: one task sorts and writes it.
+FILE_ROWS = 250_000
 
 RAW_SCHEMA = T.StructType([
     T.StructField("invoice_id", T.StringType()), T.StructField("vendor_id", T.StringType()),
@@ -78,17 +80,23 @@ def stream_bronze_frame(messages: DataFrame, ingested_at: dt.datetime) -> DataFr
 
 
 def publish_files(raw: DataFrame, path: str, event_time: dt.datetime, files: int | None = None,
-                  max_messages: int | None = None) -> None:
+                  max_messages: int | None = None, file_rows: int = FILE_ROWS) -> int:
     """Keyed publish to a folder of JSON-lines files (the file stand-in for a topic; one line per message).
 
     Messages are hash-partitioned by key, so each vendor's messages stay in one file, ordered by created_at and
     invoice_id. Without ``files`` there are as many as the data need (the session's shuffle partitions, small ones
     merged by AQE). ``max_messages`` sends only the first n invoices by id (the producer's demo limit); default all.
+
+    A file is sorted and written by one task. So each of ``files`` is cut by key into as many parts of about ``file_rows``
+    messages as it needs, the same number for all; that number is returned. A reader that takes so many files at a time
+    (``file_source(max_files=...)``) has ``files`` micro-batches whatever the number of messages.
     """
     src = raw.orderBy("invoice_id").limit(max_messages) if max_messages else raw
     env = src.select("created_at", "invoice_id", F.col("vendor_id").alias("key"), envelope_text(event_time).alias("value"))
-    env = env.repartition(files, "key") if files else env.repartition("key")
+    parts = max(1, -(-(max_messages or raw.count()) // (files * file_rows))) if files else 1
+    env = env.repartition(files * parts, "key") if files else env.repartition("key")
     env.sortWithinPartitions("key", "created_at", "invoice_id").select("value").write.mode("overwrite").text(path)
+    return parts
 
 
 def publish_kafka(raw: DataFrame, servers: str, topic: str, event_time: dt.datetime) -> None:
