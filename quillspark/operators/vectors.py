@@ -7,10 +7,13 @@ a task keeps k rows per query, and a final window merges the tasks' answers. Man
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +24,9 @@ from quillspark.operators import cells
 from quillspark.session import materialize
 
 HASH_DIMS = 64
-TOKEN_PATTERN = "[a-z0-9]+"
+# Bytes of which a token consists, and bytes of text that are cut into tokens at once.
+IS_TOKEN = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
+EMBED_BYTES = 4_000_000
 # Queries that are shipped to every task of a scan (a matrix of so many vectors); more search by cells.
 FEW_QUERIES = 1024
 # Rows that one matrix product of a scan takes.
@@ -35,26 +40,49 @@ NO_CONTEXT = "No relevant information found in the knowledge base."
 
 
 # --- embedding ---------------------------------------------------------------------------
-def token_bucket(tok: Column, dims: int) -> Column:
+def token_bucket(token: bytes, dims: int) -> int:
     """Bucket of a token: first 32 bits of its md5, mod ``dims`` (same value in any SQL engine with md5)."""
-    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int")
+    return int.from_bytes(hashlib.md5(token).digest()[:4], "big") % dims
+
+
+def bucket_counts(texts: pa.Array, dims: int) -> np.ndarray:
+    """Per text the number of its tokens in each bucket. Tokens are ASCII, so the texts are cut as bytes, all at once; a token is
+    hashed once however often these texts hold it."""
+    n, sizes = len(texts), pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = np.frombuffer(b"".join(texts.cast(pa.large_binary()).to_pylist()), np.uint8)
+    inside = IS_TOKEN[raw]
+    ends = np.cumsum(sizes)
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    first = (ends - sizes)[sizes > 0]
+    starts[first] = inside[first]  # a text does not go on with the token of the one before it
+    at = np.flatnonzero(starts)
+    if not len(at):
+        return np.zeros((n, dims))
+    # the bytes of all tokens without those between them, and where each begins there
+    data, place = raw[inside], np.cumsum(inside)[at] - 1
+    offsets = np.append(place, len(data)).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    buckets = np.array([token_bucket(t, dims) for t in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
+    row = np.searchsorted(ends, at, side="right")
+    return np.bincount(row * dims + buckets, minlength=n * dims).astype(np.float64).reshape(n, dims)
 
 
 def _densify(dims: int):
-    """Arrow-batch helper: bucket ids of each text's tokens -> unit-length dense vectors, for a whole batch at
-    once with numpy (scatter-add + row norms). Sums of integer counts are exact, so the result is bit-identical
-    to the same formula in SQL."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def densify(buckets: pd.Series) -> pd.Series:
-        n = len(buckets)
-        if n == 0:
-            return pd.Series([], dtype=object)
-        lens = np.fromiter((len(x) for x in buckets), dtype=np.int64, count=n)
-        at = np.repeat(np.arange(n), lens) * dims + np.concatenate(buckets.to_numpy()).astype(np.int64)
-        mat = np.bincount(at, minlength=n * dims).astype(np.float64).reshape(n, dims)
-        norm = np.sqrt((mat * mat).sum(axis=1))[:, None]
-        return pd.Series(list(np.divide(mat, norm, out=np.zeros_like(mat), where=norm > 0)))
+    """Arrow-batch helper: lower-case texts -> unit-length dense vectors with numpy, EMBED_BYTES of text at a time (scatter-add +
+    row norms). Sums of integer counts are exact, so the result is bit-identical to the same formula in SQL."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def densify(texts: pa.Array) -> pa.Array:
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.unique(np.append(np.searchsorted(sizes, np.arange(0, sizes[-1] if len(sizes) else 0, EMBED_BYTES)), [0, len(texts)]))
+        parts = [np.zeros((0, dims))]
+        for a, b in zip(cuts, cuts[1:]):
+            mat = bucket_counts(texts.slice(a, b - a), dims)
+            norm = np.sqrt((mat * mat).sum(axis=1))[:, None]
+            parts.append(np.divide(mat, norm, out=np.zeros_like(mat), where=norm > 0))
+        flat = np.concatenate(parts).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dims), pa.array(flat))
 
     return densify
 
@@ -63,13 +91,12 @@ def hashed_bow(df: DataFrame, id_col: str, text_col: str, dims: int = HASH_DIMS,
                keep: Sequence[str] = ()) -> DataFrame:
     """Unit-length bag-of-words vectors (``array<double>``) by feature hashing: (id, *keep, embedding).
 
-    One output row per input row, without a shuffle: tokenising and hashing run in the JVM inside the row,
-    then an Arrow batch turns bucket ids into dense vectors. Rows that share an id stay apart; texts
+    One output row per input row, without a shuffle: texts are lower-cased in the JVM inside the row, then an Arrow batch of
+    them is cut into tokens ``[a-z0-9]+``, and turned into dense vectors. Rows that share an id stay apart; texts
     without tokens and null texts get the zero vector.
     """
-    toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), 0)
-    buckets = F.transform(toks, lambda t: token_bucket(t, dims))
-    return df.select(F.col(id_col), *keep, _densify(dims)(buckets).alias("embedding"))
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    return df.select(F.col(id_col), *keep, _densify(dims)(text).alias("embedding"))
 
 
 def embed_batches(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list[float]]], dims: int,

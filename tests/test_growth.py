@@ -1,13 +1,20 @@
 """What one task holds does not grow with the input."""
 
 import datetime as dt
+import hashlib
+import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
+from quillspark.operators import vectors
 from quillspark.session import scratch_path
 from quillspark.sources import fixtures
 from quillspark.streaming import ingest
 from tests.conftest import SF_SMALL
+from tests.test_plans import plan
 
 
 def test_a_published_file_is_bounded_and_batches_stay(spark):
@@ -25,3 +32,20 @@ def test_a_published_file_is_bounded_and_batches_stay(spark):
     res = ingest.run_stream_bronze(ingest.file_source(spark, topic, max_files=parts), out, ckpt, now)
     assert (res.batches, res.rows_read) == (3, n)
     assert ingest.publish_files(raw, scratch_path(spark, "topic"), now, files=3, max_messages=100) == 1
+
+
+def test_a_token_is_hashed_once_and_counts_are_those_of_the_pattern(monkeypatch):
+    texts = ["a1 a1 b", "", "x", "x y", " z", "z ", "...", "w\u00f6rld \u65e5a\u672c", "a-b_c"] * 3
+    want = np.zeros((len(texts), 64))
+    for i, t in enumerate(texts):
+        for w in re.findall("[a-z0-9]+", t):
+            want[i, int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
+    seen, bucket = [], vectors.token_bucket
+    monkeypatch.setattr(vectors, "token_bucket", lambda token, dims: seen.append(token) or bucket(token, dims))
+    assert (vectors.bucket_counts(pa.array(texts), 64) == want).all()
+    assert len(seen) == len(set(seen)) == len({w for t in texts for w in re.findall("[a-z0-9]+", t)})
+    assert vectors.bucket_counts(pa.array(["", "-"]), 64).sum() == 0 and vectors.bucket_counts(pa.array([], pa.string()), 64).shape == (0, 64)
+
+
+def test_the_rebuilt_vectors_are_made_once(spark):
+    assert plan(E.queries()["vector_refresh"](spark, SF_SMALL)).count("ArrowEvalPython") == 1
