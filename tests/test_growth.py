@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from quillspark.operators import vectors
-from quillspark.session import scratch_path
+from quillspark.session import materialize, scratch_path
 from quillspark.sources import fixtures
 from quillspark.streaming import ingest
 from tests.conftest import SF_SMALL
@@ -49,3 +49,20 @@ def test_a_token_is_hashed_once_and_counts_are_those_of_the_pattern(monkeypatch)
 
 def test_the_rebuilt_vectors_are_made_once(spark):
     assert plan(E.queries()["vector_refresh"](spark, SF_SMALL)).count("ArrowEvalPython") == 1
+
+
+def test_scoring_makes_silver_once(spark, monkeypatch):
+    """Silver is a pass over all orders and a shuffle: one scan of them, however often its rows are read."""
+    from quillspark.plans import catalog_ext as ext
+    written = []
+    monkeypatch.setattr(ext, "materialize", lambda df: written.append(plan(df)) or materialize(df))
+    ext.q_scoring_rows(spark, SF_SMALL)
+    assert [p.count("orders.parquet") for p in written][:1] == [1] and not any("orders.parquet" in p for p in written[1:])
+
+
+def test_invoices_sent_again_are_those_of_a_union(spark):
+    from quillspark.plans import catalog_ext as ext
+    silver = ext.L(spark, SF_SMALL).silver()
+    again = silver.where("payment_quarter = 'Q1'").withColumn("amount", F.expr("CAST(amount + 1 AS DECIMAL(28,2))"))
+    rows = lambda df: sorted(map(str, df.select(*ext.SCORED_COLUMNS).collect()))
+    assert rows(ext._sent_again(silver)) == rows(silver.unionByName(again))
