@@ -33,6 +33,10 @@ SHARD_ROWS = 16_384
 QUERY_ROWS = 16_384
 #: Cells that the first round of the exact search reads.
 FIRST_PROBES = 2
+#: Numbers of a matrix of similarities that are worked on at once (8 bytes each, and a few copies of them).
+TILE = 2_000_000
+#: Bytes of queries that a batch of wanted cells repeats.
+WANTED_BYTES = 8_000_000
 #: Similarities are compared with 4 decimals.
 ROUNDING = 1e-4
 NO_CELL = -1  # zero vectors: similarity 0 to everything
@@ -53,27 +57,35 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def tiles(rows: int, columns: int) -> list[slice]:
+    """The rows of a matrix in slices of at most TILE numbers, at least a row each."""
+    step = max(1, TILE // max(1, columns))
+    return [slice(a, a + step) for a in range(0, rows, step)]
+
+
 def best_rows(qid: np.ndarray, q: np.ndarray, q_filters: Sequence[pd.Series], rid: np.ndarray, x: np.ndarray,
               filters: Sequence[pd.Series], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, similarity) of the k best rows of every query by (similarity descending, row ascending): one matrix
-    product of unit vectors and one selection. A filter value of a query that is null restricts nothing."""
+    """(query, row, similarity) of the k best rows of every query by (similarity descending, row ascending): matrix
+    products of unit vectors, a tile at a time, and a selection in each. A filter value of a query that is null restricts nothing."""
     if not len(qid) or not len(rid):
         return qid[:0], rid[:0], np.zeros(0)
     by = np.argsort(rid, kind="stable")
-    sims = np.round(1.0 - (1.0 - q @ x[by].T), 4)  # 1 - distance, 4 decimals
-    for want, have in zip(q_filters, filters):
-        codes, _ = pd.factorize(pd.concat([want, have], ignore_index=True))
-        mine, theirs = codes[: len(want)], codes[len(want) :][by]
-        sims[(mine[:, None] != theirs[None, :]) & (mine >= 0)[:, None]] = -np.inf
-    k = min(k, sims.shape[1])
-    kth = np.partition(sims, -k, axis=1)[:, -k]
-    qi, ri = np.nonzero((sims >= kth[:, None]) & (sims > -np.inf))
-    value = sims[qi, ri]
-    order = np.lexsort((ri, -value, qi))
-    qi, ri, value = qi[order], ri[order], value[order]
-    first = np.searchsorted(qi, qi)
-    keep = np.arange(len(qi)) - first < k
-    return qid[qi[keep]], rid[by[ri[keep]]], value[keep]
+    ordered, k = np.ascontiguousarray(x[by]), min(k, len(rid))
+    codes = [pd.factorize(pd.concat([want, have], ignore_index=True))[0] for want, have in zip(q_filters, filters)]
+    parts = []
+    for at in tiles(len(qid), len(rid)):
+        sims = np.round(1.0 - (1.0 - q[at] @ ordered.T), 4)  # 1 - distance, 4 decimals
+        for c in codes:
+            mine, theirs = c[: len(qid)][at], c[len(qid) :][by]
+            sims[(mine[:, None] != theirs[None, :]) & (mine >= 0)[:, None]] = -np.inf
+        kth = np.partition(sims, -k, axis=1)[:, -k]
+        qi, ri = np.nonzero((sims >= kth[:, None]) & (sims > -np.inf))
+        value = sims[qi, ri]
+        order = np.lexsort((ri, -value, qi))
+        qi, ri, value = qi[order], ri[order], value[order]
+        keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+        parts.append((qid[at][qi[keep]], rid[by[ri[keep]]], value[keep]))
+    return tuple(np.concatenate(p) for p in zip(*parts))
 
 
 @dataclass(frozen=True)
@@ -104,7 +116,7 @@ def learn_centres(sample: DataFrame, cells: int, rounds: int = ROUNDS) -> np.nda
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 x = unit(matrix(pdf["vec"], "<f8"))
-                cell = (x @ shipped.value.T).argmax(axis=1)
+                cell = np.concatenate([(x[at] @ shipped.value.T).argmax(axis=1) for at in tiles(len(x), len(shipped.value))] or [np.zeros(0, np.int64)])
                 sums = np.zeros_like(shipped.value)
                 np.add.at(sums, cell, x)
                 found = np.unique(cell)
@@ -147,12 +159,14 @@ def build_cells(corpus: DataFrame, corpus_id: str, corpus_vec: str, keep: Sequen
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = unit(matrix(pdf["vec"], "<f8"))
-            cosine = x @ shipped.value.T if len(x) else np.zeros((0, 1))
-            cell = cosine.argmax(axis=1)
+            cell, near = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for at in tiles(len(x), len(shipped.value)):
+                cosine = x[at] @ shipped.value.T
+                cell[at], near[at] = cosine.argmax(axis=1), cosine.max(axis=1)
             top = np.abs(x).max(axis=1, keepdims=True)
             code = np.rint(np.divide(x, top, out=np.zeros_like(x), where=top > 0) * 127).astype(np.int8)
             zero = ~x.any(axis=1)
-            angle = np.arccos(np.clip(cosine[np.arange(len(x)), cell], -1.0, 1.0))
+            angle = np.arccos(np.clip(near, -1.0, 1.0))
             yield pdf.assign(code=[c.tobytes() for c in code], cell=np.where(zero, NO_CELL, cell).astype(np.int32), angle=np.where(zero, 0.0, angle))
 
     dealt = materialize(rows.mapInPandas(assign, schema).repartition("cell"))
@@ -181,21 +195,27 @@ def wanted_cells(cells: Cells, asked: DataFrame, probes: int, least: str | None
     index = Cells(None, "", *shipped.value)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf) or not index.sizes.any():
+        for whole in batches:
+            if not len(whole) or not index.sizes.any():
                 continue
-            q = unit(matrix(pdf["q"], "<f8"))
-            near = np.argsort(-(q @ index.centres.T), axis=1, kind="stable")[:, :probes]
-            chosen = np.zeros((len(q), len(index.centres)), bool)
-            np.put_along_axis(chosen, near, True, axis=1)
-            zeros = np.zeros(len(q), bool)
-            if least is not None:
-                limit = pdf[least].to_numpy(np.float64)[:, None] - ROUNDING
-                chosen = ~chosen & (index.bounds(q) >= limit)
-                zeros = limit[:, 0] <= 0.0
-            chosen &= index.sizes[:-1] > 0
-            qi, cell = np.nonzero(np.c_[chosen, zeros & (index.sizes[NO_CELL] > 0)])
-            yield pdf[out].iloc[qi].assign(cell=np.where(cell == len(index.centres), NO_CELL, cell).astype(np.int32))
+            # a query may want every cell: few queries at a time, and their rows in pieces
+            for at in tiles(len(whole), len(index.centres)):
+                pdf = whole.iloc[at]
+                q = unit(matrix(pdf["q"], "<f8"))
+                near = np.argsort(-(q @ index.centres.T), axis=1, kind="stable")[:, :probes]
+                chosen = np.zeros((len(q), len(index.centres)), bool)
+                np.put_along_axis(chosen, near, True, axis=1)
+                zeros = np.zeros(len(q), bool)
+                if least is not None:
+                    limit = pdf[least].to_numpy(np.float64)[:, None] - ROUNDING
+                    chosen = ~chosen & (index.bounds(q) >= limit)
+                    zeros = limit[:, 0] <= 0.0
+                chosen &= index.sizes[:-1] > 0
+                qi, cell = np.nonzero(np.c_[chosen, zeros & (index.sizes[NO_CELL] > 0)])
+                cell = np.where(cell == len(index.centres), NO_CELL, cell).astype(np.int32)
+                step = max(1, WANTED_BYTES // (8 * q.shape[1]))
+                for a in range(0, len(qi), step):
+                    yield pdf[out].iloc[qi[a : a + step]].assign(cell=cell[a : a + step])
 
     return asked.mapInPandas(run, schema)
 

@@ -3,13 +3,15 @@
 import datetime as dt
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from quillspark.operators import vectors
+from quillspark.operators import cells, vectors
 from quillspark.session import materialize, scratch_path
 from quillspark.sources import fixtures
 from quillspark.streaming import ingest
@@ -66,3 +68,28 @@ def test_invoices_sent_again_are_those_of_a_union(spark):
     again = silver.where("payment_quarter = 'Q1'").withColumn("amount", F.expr("CAST(amount + 1 AS DECIMAL(28,2))"))
     rows = lambda df: sorted(map(str, df.select(*ext.SCORED_COLUMNS).collect()))
     assert rows(ext._sent_again(silver)) == rows(silver.unionByName(again))
+
+
+def test_similarities_are_worked_on_in_tiles(monkeypatch):
+    """4,000 queries against 4,000 rows: a whole matrix of 128 MB, and copies of it, are never held; tiles change no answer."""
+    rng = np.random.default_rng(3)
+    x, ids, kinds = cells.unit(rng.normal(size=(4000, 8))), rng.permutation(4000), pd.Series(rng.integers(0, 3, 4000))
+    tracemalloc.start()
+    got = cells.best_rows(np.arange(4000), x, [kinds], ids, x, [kinds], 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 125_000_000 and len(got[0]) == 20_000
+    monkeypatch.setattr(cells, "TILE", 10**9)
+    assert all((a == b).all() for a, b in zip(got, cells.best_rows(np.arange(4000), x, [kinds], ids, x, [kinds], 5)))
+
+
+def test_wanted_cells_come_in_pieces(spark, monkeypatch):
+    """Queries that want every cell: their repeated rows leave in pieces, none is lost."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(400, 8)))], "vec_id long, embedding array<double>")
+    index = cells.build_cells(df, "vec_id", "embedding")
+    asked = cells._asked(df.selectExpr("vec_id query_id", "embedding query_vec"), "query_id", "query_vec", ())
+    monkeypatch.setattr(cells, "TILE", 100)
+    monkeypatch.setattr(cells, "WANTED_BYTES", 640)
+    wanted = cells.wanted_cells(index, asked, len(index.centres))
+    assert wanted.count() == 400 * (index.sizes[:-1] > 0).sum() == wanted.select("query_id", "cell").distinct().count()
