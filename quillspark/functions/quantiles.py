@@ -43,10 +43,11 @@ def virtual_index(n: Column, q: Column) -> Column:
     return (n - 1).cast("double") * q
 
 
-def _attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+def _attach(df: DataFrame, small: DataFrame, by: Sequence[str], few_groups: bool = False) -> DataFrame:
     """Attach per-group values: literals from the one-row result when ungrouped, else an equi-join on
-    the group keys (one row per group; Spark broadcasts it when its measured size allows)."""
-    return with_scalars(df, small) if not by else df.join(small, list(by))
+    the group keys (one row per group; Spark broadcasts it when its measured size allows). ``few_groups`` broadcasts it in any
+    case: dealt by a few keys, all rows would meet in as few tasks."""
+    return with_scalars(df, small) if not by else df.join(F.broadcast(small) if few_groups else small, list(by))
 
 
 def value_ranges(members: DataFrame, by: Sequence[str], range_values: int) -> DataFrame:
@@ -61,8 +62,9 @@ def value_ranges(members: DataFrame, by: Sequence[str], range_values: int) -> Da
 
 
 def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[str] | None = None,
-                      accuracy: int = DEFAULT_ACCURACY, by: Sequence[str] = (), range_values: int = RANGE_VALUES) -> DataFrame:
-    """One row (per group of ``by``) with one double column per probability (``names`` or ``p0, p1, ...``)."""
+                      accuracy: int = DEFAULT_ACCURACY, by: Sequence[str] = (), range_values: int = RANGE_VALUES, few_groups: bool = False) -> DataFrame:
+    """One row (per group of ``by``) with one double column per probability (``names`` or ``p0, p1, ...``). ``few_groups`` says that
+    the number of groups is bounded by parameters, so that a row for each can be broadcast."""
     names = list(names or [f"p{i}" for i in range(len(probs))])
     by = list(by)
     eps = 3.0 / accuracy
@@ -78,7 +80,7 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float], names: Se
     bands = sketch.select(*by, "__n", *[F.col("__band")[2 * i].alias(f"__lo{i}") for i in range(m)],
                           *[F.col("__band")[2 * i + 1].alias(f"__hi{i}") for i in range(m)])
 
-    marked = _attach(vals, bands, by)
+    marked = _attach(vals, bands, by, few_groups)
     los = F.array(*[F.col(f"__lo{k}") for k in range(m)])
     his = F.array(*[F.col(f"__hi{k}") for k in range(m)])
     # One pass for every percentile. Rows below the band (class 0) and above it (class 2) combine into one row per

@@ -257,7 +257,7 @@ def decide(scores: DataFrame, runs: Sequence[ForestParams]) -> tuple[DataFrame,
     offsets table has one row per run (a parameter-sized table, broadcast back).
     """
     levels = sorted({p.contamination for p in runs})
-    cuts = exact_percentiles(scores, "score", levels, names=[f"__c{i}" for i in range(len(levels))], by=["run_id"])
+    cuts = exact_percentiles(scores, "score", levels, names=[f"__c{i}" for i in range(len(levels))], by=["run_id"], few_groups=True)
     pick = F.lit(None).cast("double")
     for p in runs:
         pick = F.when(F.col("run_id") == p.run_id, F.col(f"__c{levels.index(p.contamination)}")).otherwise(pick)

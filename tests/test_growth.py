@@ -93,3 +93,18 @@ def test_wanted_cells_come_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(cells, "WANTED_BYTES", 640)
     wanted = cells.wanted_cells(index, asked, len(index.centres))
     assert wanted.count() == 400 * (index.sizes[:-1] > 0).sum() == wanted.select("query_id", "cell").distinct().count()
+
+
+def test_rows_of_a_few_runs_are_not_dealt_by_run(spark, monkeypatch):
+    """Scores of three runs meet the bounds of their percentiles where they lie, not in three tasks."""
+    from quillspark.functions import quantiles
+    scores = spark.range(3000).selectExpr("cast(id % 3 as int) run_id", "cast(id as double) score")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(quantiles._attach(scores, scores.groupBy("run_id").agg(F.max("score").alias("top")), ["run_id"], few_groups=True))
+        assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+        assert sorted(tuple(r) for r in quantiles.exact_percentiles(scores, "score", [0.5], by=["run_id"], few_groups=True).collect()) == [
+            (0, 1498.5), (1, 1499.5), (2, 1500.5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
